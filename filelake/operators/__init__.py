@@ -1 +1 @@
-
+"""DataFrame operators of the file catalogue."""

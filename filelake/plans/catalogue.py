@@ -1,10 +1,398 @@
-"""Queries over the driver's tables and their oracle SQL, by name."""
+"""Queries over the driver's tables and their oracle SQL, by name.
+
+The tables stand in for files: documents are files (text = content, source = folder), pages
+are paths with bytes to sniff, events are job events and samples (user = job), orders carry
+dates. Every query runs over its whole table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from filelake.functions import columns as C
+from filelake.operators import claims, cleanup, gates, placement, reports, series, verify
+from filelake.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Register a query under its own name together with its oracle."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files: path, size, sha256, ext and group by id."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.col("doc_id").alias("path"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256"), "source", "lang")
+
+
+_FILES = "WITH f AS (SELECT doc_id, doc_id AS path, octet_length(encode(text)) AS size, sha256(text) AS sha256, source, lang FROM documents)"
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select("event_id", "ts", F.col("user_id").alias("job_id"), F.col("event_type").alias("outcome"), "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    """One series for each event type: seconds since its first event."""
+    e = _events(spark, d)
+    first = e.groupBy("outcome").agg(F.min("us").alias("_first"))
+    return e.join(first, "outcome").withColumn("elapsed", F.expr("(us - _first) div 1000000")).drop("_first")
+
+
+_SAMPLES = "WITH s AS (SELECT event_id, event_type AS outcome, value, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY event_type)) // 1000000 AS elapsed FROM events)"
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, sha256(left(text, 1024)) AS partial_sha256 FROM documents")
+def content_digest(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.sha2(F.substring("text", 1, 1024), 256).alias("partial_sha256"))
+
+
+@query(f"{_FILES} SELECT doc_id, sha256, canonical_id FROM (SELECT *, min(doc_id) OVER (PARTITION BY sha256) AS canonical_id FROM f) WHERE doc_id <> canonical_id")
+def duplicate_claim(spark: SparkSession, d: str) -> DataFrame:
+    out = claims.claim(_files(spark, d)).where("disposition = 'DUPLICATE'")
+    return out.select("doc_id", "sha256", F.col("matched").alias("canonical_id"))
+
+
+@query(f"{_FILES} SELECT source, count(*) AS duplicates, sum(size)::BIGINT AS bytes_saved FROM (SELECT *, min(doc_id) OVER (PARTITION BY sha256) AS m FROM f) WHERE doc_id <> m GROUP BY source")
+def duplicate_savings(spark: SparkSession, d: str) -> DataFrame:
+    return claims.claim(_files(spark, d)).where("disposition = 'DUPLICATE'").groupBy("source").agg(F.count("*").alias("duplicates"), F.sum("size").alias("bytes_saved"))
+
+
+@query(f"{_FILES} SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256) AS canonical_id FROM f QUALIFY doc_id <> min(doc_id) OVER (PARTITION BY sha256)")
+def partial_digest_prefilter(spark: SparkSession, d: str) -> DataFrame:
+    """Three stages: equal size, equal first KiB, then the full digest of what is left."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.octet_length("text").alias("size"), F.sha2(F.substring("text", 1, 1024), 256).alias("part"))
+    left = docs.join(docs.groupBy("size", "part").count().where("count > 1").drop("count"), ["size", "part"])
+    out = claims.claim(left.select("doc_id", F.sha2("text", 256).alias("sha256")), order="doc_id")
+    return out.where("disposition = 'DUPLICATE'").select("doc_id", F.col("matched").alias("canonical_id"))
+
+
+@query(f"{_FILES} SELECT f.doc_id, c.sha256 IS NOT NULL AS hit FROM f LEFT JOIN (SELECT path, CASE WHEN path % 3 = 0 THEN size + 1 ELSE size END AS size, path % 5 AS mtime, sha256 FROM f) c ON f.path = c.path AND f.size = c.size AND f.path % 10 = c.mtime")
+def cache_hit_join(spark: SparkSession, d: str) -> DataFrame:
+    f = _files(spark, d)
+    cache = f.select("path", F.when(F.col("path") % 3 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), (F.col("path") % 5).alias("mtime"), "sha256")
+    out = claims.cache_lookup(f.withColumn("mtime", F.col("path") % 10).drop("sha256"), cache)
+    return out.select("doc_id", F.col("sha256").isNotNull().alias("hit"))
+
+
+@query(f"""{_FILES} SELECT coalesce(CASE WHEN size = 0 THEN 'EMPTY_FILE' WHEN lang = 'en' AND size < 500 THEN 'SMALL_FILE' WHEN lang <> 'en' AND size < 1000 THEN 'SMALL_FILE' END, 'VALID') AS gate,
+  count(*) AS n, sum(size)::BIGINT AS bytes FROM f GROUP BY 1""")
+def gate_chain(spark: SparkSession, d: str) -> DataFrame:
+    f = _files(spark, d).withColumn("kind", F.when(F.col("lang") == "en", "IMAGE").otherwise("VIDEO"))
+    return f.groupBy(F.coalesce(gates.size_gate(F.col("size"), F.col("kind"), 500, 1000), F.lit("VALID")).alias("gate")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+@query("""SELECT doc_id, CASE WHEN source GLOB 'src1[0-4]' OR source GLOB 'src?' AND source <> 'src9' THEN 'IGNORE_RULE_MATCHED' WHEN lang NOT IN ('en', 'de') THEN 'UNSUPPORTED_FORMAT' END AS skip FROM documents""")
+def media_filter(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    skip = F.when(C.ignored(F.col("source"), ["src{1[0-4],[0-8]}", "broken["]), "IGNORE_RULE_MATCHED").when(~F.col("lang").isin("en", "de"), "UNSUPPORTED_FORMAT")
+    return docs.select("doc_id", skip.alias("skip"))
+
+
+@query("SELECT page_id, lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '\\.([^./]*)$', 1)) AS ext FROM pages")
+def extension_extract(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", C.extension(C.file_name(F.col("url"))).alias("ext"))
+
+
+@query("""SELECT grp, count(*) AS n, sum(size)::BIGINT AS bytes FROM (SELECT octet_length(encode(html)) AS size,
+  CASE WHEN regexp_matches(html, '(?is)^\\s*(<!doctype html|<html)') THEN 'DOCUMENT' ELSE 'OTHER' END AS grp FROM pages) GROUP BY grp""")
+def mime_sniff_group(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages")
+    mime = F.when(F.col("html").rlike(r"(?is)^\s*(<!doctype html|<html)"), "text/html; charset=utf-8").otherwise("application/octet-stream")
+    return p.select(C.mime_group(mime).alias("grp"), F.octet_length("html").cast("long").alias("size")).groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y/%m') AS ym, strftime(o_orderdate, '%Y/%b') AS ymmm, strftime(o_orderdate, '%Y/%b/%d') AS ymmmd, strftime(o_orderdate, '%Y/%m/%d') AS ymd FROM orders")
+def folder_path(spark: SparkSession, d: str) -> DataFrame:
+    names = {"ym": "YYYY_MM", "ymmm": "YYYY_MMM", "ymmmd": "YYYY_MMM_DD", "ymd": "YYYY_MM_DD"}
+    return table(spark, d, "orders").select("o_orderkey", *[placement.folder(F.col("o_orderdate"), p).alias(k) for k, p in names.items()])
+
+
+@query("SELECT o_orderstatus, count(DISTINCT strftime(o_orderdate, '%Y/%m')) AS folders FROM orders GROUP BY o_orderstatus")
+def folders_created(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.countDistinct(placement.folder(F.col("o_orderdate"), "YYYY_MM")).alias("folders"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, min(l_shipdate) AS s FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, coalesce(e, s, m) AS date, CASE WHEN e IS NOT NULL THEN 'EMBEDDED_CAPTURE' WHEN s IS NOT NULL THEN 'FILE_CREATION' WHEN m IS NOT NULL THEN 'FILE_MODIFIED' END AS date_source
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS e, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE s END AS s, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderdate END AS m FROM orders LEFT JOIN l ON o_orderkey = l_orderkey)""")
+def date_priority(spark: SparkSession, d: str) -> DataFrame:
+    ship = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("s"))
+    o, epoch = table(spark, d, "orders").join(ship, "o_orderkey", "left"), F.lit("1970-01-01").cast("timestamp_ntz")
+    key = F.col("o_orderkey")
+    date, source = C.capture_date(F.when(key % 2 == 0, F.col("o_orderdate")), F.when(key % 3 == 0, epoch).otherwise(F.col("s")), F.when(key % 5 == 0, epoch).otherwise(F.col("o_orderdate")))
+    return o.select("o_orderkey", date.alias("date"), source.alias("date_source"))
+
+
+def _incoming(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), placement.folder(F.col("o_orderdate"), "YYYY_MM").alias("dir"), F.concat("o_orderpriority", F.lit(".jpg")).alias("name"))
+
+
+_INCOMING = "i AS (SELECT o_orderkey AS path, strftime(o_orderdate, '%Y/%m') AS dir, o_orderpriority || '.jpg' AS name, o_orderpriority AS stem FROM orders)"
+
+
+@query(f"WITH {_INCOMING}, r AS (SELECT *, row_number() OVER (PARTITION BY dir, name ORDER BY path) - 1 AS k FROM i) SELECT path, dir, CASE WHEN k = 0 THEN name ELSE stem || '(' || k || ').jpg' END AS final_name FROM r")
+def collision_suffix(spark: SparkSession, d: str) -> DataFrame:
+    rows = _incoming(spark, d)
+    return placement.place(rows, rows.select("dir", "name").limit(0)).select("path", "dir", "final_name")
+
+
+@query(f"""WITH {_INCOMING}, e AS (SELECT DISTINCT dir, name, stem, k FROM i, (VALUES (0), (1), (2), (4), (7)) t(k)),
+g AS (SELECT *, row_number() OVER (PARTITION BY dir, name ORDER BY path) AS r FROM i),
+n AS (SELECT dir, name, max(r) AS m FROM g GROUP BY dir, name),
+free AS (SELECT dir, name, x, row_number() OVER (PARTITION BY dir, name ORDER BY x) AS r FROM (SELECT dir, name, unnest(range(1, m + 6)) AS x FROM n) WHERE x NOT IN (1, 2, 4, 7))
+SELECT path, dir, stem || '(' || x || ').jpg' AS final_name FROM g JOIN free USING (dir, name, r)""")
+def first_free_suffix(spark: SparkSession, d: str) -> DataFrame:
+    rows = _incoming(spark, d)
+    ladder = F.explode(F.array(*[F.lit(k) for k in (0, 1, 2, 4, 7)]))
+    held = rows.select("dir", "name").distinct().withColumn("k", ladder)
+    held = held.select("dir", F.when(F.col("k") == 0, F.col("name")).otherwise(C.numbered(F.col("name"), F.col("k"))).alias("name"))
+    return placement.place(rows, held).select("path", "dir", "final_name")
+
+
+@query(f"WITH {_INCOMING} SELECT path, dir, stem || '_DUP_' || row_number() OVER (PARTITION BY dir, name ORDER BY path) || '.jpg' AS final_name FROM i")
+def dup_suffix(spark: SparkSession, d: str) -> DataFrame:
+    rows = _incoming(spark, d)
+    return placement.place(rows, rows.select("dir", "name").limit(0), form="_DUP_{}", always=True).select("path", "dir", "final_name")
+
+
+@query("SELECT user_id AS job_id, event_type AS outcome, count(*) AS n, coalesce(sum(floor(value)::BIGINT), 0)::BIGINT AS bytes FROM events GROUP BY 1, 2")
+def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
+    return reports.outcome_counts(_events(spark, d).withColumn("file_size", F.floor("value")))
+
+
+@query("""SELECT outcome, event_id, rank, total, total > 100 AS truncated FROM (SELECT event_type AS outcome, event_id,
+  row_number() OVER (PARTITION BY event_type ORDER BY event_id)::INTEGER AS rank, count(*) OVER (PARTITION BY event_type) AS total FROM events) WHERE rank <= 100""")
+def capped_report(spark: SparkSession, d: str) -> DataFrame:
+    """The cap is the feature: a report lists its oldest rows and says how many there are."""
+    return reports.capped(_events(spark, d), 100, ["outcome"], ["event_id"]).select("outcome", "event_id", "rank", "total", "truncated")
+
+
+_OUT = """o AS (SELECT user_id, floor(value)::BIGINT AS size, CASE WHEN event_id % 10 < 6 THEN 'TRANSFERRED' WHEN event_id % 10 < 8 THEN 'SKIPPED' WHEN event_id % 10 = 8 THEN 'FAILED' ELSE 'DUPLICATE' END AS outcome FROM events)"""
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id") % 10
+    kind = F.when(k < 6, "TRANSFERRED").when(k < 8, "SKIPPED").when(k == 8, "FAILED").otherwise("DUPLICATE")
+    return table(spark, d, "events").select("user_id", F.floor("value").alias("size"), kind.alias("outcome"))
+
+
+@query(f"""WITH {_OUT} SELECT user_id, count(*) FILTER (outcome = 'TRANSFERRED') AS processed, count(*) FILTER (outcome = 'SKIPPED') AS skipped, count(*) FILTER (outcome = 'FAILED') AS failed,
+count(*) FILTER (outcome = 'DUPLICATE') AS duplicates, count(*) AS files_seen, count(*) FILTER (outcome <> 'DUPLICATE') AS total_found,
+coalesce(sum(size) FILTER (outcome = 'TRANSFERRED'), 0)::BIGINT AS bytes_transferred, coalesce(sum(size) FILTER (outcome = 'FAILED'), 0)::BIGINT AS bytes_skipped,
+coalesce(sum(size) FILTER (outcome = 'DUPLICATE'), 0)::BIGINT AS bytes_saved FROM o GROUP BY user_id""")
+def job_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return gates.job_counters(_outcomes(spark, d), "user_id")
+
+
+@query(f"""{_SAMPLES}, w AS (SELECT *, greatest(1, max(elapsed) OVER (PARTITION BY outcome) // 600 + 1) AS width FROM s)
+SELECT outcome, elapsed // width AS bucket, min(elapsed) AS elapsed, round(avg(value), 6) AS value FROM w GROUP BY 1, 2""")
+def bucket_average(spark: SparkSession, d: str) -> DataFrame:
+    out = series.bucket_average(_samples(spark, d), "outcome", "elapsed", ["value"], 600)
+    return out.select("outcome", "bucket", "elapsed", F.round("value", 6).alias("value"))
+
+
+@query("""WITH r AS (SELECT event_type AS outcome, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+b AS (SELECT *, ((i + 1) * 50 - 1) // n AS b FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY outcome, b ORDER BY value, i) AS lo, row_number() OVER (PARTITION BY outcome, b ORDER BY value DESC, i) AS hi FROM b)
+SELECT outcome, event_id, value FROM k WHERE n <= 100 OR i = 0 OR i = n - 1 OR lo = 1 OR hi = 1""")
+def envelope(spark: SparkSession, d: str) -> DataFrame:
+    return series.envelope(_events(spark, d), "outcome", ["us", "event_id"], "value", 50).select("outcome", "event_id", "value")
+
+
+def _rolling_sql(n: int) -> str:
+    return f"SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 9) AS average FROM events"
+
+
+@query(_rolling_sql(5))
+def rolling_rate_5(spark: SparkSession, d: str) -> DataFrame:
+    return series.rolling(_events(spark, d), "job_id", ["us", "event_id"], "value", {"average": 5}).select("event_id", F.round("average", 9).alias("average"))
+
+
+@query(_rolling_sql(150))
+def rolling_rate_150(spark: SparkSession, d: str) -> DataFrame:
+    return series.rolling(_events(spark, d), "job_id", ["us", "event_id"], "value", {"average": 150}).select("event_id", F.round("average", 9).alias("average"))
+
+
+@query("""WITH t AS (SELECT event_id, user_id, epoch_us(ts) AS us, sum(floor(value)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM events),
+l AS (SELECT *, total - lag(total) OVER w AS dv, (us - lag(us) OVER w) / 1e6 AS dt FROM t WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))
+SELECT event_id, round(CASE WHEN dv > 0 THEN dv / greatest(dt, 0.001) ELSE 0 END, 6)::DOUBLE AS rate FROM l""")
+def delta_rate(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("job_id").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    e = _events(spark, d).withColumn("total", F.sum(F.floor("value")).over(w))
+    return series.delta_rate(e, "job_id", ["us", "event_id"], "total", F.col("us")).select("event_id", F.round("rate", 6).alias("rate"))
+
+
+@query("SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS peak FROM events")
+def running_peak(spark: SparkSession, d: str) -> DataFrame:
+    return series.running_peak(_events(spark, d), "job_id", ["us", "event_id"], "value").select("event_id", "peak")
+
+
+@query("""WITH c AS (SELECT user_id, count(*) AS total, count(*) FILTER (event_id % 2 = 0) AS done, avg(value) AS r FROM events GROUP BY user_id)
+SELECT user_id, round(CASE WHEN r > 0 AND total > done THEN (total - done) / r END, 6) AS eta FROM c""")
+def eta(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(F.col("event_id") % 2 == 0).alias("done"), F.avg("value").alias("r"))
+    return c.select("user_id", F.round(series.eta(F.col("total"), F.col("done"), F.col("r")), 6).alias("eta"))
+
+
+@query(f"{_SAMPLES} SELECT outcome, event_id, elapsed FROM s QUALIFY elapsed >= greatest(0, max(elapsed) OVER (PARTITION BY outcome) - 86400)")
+def trailing_window(spark: SparkSession, d: str) -> DataFrame:
+    return series.trailing(_samples(spark, d), "outcome", "elapsed", 86400).select("outcome", "event_id", "elapsed")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 8")
+def recent_n(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(8).select("event_id", "event_type")
+
+
+@query("SELECT user_id, min(ts) AS start_time, max(ts) AS end_time, count(*) AS n, epoch(max(ts))::BIGINT - epoch(min(ts))::BIGINT >= 0 AS ended FROM events GROUP BY user_id")
+def job_history(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.count("*").alias("n"))
+    return e.withColumn("ended", F.col("end_time") >= F.col("start_time")).orderBy(F.desc("start_time"), "user_id")
+
+
+@query("SELECT user_id, arg_max(event_type, row(ts, event_id)) AS status FROM events GROUP BY user_id")
+def status_latest(spark: SparkSession, d: str) -> DataFrame:
+    return reports.status_latest(table(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"])
+
+
+def _archive(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    f, k = _files(spark, d), F.col("doc_id")
+    cat = f.where(k % 11 != 0).select("sha256", F.when(k % 13 != 0, F.concat_ws("/", "source", k.cast("string"))).alias("destination_path"), F.col("size").alias("destination_size"))
+    seen = f.where(k % 7 != 0).select(
+        F.concat_ws("/", "source", k.cast("string")).alias("path"), F.when(k % 17 != 0, F.when(k % 5 == 0, F.col("size") + 1).otherwise(F.col("size"))).alias("size"),
+        F.concat_ws("/", F.when(k % 22 == 0, "_skipped").otherwise(F.col("source")), k.cast("string")).alias("relative"),
+        F.when(k % 19 != 0, F.when(k % 3 == 0, F.sha2("sha256", 256)).otherwise(F.upper("sha256"))).alias("observed_sha256"),
+    )
+    return cat, seen
+
+
+_ARCHIVE = f"""{_FILES}, c AS (SELECT sha256, CASE WHEN doc_id % 13 <> 0 THEN source || '/' || doc_id END AS dest, size AS dsize FROM f WHERE doc_id % 11 <> 0),
+l AS (SELECT source || '/' || doc_id AS path, CASE WHEN doc_id % 17 <> 0 THEN CASE WHEN doc_id % 5 = 0 THEN size + 1 ELSE size END END AS size,
+  CASE WHEN doc_id % 22 = 0 THEN '_skipped' ELSE source END || '/' || doc_id AS relative, CASE WHEN doc_id % 19 <> 0 THEN CASE WHEN doc_id % 3 = 0 THEN sha256(sha256) ELSE upper(sha256) END END AS obs FROM f WHERE doc_id % 7 <> 0),
+v AS (SELECT coalesce(l.path, c.dest) AS path, relative, CASE WHEN c.sha256 IS NULL THEN 'UNTRACKED' WHEN dest IS NULL THEN 'UNVERIFIABLE' WHEN l.path IS NULL THEN 'MISSING' WHEN l.size IS NULL THEN 'UNREADABLE'
+  WHEN l.size <> dsize THEN 'RESIZED' @DEEP@ ELSE 'INTACT' END AS status FROM c FULL OUTER JOIN l ON c.dest = l.path),
+k AS (SELECT path, status FROM v WHERE NOT (status = 'UNTRACKED' AND regexp_matches(relative, '(^|/)(_skipped|_failures|_duplicates)(/|$)')))"""
+_QUICK = _ARCHIVE.replace("@DEEP@", "")
+_DEEP = _ARCHIVE.replace("@DEEP@", "WHEN obs IS NULL THEN 'UNREADABLE' WHEN lower(obs) <> lower(c.sha256) THEN 'CORRUPTED'")
+
+
+@query(f"{_QUICK} SELECT path, status FROM k WHERE status <> 'INTACT'")
+def verify_quick(spark: SparkSession, d: str) -> DataFrame:
+    return verify.reconcile(*_archive(spark, d)).where("status <> 'INTACT'").select("path", "status")
+
+
+@query(f"{_DEEP} SELECT path, status FROM k WHERE status <> 'INTACT'")
+def verify_deep(spark: SparkSession, d: str) -> DataFrame:
+    return verify.reconcile(*_archive(spark, d), deep=True).where("status <> 'INTACT'").select("path", "status")
+
+
+@query(f"""{_DEEP} SELECT t.status, rank, problem, count(k.status) AS n FROM (VALUES ('INTACT', 0, false), ('MISSING', 1, true), ('RESIZED', 2, true), ('CORRUPTED', 3, true), ('UNREADABLE', 4, true),
+  ('UNTRACKED', 5, false), ('UNVERIFIABLE', 6, false)) t(status, rank, problem) LEFT JOIN k ON k.status = t.status GROUP BY 1, 2, 3""")
+def verify_counts(spark: SparkSession, d: str) -> DataFrame:
+    return verify.status_counts(verify.reconcile(*_archive(spark, d), deep=True))
+
+
+@query(f"{_DEEP} SELECT count(*) FILTER (status IN ('INTACT', 'MISSING', 'RESIZED', 'CORRUPTED', 'UNREADABLE')) AS verified, count(*) FILTER (status IN ('MISSING', 'RESIZED', 'CORRUPTED', 'UNREADABLE')) AS problems, count(*) FILTER (status IN ('MISSING', 'RESIZED', 'CORRUPTED', 'UNREADABLE')) = 0 AS clean FROM k")
+def verify_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return verify.verdict(verify.reconcile(*_archive(spark, d), deep=True))
+
+
+@query(f"{_QUICK} SELECT path FROM k WHERE status = 'UNTRACKED'")
+def untracked(spark: SparkSession, d: str) -> DataFrame:
+    cat, seen = _archive(spark, d)
+    left = seen.join(cat.select(F.col("destination_path").alias("path")), "path", "left_anti")
+    return left.where(~C.is_report_artifact(F.col("relative"))).select("path")
+
+
+_GROUPED = _FILES + ", g AS (SELECT path, size, lower(lang) AS ext, CASE lang WHEN 'en' THEN 'PROTECTED_MEDIA' WHEN 'fr' THEN 'DOCUMENT' WHEN 'de' THEN 'ARCHIVE' ELSE 'OTHER' END AS grp FROM f)"
+
+
+def _grouped(spark: SparkSession, d: str) -> DataFrame:
+    f = _files(spark, d)
+    mime = F.when(F.col("lang") == "en", "image/png").when(F.col("lang") == "fr", "Application/PDF ; x=1").when(F.col("lang") == "de", "application/zip").otherwise("application/unknown")
+    return f.select("path", "size", F.lower("lang").alias("ext"), C.mime_group(mime).alias("group"))
+
+
+@query(f"""{_GROUPED} SELECT t.name AS "group", t.deletable, count(grp) AS n, coalesce(sum(size), 0)::BIGINT AS bytes FROM (VALUES ('PROTECTED_MEDIA', false), ('ANDROID_PACKAGE', true), ('EXECUTABLE', true), ('ARCHIVE', true),
+  ('DOCUMENT', true), ('AUDIO', true), ('OTHER', true)) t(name, deletable) LEFT JOIN g ON grp = t.name GROUP BY 1, 2""")
+def cleanup_totals(spark: SparkSession, d: str) -> DataFrame:
+    return cleanup.group_totals(_grouped(spark, d)).select("group", "deletable", "n", "bytes")
+
+
+@query(f"{_GROUPED} SELECT path, grp AS \"group\" FROM g WHERE (grp IN ('DOCUMENT') OR ext IN ('es', 'en')) AND grp <> 'PROTECTED_MEDIA'")
+def cleanup_select(spark: SparkSession, d: str) -> DataFrame:
+    return cleanup.select_for_deletion(_grouped(spark, d), ["DOCUMENT"], [" *.ES", "en "]).select("path", "group")
+
+
+@query(f"""{_GROUPED} SELECT path, CASE WHEN path % 9 = 0 OR path % 8 = 0 OR grp = 'PROTECTED_MEDIA' THEN 'SKIPPED_REVERIFY' ELSE 'PREVIEWED' END AS outcome,
+  CASE WHEN path % 9 = 0 THEN 'no longer exists' WHEN path % 8 = 0 THEN 'now AUDIO' END AS reason FROM g""")
+def reverify(spark: SparkSession, d: str) -> DataFrame:
+    g = _grouped(spark, d)
+    now = g.where("path % 9 <> 0").withColumn("group", F.when(F.col("path") % 8 == 0, "AUDIO").otherwise(F.col("group")))
+    return cleanup.reverify(g, now).select("path", "outcome", "reason")
+
+
+_DIRS = "p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages), a AS (SELECT DISTINCT path, array_to_string(string_split(path, '/')[1:i], '/') AS dir, page_id FROM (SELECT path, page_id, unnest(range(1, len(string_split(path, '/')))) AS i FROM p))"
+
+
+@query(f"WITH {_DIRS} SELECT DISTINCT dir FROM a EXCEPT SELECT dir FROM a WHERE page_id % 3 = 0")
+def empty_dirs(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    dirs = cleanup.ancestors(p).select(F.col("dir").alias("path"))
+    return cleanup.empty_directories(dirs, p.where("page_id % 3 = 0")).select(F.col("path").alias("dir"))
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[",\\n\\r]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS escaped FROM documents""")
+def csv_escape(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", C.csv_escape(F.col("text")).alias("escaped"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
+def html_escape(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", C.html_escape(F.col("html")).alias("escaped"))
+
+
+@query("""WITH t AS (SELECT user_id, epoch(max(ts))::BIGINT - epoch(min(ts))::BIGINT AS s FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events) GROUP BY user_id)
+SELECT user_id, printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS duration FROM t""")
+def duration_format(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return e.select("user_id", C.duration(F.col("a"), F.col("b")).alias("duration"))
+
+
+@query(f"{_FILES} SELECT path, path % 4 <> 0 AND path % 6 <> 0 AS present FROM f")
+def resume_anti(spark: SparkSession, d: str) -> DataFrame:
+    f = _files(spark, d)
+    own = f.select("path", F.concat(F.lit("a/"), F.col("path").cast("string")).alias("destination_path"), F.col("size").alias("destination_size"))
+    there = f.where("path % 4 <> 0").select(F.concat(F.lit("a/"), F.col("path").cast("string")).alias("path"), F.when(F.col("path") % 6 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"))
+    return claims.resume(own, there).select("path", "present")
+
+
+@query(f"""{_FILES}, o AS (SELECT * FROM f WHERE path % 2 = 0), n AS (SELECT path, size + 1 AS size, sha256, CASE WHEN path % 5 <> 0 THEN path END AS media_date FROM f WHERE path % 3 = 0)
+SELECT coalesce(n.path, o.path) AS path, coalesce(n.size, o.size) AS size, coalesce(n.sha256, o.sha256) AS sha256, coalesce(n.media_date, o.path) AS media_date FROM o FULL OUTER JOIN n ON o.path = n.path""")
+def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
+    f = _files(spark, d)
+    old = f.where("path % 2 = 0").select("path", "size", "sha256", F.col("path").alias("media_date"))
+    new = f.where("path % 3 = 0").select("path", (F.col("size") + 1).alias("size"), "sha256", F.when(F.col("path") % 5 != 0, F.col("path")).alias("media_date"))
+    return claims.upsert_cache(old, new)
+
+
+@query("SELECT event_type, count(*) AS chartable FROM (SELECT event_type, user_id FROM events GROUP BY 1, 2 HAVING count(*) >= 5) GROUP BY event_type")
+def chartable(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "events").groupBy("event_type", "user_id").count().where("count >= 5")
+    return n.groupBy("event_type").agg(F.count("*").alias("chartable"))

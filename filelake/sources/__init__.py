@@ -1 +1 @@
-
+"""File-tree listing and file content."""
