@@ -7,15 +7,19 @@ that library with ``add_special_tokens=False``:
 * ``whole_tokens``: the offline proof of which vocabulary strings encode alone as one token.
 * ``PairIndex``: all new pre-tokens of a partition at once over a pair occurrence index.
 
-Special strings inside texts become their ids, as is the library's default. A text with
-a character that Python's Unicode tables do not know yet (``newer``) is handed to the
-library itself, whose tables may differ there.
+Texts are cut at single spaces into *chunks*, and the encoding of each distinct chunk (with
+its leading space) is remembered. No pre-token reaches across such a cut: a space can only
+begin one, and a run of two or more spaces (``byte`` rules only) sends the text whole.
+Special strings inside texts become their ids, as is the library's default. A chunk with one,
+or with a character that Python's Unicode tables do not know yet (``newer``), is handed to
+the library itself, whose tables may differ there.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 import sys
 import unicodedata
@@ -70,7 +74,6 @@ class Vocabulary:
             self.ranks[self.ids[a], self.ids[b]] = (r, self.ids[a + b])
         self.words = spec["normalizer"] is not None  # lower case, white space dropped, words end with the suffix
         self.pattern = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN)
-        self.split = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")")
         alphabet = byte_alphabet()
         self.byte_of = {c: b for b, c in enumerate(alphabet)}
         self.byte_ids = [self.ids[c] for c in alphabet]
@@ -84,19 +87,26 @@ class Vocabulary:
             return text
         return (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
 
-    def foreign(self, text: str) -> list[int] | None:
-        """The library's own ids if the text holds characters newer than Python's Unicode tables."""
-        if text.isascii() or not newer().search(text):
-            return None
-        if not hasattr(self, "library"):
-            self.library = Tokenizer.from_file(self.path)
-            self.library.no_truncation()
-            self.library.no_padding()
-        return self.library.encode(text, add_special_tokens=False).ids
-
-    def segments(self, text: str) -> list[str]:
-        """Pieces of text and special strings in turn: odd places hold special strings."""
-        return self.split.split(text) if any(s in text for s in self.special) else [text]
+    @property
+    def library(self) -> Tokenizer:
+        """The library's own tokenizer, without truncation or padding."""
+        if not hasattr(self, "_library"):
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
+            self._library = Tokenizer.from_file(self.path)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library
+
+    def odd(self, chunk: str) -> bool:
+        """Does ``chunk`` hold a special string or a character newer than Python's Unicode tables? Then the library encodes it."""
+        return "<|" in chunk and any(s in chunk for s in self.special) or not chunk.isascii() and newer().search(chunk) is not None
+
+    def encode_odd(self, chunk: str) -> list[int]:
+        return self.library.encode(chunk, add_special_tokens=False).ids
+
+    def pieces(self, chunk: str) -> list[str]:
+        """Pre-tokens of a chunk that is not ``odd``."""
+        return self.pattern.findall(self.normalize(chunk))
 
     def start(self, piece: str) -> list[int]:
         raw = piece.encode("utf-8")

@@ -1,9 +1,9 @@
 """BPE encoding and decoding over a pair occurrence index.
 
-Each Arrow batch gathers the pre-tokens not yet in the worker's cache and encodes all of
-them at once (``PairIndex``); texts are then put together from cached pre-tokens. Whole
-texts only; null counts as empty. The cache is cleared when it holds ``CACHE`` pre-tokens,
-which bounds memory and changes no result.
+Each Arrow batch gathers the chunks (texts cut at spaces) not yet in the worker's cache and
+encodes their pre-tokens all at once (``PairIndex``); texts are then put together from cached
+chunks. Whole texts only; null counts as empty. The cache is cleared when it holds ``CACHE``
+chunks, which bounds memory and changes no result.
 """
 
 from __future__ import annotations
@@ -23,43 +23,34 @@ CACHE = 400_000
 
 
 class Codec:
-    """Encodes batches of texts; decodes ids."""
+    """Encodes batches of texts; decodes ids. Only for vocabularies that drop white space (``words``)."""
 
     def __init__(self, vocab: Vocabulary) -> None:
+        if not vocab.words:
+            raise ValueError("white space must not be part of a token")
         self.vocab = vocab
         self.index = PairIndex(vocab)
         self.cache: dict[str, list[int]] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        """Pre-tokens in order; special strings stand as themselves."""
-        v = self.vocab
-        if v.foreign(text) is not None:
-            return ["\0\0" + text]
-        segments = v.segments(text)
-        if len(segments) == 1:
-            return v.pattern.findall(v.normalize(text))
-        out: list[str] = []
-        for k, s in enumerate(segments):
-            out += ["\0" + s] if k % 2 else v.pattern.findall(v.normalize(s))
-        return out
-
-    def learn(self, pieces: set[str]) -> None:
-        """Put the encoding of every pre-token into the cache."""
+    def learn(self, chunks: set[str]) -> None:
+        """Put the encoding of every chunk into the cache: new pre-tokens go through the pair index together."""
         if len(self.cache) > CACHE:
             self.cache.clear()
-        new = [p for p in pieces if p not in self.cache]
-        for p in new:
-            if p[:1] == "\0" and p[1:] in self.vocab.special:
-                self.cache[p] = [self.vocab.special[p[1:]]]
-            elif p[:2] == "\0\0" and (ids := self.vocab.foreign(p[2:])) is not None:
-                self.cache[p] = ids
-        new = [p for p in new if p not in self.cache]
-        self.cache.update(zip(new, self.index.encode(new), strict=True))
+        v, plain, pieces = self.vocab, [], {}
+        for c in chunks:
+            if c not in self.cache:
+                if v.odd(c):
+                    self.cache[c] = v.encode_odd(c)
+                else:
+                    plain.append((c, [pieces.setdefault(p, len(pieces)) for p in v.pieces(c)]))
+        ids = self.index.encode(list(pieces))
+        for c, row in plain:
+            self.cache[c] = ids[row[0]] if len(row) == 1 else [i for p in row for i in ids[p]]
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        rows = [self.pieces(t or "") for t in texts]
+        rows = [(t or "").split(" ") for t in texts]
         self.learn(set().union(*rows))
-        return [[i for p in row for i in self.cache[p]] for row in rows]
+        return [[i for c in row for i in self.cache[c]] for row in rows]
 
     def decode(self, ids: list[int]) -> str:
         """No decoder is named in the file: tokens are joined by one space."""
@@ -96,7 +87,7 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
         c = codec(path)
         joined: dict[str, tuple[int, str, str]] = {}
         for batch in batches:
-            rows = [c.pieces(t or "") for t in batch.column(1).to_pylist()]
+            rows = [(t or "").split(" ") for t in batch.column(1).to_pylist()]
             distinct = set().union(*rows)
             c.learn(distinct)
             if len(joined) > CACHE:
@@ -107,11 +98,11 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
                     joined[p] = (len(ids), " ".join(map(str, ids)), c.decode(ids))
             n, a, d = [], [], []
             for row in rows:
-                got = [joined[p] for p in row]
+                got = [g for g in map(joined.__getitem__, row) if g[0]]
                 n.append(sum([g[0] for g in got]))
                 a.append(hashlib.sha256(" ".join([g[1] for g in got]).encode()).hexdigest())
                 d.append(hashlib.sha256(" ".join([g[2] for g in got]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ship(docs.sparkSession)

@@ -17,6 +17,7 @@ Null text is empty: its document is the end id alone. Repeated rows are packed e
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -37,32 +38,40 @@ END = b"\0\0\0\0"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
-class IdBytes(dict):
-    """Little-endian 32-bit ids of each pre-token."""
+class IdBytes:
+    """Little-endian 32-bit ids of texts; the chunks of a batch that are new are encoded together."""
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
-
-    def pack(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
-
-    def __missing__(self, piece: str) -> bytes:
-        out = self.pack(self.vocab.merge_piece(piece))
-        if len(piece) < 200:
-            if len(self) > CACHE:
-                self.clear()
-            self[piece] = out
+        self.cache: dict[str, bytes] = {}
+        self.marks = dict(zip(".,", self.encode_all([".", ","]), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        found = self.vocab.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if t and "  " in t]
+        rows = [t.split(" ") if t and "  " not in t else [""] for t in texts]
+        heads = self.encode_all([r[0] for r in rows])
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        cache = self.cache
+        new = [c for c in set().union(*(r[1:] for r in rows)) if c not in cache]
+        #: A comma or stop after a letter is a pre-token of its own, so "word," is "word" and ",".
+        marked = [c for c in new if c[-1:] in self.marks and c[-2:-1].isalpha()]
+        plain = list({*(c for c in new if not (c[-1:] in self.marks and c[-2:-1].isalpha())), *(b for c in marked if (b := c[:-1]) not in cache)})
+        for k in range(0, len(plain), 20_000):
+            part = plain[k : k + 20_000]
+            cache.update(zip(part, self.encode_all([" " + c for c in part]), strict=True))
+        for c in marked:
+            cache[c] = cache[c[:-1]] + self.marks[c[-1]]
+        get = cache.__getitem__
+        out = [h + b"".join(map(get, r[1:])) for h, r in zip(heads, rows, strict=True)]
+        for i, raw in zip(whole, self.encode_all([texts[i] for i in whole]), strict=True):
+            out[i] = raw
         return out
 
-    def encode(self, text: str) -> bytes:
-        v, get = self.vocab, self.__getitem__
-        if (ids := v.foreign(text)) is not None:
-            return self.pack(ids)
-        segments = v.segments(text)
-        if len(segments) == 1:
-            return b"".join(map(get, v.pattern.findall(v.normalize(text))))
-        return b"".join(self.pack([v.special[s]]) if k % 2 else b"".join(map(get, v.pattern.findall(v.normalize(s)))) for k, s in enumerate(segments))
-
 
 class Packer:
     """Packs pieces (length, order, doc index, start) of one task; tiers are sorted by length."""
@@ -183,8 +192,8 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, id_col: str
 
         for batch in batches:
             found: list = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = (ids.encode(text) if text else b"") + END
+            for doc_id, raw in zip(batch.column(0).to_pylist(), ids.encode_batch(batch.column(1).to_pylist()), strict=True):
+                raw += END
                 tokens = len(raw) // 4
                 full = tokens // window
                 for k in range(full):

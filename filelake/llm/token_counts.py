@@ -2,7 +2,8 @@
 
 Offline, on the driver, every vocabulary string is merged alone; those that end as one
 token are *whole* (bounded by the vocabulary, sent as one broadcast). A pre-token among
-them counts one without any merging; only the rest are merged, and remembered.
+them counts one without any merging; only the rest are merged, and remembered. Chunks
+(texts cut at single spaces) remember the count of their pre-tokens.
 
 Null text counts as empty (0 bytes, 0 tokens). Repeated rows each give a row.
 """
@@ -29,31 +30,46 @@ def proved(path: str) -> frozenset[str]:
 
 
 class Counts(dict):
-    """Tokens of each pre-token: whole ones from the start, others merged at first sight."""
+    """Tokens of each chunk (with its leading space), summed over pre-tokens: whole ones count one, the rest are merged."""
 
     def __init__(self, vocab: Vocabulary, whole: frozenset[str]) -> None:
-        super().__init__(dict.fromkeys(whole, 1))
+        super().__init__()
         self.vocab, self.whole = vocab, whole
+        self.merged: dict[str, int] = {}
+
+    def tokens(self, text: str) -> int:
+        """Tokens of a text that stands alone."""
+        v, n = self.vocab, 0
+        if v.odd(text):
+            return len(v.encode_odd(text))
+        for piece in v.pieces(text):
+            if piece in self.whole:
+                n += 1
+                continue
+            m = self.merged.get(piece)
+            if m is None:
+                m = len(v.merge_piece(piece))
+                if len(piece) < 200:
+                    self.merged[piece] = m
+            n += m
+        return n
 
-    def __missing__(self, piece: str) -> int:
-        n = len(self.vocab.merge_piece(piece))
-        if len(piece) < 200:
-            self[piece] = n
+    def __missing__(self, chunk: str) -> int:
+        n = self.tokens(" " + chunk)
+        if len(chunk) < 200:
+            self[chunk] = n
         return n
 
     def trim(self) -> None:
-        if len(self) > CACHE:
+        if len(self) > CACHE or len(self.merged) > CACHE:
             self.clear()
-            self.update(dict.fromkeys(self.whole, 1))
+            self.merged.clear()
 
     def count(self, text: str) -> int:
-        v, get = self.vocab, self.__getitem__
-        if (ids := v.foreign(text)) is not None:
-            return len(ids)
-        segments = v.segments(text)
-        if len(segments) == 1:
-            return sum(map(get, v.pattern.findall(v.normalize(text))))
-        return sum(1 if k % 2 else sum(map(get, v.pattern.findall(v.normalize(s)))) for k, s in enumerate(segments))
+        if "  " in text:
+            return self.tokens(text)
+        head, *rest = text.split(" ")
+        return self.tokens(head) + sum(map(self.__getitem__, rest))
 
 
 _COUNTS: dict[str, Counts] = {}
