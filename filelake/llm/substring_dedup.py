@@ -8,7 +8,8 @@ word by word, and every window whose words also start in a document with a small
 reported. Windows already decided inside one scan chunk do not travel: a passage that a third
 of all rows share reaches its bucket once per chunk.
 
-The reported windows come back as word ranges per document and are applied to the text.
+The reported windows come back as packed word ranges and meet the texts, which travel as
+compressed Arrow blocks, in the part of their document.
 Null text has no words. A null doc_id sorts after every id. Rows that repeat a doc_id are not
 smaller than each other, so they never remove each other's words.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,12 +33,12 @@ from filelake.llm.texts import words
 from filelake.session import ship, shuffle_partitions
 
 WINDOW = 13
-MER = 4
-CHUNK = 3_000_000  # words that one scan chunk packs together
+MER = 3
+CHUNK = 4_000_000  # words that one scan chunk packs together
 LAST = (1 << 63) - 1
 _ROLL = np.random.default_rng(13).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-SCHEMA = "bucket int, blob binary, doc_id long, hash long"
+SCHEMA = "bucket int, part int, blob binary"
 
 
 def _poly(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -107,10 +109,10 @@ class _Chunk:
         self.parts.append(np.fromiter(map(self.codes.__getitem__, found), np.int32, len(found)))
         self.sizes.append(len(found))
         self.docs.append(LAST if doc is None else doc)
-        self.marks.append(struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(text.encode("utf-8"), 42)))[0])
+        self.marks.append(_mark(text))
         self.n += len(found)
 
-    def pack(self, buckets: int, width: int, mer: int) -> Iterator[tuple]:
+    def pack(self, buckets: int, parts: int, width: int, mer: int) -> Iterator[tuple]:
         if not self.n:
             return
         vocab = list(self.codes)
@@ -132,9 +134,11 @@ class _Chunk:
         del m, low
         done = _seen_before(_poly(h, at, width), w, at, docs[d[at]], width)
         del h
-        gone = at[done]
+        gone, found = at[done], []
         for doc, mark, raw in _ranges(gone - begins[d[gone]], docs[d[gone]], marks[d[gone]], width):
-            yield (doc % buckets, raw, doc, mark)
+            found.append((doc, mark, raw))
+        for part, blob in _range_blobs(found, parts):
+            yield (part % buckets, part, blob)
         at, least = at[~done], least[~done]
         if not len(at):
             return
@@ -151,29 +155,61 @@ class _Chunk:
             seen, code = np.unique(w[flat], return_inverse=True)
             whose, own = np.unique(d[s[a:b]], return_inverse=True)
             wide = 2 if len(seen) <= 1 << 16 else 4
-            parts = [
+            fields = [
                 "\n".join([vocab[i] for i in seen.tolist()]).encode("utf-8"), _planes(code, wide), docs[whose].tobytes(), marks[whose].tobytes(),
                 _planes(own, 4), _planes(s[a:b] - begins[d[s[a:b]]], 4), _planes(count[a:b], 4),
             ]
-            yield (int(bucket[a]), squeeze(struct.pack("<8I", wide, *map(len, parts)) + b"".join(parts)), None, None)
+            yield (int(bucket[a]), None, squeeze(struct.pack("<8I", wide, *map(len, fields)) + b"".join(fields)))
 
 
-def _packer(buckets: int, width: int, mer: int):
+def _part(doc: int, mark: int, parts: int) -> int:
+    """Where the text of a document and the ranges found for it meet."""
+    return zlib.crc32(struct.pack("<qq", doc, mark)) % parts
+
+
+def _range_blobs(found: list[tuple[int, int, bytes]], parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, packed ranges of many documents)."""
+    by: dict[int, list] = defaultdict(list)
+    for row in found:
+        by[_part(row[0], row[1], parts)].append(row)
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for part, rows in by.items():
+        doc, mark, raw = zip(*rows, strict=True)
+        head = np.array([doc, mark, [len(r) for r in raw]], np.int64)
+        yield part, squeeze(struct.pack("<I", len(rows)) + head.tobytes() + b"".join(raw))
+
+
+def _read_ranges(blob: bytes, into: dict[tuple[int, int], list[bytes]]) -> None:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    (n,) = struct.unpack_from("<I", raw)
+    head = np.frombuffer(raw, np.int64, 3 * n, 4).reshape(3, n)
+    at = 4 + 24 * n
+    for doc, mark, size in head.T.tolist():
+        into[doc, mark].append(raw[at : at + size])
+        at += size
+
+
+def _mark(text: str) -> int:
+    return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(text.encode("utf-8"), 42)))[0]
+
+
+def _batch_of(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = {"bucket": pa.int32(), "part": pa.int32(), "blob": pa.binary(), "docs": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for c, n in zip(zip(*rows, strict=True), names, strict=True)], names)
+
+
+def _packer(buckets: int, parts: int, width: int, mer: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
             rows, size = [], 0
-            for row in chunk.pack(buckets, width, mer):
+            for row in chunk.pack(buckets, parts, width, mer):
                 rows.append(row)
-                size += len(row[1])
+                size += len(row[2])
                 if size > 8_000_000:
-                    yield batch_of(rows)
+                    yield _batch_of(rows, ["bucket", "part", "blob"])
                     rows, size = [], 0
             if rows:
-                yield batch_of(rows)
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            b, raw, doc, mark = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(raw, pa.binary()), pa.array(doc, pa.int64()), pa.array(mark, pa.int64())], ["bucket", "blob", "doc_id", "hash"])
+                yield _batch_of(rows, ["bucket", "part", "blob"])
 
         chunk = _Chunk()
         for batch in batches:
@@ -188,32 +224,32 @@ def _packer(buckets: int, width: int, mer: int):
     return run
 
 
-def _judge(width: int):
-    """Rows of one bucket after the other: decided ranges pass, packed super-k-mers are unpacked and sorted."""
+def _judge(parts: int, width: int):
+    """Rows of one bucket after the other: packed super-k-mers are unpacked and sorted; decided ranges pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        at, blobs = None, []
+        at, blobs, found = None, [], []
 
-        def solve() -> list[tuple[int, int, bytes]]:
+        def solve() -> None:
             known: dict[str, int] = defaultdict()
             known.default_factory = known.__len__
             got = [[], [], [], [], []]
             for blob in blobs:
                 raw = expand(blob)
                 wide, *sizes = struct.unpack_from("<8I", raw)
-                where, parts = 32, []
+                where, fields = 32, []
                 for size in sizes:
-                    parts.append(raw[where : where + size])
+                    fields.append(raw[where : where + size])
                     where += size
-                names = parts[0].decode("utf-8").split("\n")
+                names = fields[0].decode("utf-8").split("\n")
                 to = np.fromiter(map(known.__getitem__, names), np.int32, len(names))
-                got[0].append(to[_from_planes(parts[1], sizes[1] // wide, wide)])
-                own = _from_planes(parts[4], sizes[4] // 4, 4)
-                got[1].append(np.frombuffer(parts[2], np.int64)[own])
-                got[2].append(np.frombuffer(parts[3], np.int64)[own])
-                got[3].append(_from_planes(parts[5], sizes[5] // 4, 4))
-                got[4].append(_from_planes(parts[6], sizes[6] // 4, 4))
+                got[0].append(to[_from_planes(fields[1], sizes[1] // wide, wide)])
+                own = _from_planes(fields[4], sizes[4] // 4, 4)
+                got[1].append(np.frombuffer(fields[2], np.int64)[own])
+                got[2].append(np.frombuffer(fields[3], np.int64)[own])
+                got[3].append(_from_planes(fields[5], sizes[5] // 4, 4))
+                got[4].append(_from_planes(fields[6], sizes[6] // 4, 4))
             blobs.clear()
             w, doc, mark, start, count = map(np.concatenate, got)
             h = np.array([xxhash.xxh64_intdigest(x.encode("utf-8"), 3) for x in known], np.uint64)[w]
@@ -222,37 +258,89 @@ def _judge(width: int):
             first = np.repeat(np.cumsum(size) - size, count) + inner
             doc, mark, start = np.repeat(doc, count), np.repeat(mark, count), np.repeat(start, count) + inner
             hit = _seen_before(_poly(h, first, width), w, first, doc, width)
-            return _ranges(start[hit], doc[hit], mark[hit], width)
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            doc, mark, raw = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array([None if x == LAST else x for x in doc], pa.int64()), pa.array(mark, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "hash", "ranges"])
+            found.extend(_ranges(start[hit], doc[hit], mark[hit], width))
 
         for batch in batches:
             passed = []
-            for bucket, blob, doc, mark in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if mark is not None:
-                    passed.append((doc, mark, blob))
+            for bucket, part, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if part is not None:
+                    passed.append((part, blob))
                     continue
-                if bucket != at and blobs and (rows := solve()):
-                    yield batch_of(rows)
+                if bucket != at and blobs:
+                    solve()
                 at = bucket
                 blobs.append(blob)
+            if len(found) > 500_000:
+                passed += _range_blobs(found, parts)
+                found.clear()
             if passed:
-                yield batch_of(passed)
-        if blobs and (rows := solve()):
-            yield batch_of(rows)
+                yield _batch_of(passed, ["part", "blob"])
+        if blobs:
+            solve()
+        if found:
+            yield _batch_of(list(_range_blobs(found, parts)), ["part", "blob"])
 
     return run
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
-    """``doc_id, hash, ranges``: packed word ranges to remove, in one or more rows for each document (id, XXH64 of text)."""
-    spark = ship(docs.sparkSession)
-    buckets = 2 * shuffle_partitions(spark)
-    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_packer(buckets, window, mer), SCHEMA)
+def repeated_ranges(docs: DataFrame, parts: int, window: int = WINDOW, mer: int = MER) -> DataFrame:
+    """``part, blob``: packed word ranges to remove, of many documents (id, XXH64 of text) a row."""
+    buckets = shuffle_partitions(docs.sparkSession)
+    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_packer(buckets, parts, window, mer), SCHEMA)
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_judge(window), "doc_id long, hash long, ranges binary")
+    return dealt.mapInArrow(_judge(parts, window), "part int, blob binary")
+
+
+def _ship_rows(id_at: int, text_at: int, parts: int):
+    """Documents as compressed Arrow blocks, one for each part and batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            ids, texts = batch.column(id_at).to_pylist(), batch.column(text_at).to_pylist()
+            own = np.array([_part(LAST if d is None else d, _mark(t or ""), parts) for d, t in zip(ids, texts, strict=True)], np.int64)
+            order = np.argsort(own, kind="stable")
+            bound = np.flatnonzero(np.append(True, np.diff(own[order]) != 0)).tolist() if len(own) else []
+            rows, size = [], 0
+            for a, b in zip(bound, [*bound[1:], len(own)], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as w:
+                    w.write_batch(batch.take(pa.array(order[a:b])))
+                rows.append((int(own[order[a]]), True, sink.getvalue().to_pybytes()))
+                size += len(rows[-1][2])
+                if size > 8_000_000:
+                    yield _batch_of(rows, ["part", "docs", "blob"])
+                    rows, size = [], 0
+            if rows:
+                yield _batch_of(rows, ["part", "docs", "blob"])
+
+    return run
+
+
+def apply_ranges(docs: DataFrame, handle, schema, window: int = WINDOW, mer: int = MER) -> DataFrame:
+    """``handle(batch, ranges)`` over batches of ``docs`` with the word ranges of each row (None: nothing repeats)."""
+    ship(docs.sparkSession)
+    parts = shuffle_partitions(docs.sparkSession)
+    id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
+    rows = docs.mapInArrow(_ship_rows(id_at, text_at, parts), "part int, docs boolean, blob binary")
+    found = repeated_ranges(docs, parts, window, mer).select("part", F.lit(False).alias("docs"), "blob")
+    met = found.union(rows).repartition("part").sortWithinPartitions("part", "docs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ranges = None, defaultdict(list)
+        for batch in batches:
+            for part, is_docs, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if part != at:
+                    at = part
+                    ranges.clear()
+                if not is_docs:
+                    _read_ranges(blob, ranges)
+                    continue
+                for block in pa.ipc.open_stream(blob):
+                    keys = zip(block.column(id_at).to_pylist(), block.column(text_at).to_pylist(), strict=True)
+                    yield handle(block, [ranges.get((LAST if d is None else d, _mark(t or ""))) for d, t in keys])
+
+    return met.mapInArrow(run, schema)
 
 
 def keep_mask(n: int, ranges: list[bytes] | None) -> np.ndarray:
@@ -265,50 +353,38 @@ def keep_mask(n: int, ranges: list[bytes] | None) -> np.ndarray:
     return (keep[:n] > 0) & (np.cumsum(edge[:n]) == 0)
 
 
-def with_ranges(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
-    """``docs`` with ``_ranges``, an array of packed ranges or null."""
-    found = repeated_ranges(docs, window, mer).groupBy("doc_id", "hash").agg(F.collect_list("ranges").alias("_ranges"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "_ranges")
-    rows = docs.withColumn("_own", F.xxhash64(F.col("text")))
-    return rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (rows["_own"] == found["_hash"]), "left").drop("_own", "_id", "_hash")
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
     """The columns of ``docs``; a text that loses words becomes its kept words joined by one space (``n_chars`` follows)."""
-    rows = with_ranges(docs, window, mer)
     names = docs.columns
-    text_at, chars_at, ranges_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None, rows.columns.index("_ranges")
+    text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, cuts = batch.column(text_at).to_pylist(), batch.column(ranges_at).to_pylist()
-            cols = [batch.column(i) for i in range(len(names))]
-            for i, cut in enumerate(cuts):
-                if cut:
-                    found = words(texts[i])
-                    texts[i] = " ".join([x for x, k in zip(found, keep_mask(len(found), cut).tolist(), strict=True) if k])
-            cols[text_at] = pa.array(texts, pa.string())
-            if chars_at is not None:
-                old = cols[chars_at].to_pylist()
-                cols[chars_at] = pa.array([len(t) if c else o for t, c, o in zip(texts, cuts, old, strict=True)], cols[chars_at].type)
-            yield pa.RecordBatch.from_arrays(cols, names)
+    def handle(batch: pa.RecordBatch, cuts: list) -> pa.RecordBatch:
+        texts, cols = batch.column(text_at).to_pylist(), list(batch.columns)
+        for i, cut in enumerate(cuts):
+            if cut:
+                found = words(texts[i])
+                texts[i] = " ".join([x for x, k in zip(found, keep_mask(len(found), cut).tolist(), strict=True) if k])
+        cols[text_at] = pa.array(texts, cols[text_at].type)
+        if chars_at is not None:
+            old = cols[chars_at].to_pylist()
+            cols[chars_at] = pa.array([len(t) if c else o for t, c, o in zip(texts, cuts, old, strict=True)], cols[chars_at].type)
+        return pa.RecordBatch.from_arrays(cols, names)
 
-    return rows.mapInArrow(run, docs.schema)
+    return apply_ranges(docs, handle, docs.schema, window, mer)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, removed, sha = [], [], []
-            for text, cut in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = words(text or "")
-                n.append(len(found))
-                if cut:
-                    found = [x for x, k in zip(found, keep_mask(len(found), cut).tolist(), strict=True) if k]
-                removed.append(n[-1] - len(found))
-                sha.append(hashlib.sha256(" ".join(found).encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return with_ranges(docs).select("doc_id", "text", "_ranges").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    def handle(batch: pa.RecordBatch, cuts: list) -> pa.RecordBatch:
+        n, removed, sha = [], [], []
+        for text, cut in zip(batch.column(1).to_pylist(), cuts, strict=True):
+            found = words(text or "")
+            n.append(len(found))
+            if cut:
+                found = [x for x, k in zip(found, keep_mask(len(found), cut).tolist(), strict=True) if k]
+            removed.append(n[-1] - len(found))
+            sha.append(hashlib.sha256(" ".join(found).encode("utf-8")).hexdigest())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return apply_ranges(docs, handle, "doc_id long, n_words long, n_removed long, kept_sha256 string")
