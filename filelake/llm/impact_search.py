@@ -12,7 +12,8 @@ A stated query set meets all rows in tiles (query block x vector block); each ti
 its k best per query, a window picks the k best of all. Vectors that are null or hold null or
 non-finite components take no part, nor do rows without an id. Only vectors of equal length
 meet. Rows repeating the query's id are its own; a query id that repeats asks once (its
-smallest vector). Ties go to the smaller id; repeated candidate rows each count.
+smallest vector). Ties go to the smaller id; repeated candidate rows each count. Scores outside
+the range of a long are given as its nearest bound.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ BLOCK = 8192
 QUERIES = 256
 LEVELS = 8
 FEW = 64
+LIMIT = (1 << 63) - 1
 
 
 class BlockIndex:
@@ -78,7 +80,7 @@ class BlockIndex:
 
     def _exact(self, who: np.ndarray, score: np.ndarray, k: int) -> list[tuple[int, int]]:
         order = sorted(range(len(who)), key=lambda i: (-score[i], self.ids[who[i]]))[:k] if score.dtype == object else np.lexsort((self.ids[who], -score))[:k]
-        return [(int(score[i]), int(self.ids[who[i]])) for i in order]
+        return [(max(-LIMIT, min(LIMIT, int(score[i]))), int(self.ids[who[i]])) for i in order]
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
