@@ -13,7 +13,8 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from filelake.llm import bpe_codec, exact_dedup, impact_search, lm_scoring, packing, rule_quality, sharding, simhash, substring_dedup, token_counts
+from filelake.llm import attention, bpe_codec, exact_dedup, impact_search, lm_scoring, packing, rule_quality, sharding, simhash, substring_dedup, token_counts
+from filelake.llm.bpe import load
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -185,6 +186,28 @@ def test_windows_score_each_token_once():
         assert y[use].tolist() == list(range(n)) and x[use].tolist() == list(range(-1, n - 1))
 
 
+def test_folded_network_equals_the_trained_one():
+    rnd, classes = np.random.default_rng(3), 20
+    p = {k: x + rnd.normal(0, 0.5, x.shape).astype(np.float32) for k, x in attention.initial(classes).items()}
+    prior = np.log(rnd.dirichlet(np.ones(classes), classes + 1)).astype(np.float32)
+    size = np.array([1, 31, 32, 33, 56, 57, 500])
+    seq = rnd.integers(0, classes, size.sum())
+    got, at = lm_scoring._class_logs(attention.Scorer(p, prior), classes, seq, size), 0
+    for n in size.tolist():
+        x, y, use = lm_scoring.windows(seq[at : at + n].tolist(), classes)
+        z = attention.hidden(p, x)[0] @ p["out"] + prior[x]
+        z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
+        assert np.allclose(np.take_along_axis(z, y[:, :, None], 2)[:, :, 0][use], got[at : at + n], atol=1e-3)
+        at += n
+
+
+def test_words_are_spelled_alike_together_and_alone():
+    vocab = load(public_tokenizers.path("byte_bpe_50k.json"))
+    for found in (["a", "don't", "x" * 50, "<|endoftext|>", "naïve", "日本語", "1234,5"], ["a\u00a0", "\u00a0", "\u00a0\u00a0b", "c"], []):
+        ids, size = lm_scoring.subwords(vocab, found)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(size))[: len(size)]] == [vocab.plain(" " + w) for w in found]
+
+
 def test_quality(docs, empty, spark):
     labels = spark.createDataFrame([(i, int(len(t or "") > 100)) for i, t in corpus() if i] + [(None, 1), (5, None)], "doc_id long, quality int")
     model = rule_quality.train(docs, labels)
