@@ -1,11 +1,11 @@
 """Exact top-k inner-product search over an impact-ordered index, score at a time.
 
-Vectors are cut into blocks; of each block the index keeps, per component, the row order by
-component value: a posting segment is a slice of it, and its impact on a query is the query's
-component times the segment's value. A query processes segments by descending quantised
-impact (all contributions shifted to be non-negative), with one accumulator per row that also
-counts seen components. It stops only on proof: when few rows can still reach the k-th best
-lower bound, given that each unseen component adds at most the current impact. The possible
+Vectors are cut into blocks; of each block the index keeps one posting segment per component
+(dense vectors have a posting in every one) with its largest magnitude. A segment's impact on
+a query is the query's component times that magnitude. A query processes segments by
+descending quantised impact, adding to one accumulator per row. It stops only on proof: the
+components not yet seen add at most the product of the two remaining norms (Cauchy-Schwarz),
+so a row whose upper bound lies below the k-th best lower bound is no member. The possible
 members are rescored exactly.
 
 A stated query set meets all rows in tiles (query block x vector block); each tile returns
@@ -29,54 +29,50 @@ from filelake.session import materialize, ship
 
 BLOCK = 8192
 QUERIES = 256
-LEVELS = 8
-FEW = 64
+LEVELS = 16
+#: Rescoring this share of a block costs less than the segments that are left.
+FEW = 1 / 8
 LIMIT = (1 << 63) - 1
 
 
 class BlockIndex:
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, order: np.ndarray | None = None) -> None:
+    def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         self.ids, self.rows = ids, rows
-        self.order = np.argsort(rows, axis=0, kind="stable").T.astype(np.int32) if order is None else order
-        self.values = np.take_along_axis(np.ascontiguousarray(rows.T), self.order, axis=1)
+        self.segments = np.ascontiguousarray(rows.T, np.float64)
+        self.most = np.abs(self.segments).max(axis=1, initial=0)
+        self.squares = self.segments**2
+        self.norms = self.squares.sum(axis=0)
 
     def top(self, qid: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(score, id) of the k best rows but the query's own."""
-        n = len(self.ids)
         alive = self.ids != qid
-        if not alive.any():
+        who = np.flatnonzero(alive)
+        if not len(who):
             return []
-        reach = int(np.abs(self.values[:, [0, -1]]).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(1, len(q))
-        if reach >= 1 << 53:  # too large for packed accumulators: plain exact integers
-            who = np.flatnonzero(alive)
+        reach = max(int(self.most.max(initial=0)), int(np.abs(q.astype(np.float64)).max(initial=0)))
+        if reach * reach * max(1, len(q)) >= 1 << 53:  # not exact in doubles: plain integers
             return self._exact(who, self.rows[who].astype(object) @ q.astype(object), k)
-        segments, top = [], 0
-        for j in np.flatnonzero(q).tolist():
-            v, o = self.values[j], self.order[j]
-            if q[j] < 0:
-                v, o = -v[::-1], o[::-1]
-            a = abs(int(q[j]))
-            low = a * int(v[0])
-            segments.append((a, low, v, o))
-            top = max(top, a * int(v[-1]) - low)
-        acc = np.zeros(n, np.int64)  # contribution in the high bits, seen components in the low 16
-        ends = [n] * len(segments)
-        who = np.flatnonzero(alive)
-        for level in range(1, LEVELS + 1):
-            bar = top - top * level // LEVELS
-            for s, (a, low, v, o) in enumerate(segments):
-                start = int(np.searchsorted(v, -(-(bar + low) // a)))
-                if start < ends[s]:
-                    acc[o[start : ends[s]]] += ((a * v[start : ends[s]] - low) << 16) + 1
-                    ends[s] = start
-            if 2 * level >= LEVELS and len(who) > k:
-                got, seen = acc[who] >> 16, acc[who] & 0xFFFF
-                need = np.partition(got, len(got) - k)[len(got) - k]
-                possible = who[got + (len(segments) - seen) * bar >= need]
-                if len(possible) <= max(FEW, k) or level == LEVELS:
+        x = q.astype(np.float64)
+        impact = np.abs(x) * self.most
+        level = np.ceil(impact * (LEVELS / max(1.0, impact.max(initial=0)))).astype(int)
+        order = np.argsort(-level, kind="stable").tolist()
+        score, left, rest = np.zeros(len(self.ids)), self.norms.copy(), float(x @ x)
+        half = rest / 2
+        for at, j in enumerate(order):
+            if x[j]:
+                score += self.segments[j] * x[j]
+                left -= self.squares[j]
+                rest -= x[j] * x[j]
+            last = at + 1 == len(order)
+            if len(who) > k and (last or rest <= half and level[order[at + 1]] < level[j]):
+                slack = np.sqrt(rest * left) * (1 + 1e-9)
+                low = (score - slack)[who]
+                need = np.partition(low, len(low) - k)[len(low) - k]
+                possible = who[(score + slack)[who] >= need]
+                if last or len(possible) <= max(k, FEW * len(who)):
                     who = possible
                     break
-        return self._exact(who, self.rows[who] @ q, k)
+        return self._exact(who, (self.segments[:, who].T @ x).astype(np.int64), k)
 
     def _exact(self, who: np.ndarray, score: np.ndarray, k: int) -> list[tuple[int, int]]:
         order = sorted(range(len(who)), key=lambda i: (-score[i], self.ids[who[i]]))[:k] if score.dtype == object else np.lexsort((self.ids[who], -score))[:k]
@@ -91,17 +87,18 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> Da
     return rows.select(F.col(id_col).cast("long").alias("id"), F.size(x).alias("dim"), F.transform(x, lambda c: F.floor(F.lit(scale) * c)).alias("v"))
 
 
-def _packed(name: str, with_order: bool):
-    """Rows of one (dim, block) after the other become one row with ids, vectors and posting order."""
+def _packed(name: str):
+    """Rows of one (dim, block) after the other become one row with ids and vectors, in 32 bits where they fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, rows = None, [], []
 
         def close() -> pa.RecordBatch:
             x, w = np.array(ids, np.int64), np.array(rows, np.int64).reshape(len(ids), at[0])
-            order = np.argsort(w, axis=0, kind="stable").T.astype(np.int32).tobytes() if with_order else b""
             ids.clear(), rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([x.tobytes()]), pa.array([w.tobytes()]), pa.array([order])], ["dim", name, f"{name}_ids", f"{name}_rows", f"{name}_order"])
+            if w.max(initial=0) < 1 << 31 and w.min(initial=0) >= -1 << 31:
+                w = w.astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([x.tobytes()]), pa.array([w.tobytes()])], ["dim", name, f"{name}_ids", f"{name}_rows"])
 
         for batch in batches:
             for key in zip(*(batch.column(c).to_pylist() for c in ("dim", "part", "id", "v")), strict=True):
@@ -115,10 +112,16 @@ def _packed(name: str, with_order: bool):
     return run
 
 
-def _blocks(rows: DataFrame, name: str, size: int, with_order: bool) -> tuple[DataFrame, int]:
+def _unpacked(ids: bytes, rows: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(ids, np.int64)
+    kind = np.int64 if len(rows) == 8 * len(x) * dim else np.int32
+    return x, np.frombuffer(rows, kind).reshape(len(x), dim).astype(np.int64)
+
+
+def _blocks(rows: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
     n = -(-rows.count() // size) or 1
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")).repartition("dim", "part").sortWithinPartitions("dim", "part", "id")
-    packed = dealt.mapInArrow(_packed(name, with_order), f"dim int, {name} int, {name}_ids binary, {name}_rows binary, {name}_order binary")
+    packed = dealt.mapInArrow(_packed(name), f"dim int, {name} int, {name}_ids binary, {name}_rows binary")
     return materialize(packed, name), n
 
 
@@ -126,18 +129,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     """``query_id, rank, vec_id, score`` for every query row against every vector row."""
     ship(vectors.sparkSession)
     asked = quantised(queries, id_col, vec_col, scale).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("s")).select("id", "s.dim", "s.v")
-    index, n_blocks = _blocks(quantised(vectors, id_col, vec_col, scale), "block", BLOCK, True)
-    packs, n_packs = _blocks(asked, "pack", QUERIES, False)
+    index, n_blocks = _blocks(quantised(vectors, id_col, vec_col, scale), "block", BLOCK)
+    packs, n_packs = _blocks(asked, "pack", QUERIES)
     tiles = index.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(n_packs - 1))))
     tiles = tiles.join(packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))), ["dim", "block", "pack"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.select(["dim", "block_ids", "block_rows", "block_order", "pack_ids", "pack_rows"]).to_pylist():
-                d = r["dim"]
-                ids, qids = np.frombuffer(r["block_ids"], np.int64), np.frombuffer(r["pack_ids"], np.int64)
-                index = BlockIndex(ids, np.frombuffer(r["block_rows"], np.int64).reshape(len(ids), d), np.frombuffer(r["block_order"], np.int32).reshape(d, len(ids)))
-                out = [(int(qid), s, i) for qid, q in zip(qids, np.frombuffer(r["pack_rows"], np.int64).reshape(len(qids), d), strict=True) for s, i in index.top(int(qid), q, k)]
+            for r in batch.select(["dim", "block_ids", "block_rows", "pack_ids", "pack_rows"]).to_pylist():
+                index = BlockIndex(*_unpacked(r["block_ids"], r["block_rows"], r["dim"]))
+                asked = zip(*_unpacked(r["pack_ids"], r["pack_rows"], r["dim"]), strict=True)
+                out = [(int(qid), s, i) for qid, q in asked for s, i in index.top(int(qid), q, k)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], ["query_id", "score", "vec_id"])
 
     from pyspark.sql import Window
