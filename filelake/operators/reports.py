@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+from typing import TextIO
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from filelake.functions.fixed import REPORT_FOLDERS, STATUSES
+from filelake.operators.verify import status_counts, verdict
+
 CAP = 100_000
 
 
@@ -23,6 +27,26 @@ def capped(events: DataFrame, cap: int, by: list[str], order: list[str]) -> Data
     return kept.join(totals, by).withColumn("truncated", F.col("total") > cap)
 
 
+def _entries(f: TextIO, rows: DataFrame) -> None:
+    """A JSON array, one row after the other; nulls are left out."""
+    f.write("[")
+    for k, row in enumerate(rows.toLocalIterator()):
+        f.write(("," if k else "") + "\n" + json.dumps({c: v for c, v in row.asDict().items() if v is not None}, ensure_ascii=False, default=str))
+    f.write("\n]")
+
+
+def _write(path: str, head: dict, lists: dict[str, DataFrame]) -> None:
+    """One JSON object: ``head``, then each list streamed; it takes its name only when whole."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+        f.write(json.dumps(head, ensure_ascii=False, default=str)[:-1])
+        for name, rows in lists.items():
+            f.write(f', "{name}": ')
+            _entries(f, rows)
+        f.write("}\n")
+    os.replace(f"{path}.tmp", path)
+
+
 def write_outcome_report(events: DataFrame, outcome: str, job: str, path: str, cap: int = CAP) -> int:
     """Stream one JSON report to ``path``; returns the true total. Nothing is written for an outcome without rows."""
     own = events.where((F.col("job_id") == job) & (F.col("outcome") == outcome))
@@ -32,15 +56,61 @@ def write_outcome_report(events: DataFrame, outcome: str, job: str, path: str, c
     head = {"jobId": job, "outcome": outcome, "totalCount": total, "totalBytesSaved" if outcome == "DUPLICATE" else "totalBytes": size, "truncated": total > cap, "entriesOmitted": max(0, total - cap)}
     if total > cap:
         head["notice"] = f"Report lists the first {cap} of {total} entries."
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps(head, ensure_ascii=False)[:-1] + ', "entries": [')
-        for k, row in enumerate(own.orderBy("event_seq").limit(cap).drop("job_id", "outcome").toLocalIterator()):
-            f.write(("," if k else "") + "\n" + json.dumps({c: v for c, v in row.asDict().items() if v is not None}, ensure_ascii=False, default=str))
-        f.write("\n]}\n")
+    entries = own.orderBy("event_seq").limit(cap).drop("job_id", "outcome")
+    _write(path, head, {"entries": entries})
     return total
 
 
 def status_latest(log: DataFrame, by: str, status: str, order: list[str]) -> DataFrame:
     """Status is an append-only log: the latest row wins."""
     return log.groupBy(by).agg(F.max_by(status, F.struct(*order)).alias("status"))
+
+
+def write_all_outcomes(events: DataFrame, job: str, folder: str, cap: int = CAP) -> dict[str, str]:
+    """The three outcome reports of a job, each by job and again under its latest name; outcomes without rows write none."""
+    written = {}
+    for outcome, sub in zip(("SKIPPED", "FAILED", "DUPLICATE"), REPORT_FOLDERS, strict=True):
+        path = os.path.join(folder, sub, f"{outcome.lower()}-{job}.json")
+        if write_outcome_report(events, outcome, job, path, cap):
+            latest = os.path.join(folder, sub, f"{outcome.lower()}.json")
+            with open(path, encoding="utf-8") as a, open(f"{latest}.tmp", "w", encoding="utf-8") as b:
+                for line in a:
+                    b.write(line)
+            os.replace(f"{latest}.tmp", latest)
+            written[outcome] = path
+    return written
+
+
+def write_integrity_report(findings: DataFrame, run: dict, path: str, deep: bool, completed: bool = True) -> dict:
+    """Always written: what was measured, how far it can be trusted, all seven counts, and each finding that isn't intact.
+
+    ``findings``: rows of ``verify.reconcile`` (materialised: they are read several times). Returns the head."""
+    counts = {r.status: r.n for r in status_counts(findings).collect()}  # seven rows
+    verified, problems, clean = verdict(findings, completed).select("verified", "problems", "clean").first()
+    if not completed:
+        caveat = "Cancelled before its end: files that were not reached have not been checked."
+    elif deep:
+        caveat = "Deep: every recorded file was read and its SHA-256 compared."
+    else:
+        caveat = "Quick: only existence and size were checked, so a change that keeps the length looks intact. A deep run compares contents."
+    hashed = F.col("observed_sha256").isNotNull() if deep and "observed_sha256" in findings.columns else F.lit(False)
+    read = findings.agg(F.coalesce(F.sum(F.when(hashed & F.col("destination_size").isNotNull(), F.col("size"))), F.lit(0))).first()[0]
+    head = run | {"mode": "DEEP" if deep else "QUICK", "completed": completed, "clean": clean, "bytesRead": read, "caveat": caveat, "counts": {s: counts[s] for s in STATUSES}, "filesVerified": verified, "problems": problems}
+    names = {"path": "path", "status": "status", "destination_size": "expectedSize", "size": "observedSize", "sha256": "expectedSha256", "observed_sha256": "observedSha256"}
+    bad = findings.where("status <> 'INTACT'")
+    _write(path, head, {"findings": bad.select(*[F.col(a).alias(b) for a, b in names.items() if a in bad.columns]).orderBy("path")})
+    return head
+
+
+def write_cleanup_report(results: DataFrame, removed: list[str], run: dict, path: str, not_removed: list[str] | None = None) -> dict | None:
+    """Deleted, skipped and failed files and the folders removed; None, and no file, when nothing happened.
+
+    ``results``: rows of ``actions.delete`` (materialised), with any further columns of the preview."""
+    by = {r.status: (r.n, r.bytes) for r in results.groupBy("status").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()}
+    if not by and not removed:
+        return None
+    n = lambda s: by.get(s, (0, 0))
+    head = run | {"permanentDeletion": True, "filesDeleted": n("DELETED")[0], "bytesDeleted": n("DELETED")[1], "filesSkipped": n("SKIPPED_REVERIFY")[0], "filesFailed": n("FAILED")[0]}
+    head |= {"directoriesRemoved": len(removed), "directoriesRemovedPaths": removed} | ({"directoriesFailed": not_removed} if not_removed else {})
+    _write(path, head, {name: results.where(F.col("status") == s).orderBy("path") for name, s in (("deleted", "DELETED"), ("skipped", "SKIPPED_REVERIFY"), ("failed", "FAILED"))})
+    return head

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filelake.functions import columns as C
-from filelake.operators import claims, cleanup, gates, placement, reports, series, verify
+from filelake.operators import claims, cleanup, gates, placement, reports, series, summary, verify
 from filelake.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -396,3 +396,38 @@ def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
 def chartable(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "events").groupBy("event_type", "user_id").count().where("count >= 5")
     return n.groupBy("event_type").agg(F.count("*").alias("chartable"))
+
+
+def _bytes_sql(n: str) -> str:
+    part = lambda power, digits: f"CAST(round(CAST({n} / {1024**power}.0 AS DECIMAL(28,10)), {digits}) AS DECIMAL(28,{digits}))::VARCHAR"
+    return f"CASE WHEN {n} < 1024 THEN {n} || ' B' WHEN {n} < {1024**2} THEN {part(1, 1)} || ' KB' WHEN {n} < {1024**3} THEN {part(2, 1)} || ' MB' WHEN {n} < {1024**4} THEN {part(3, 2)} || ' GB' ELSE {part(4, 2)} || ' TB' END"
+
+
+def _summary_sql() -> str:
+    """The columns of ``s`` below, one row for each field."""
+    show = {
+        "text": "{}::VARCHAR", "time": r"regexp_replace(strftime({}, '%Y-%m-%dT%H:%M:%S.%f'), '\.?0*$', '')", "count": "{}::VARCHAR",
+        "decimal": "CAST(round(CAST({} AS DECIMAL(28,10)), 2) AS DECIMAL(28,2))::VARCHAR", "gigas": "CAST(round(CAST({} / 1024.0 AS DECIMAL(28,10)), 2) AS DECIMAL(28,2))::VARCHAR",
+    }
+    known = {"job_id", "status", "start_time", "end_time", "files_processed", "files_skipped", "bytes_processed", "avg_mb_per_sec", "peak_mb_per_sec"}
+    rows = []
+    for k, (label, how, name) in enumerate(summary.FIELDS):
+        if how == "duration":
+            value = "printf('%d:%02d:%02d', secs // 3600, secs % 3600 // 60, secs % 60)"
+        else:
+            value = _bytes_sql(name if name in known else "0") if how == "bytes" else show[how].format(name if name in known else "0")
+        rows.append(f"{{'pos': {k}, 'field': '{label}', 'value': {value}}}")
+    return f"""WITH s AS (SELECT user_id AS job_id, arg_max(event_type, row(ts, event_id)) AS status, min(ts) AS start_time, max(ts) AS end_time,
+epoch(date_trunc('second', max(ts)))::BIGINT - epoch(date_trunc('second', min(ts)))::BIGINT AS secs, count(*) AS files_processed, count(*) FILTER (event_type = 'click') AS files_skipped,
+sum(floor(value)::BIGINT)::BIGINT AS bytes_processed, avg(floor(value)) AS avg_mb_per_sec, max(value) AS peak_mb_per_sec FROM events GROUP BY user_id)
+SELECT job_id, f.pos AS pos, f.field AS field, f.value AS value FROM (SELECT job_id::VARCHAR AS job_id, unnest([{", ".join(rows)}]) AS f FROM s)"""
+
+
+@query(_summary_sql())
+def summary_fields(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("whole", F.floor("value"))
+    stats = e.groupBy(F.col("user_id").alias("job_id")).agg(
+        F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.count("*").alias("files_processed"),
+        F.count_if(F.col("event_type") == "click").alias("files_skipped"), F.sum("whole").alias("bytes_processed"), F.avg("whole").alias("avg_mb_per_sec"), F.max("value").alias("peak_mb_per_sec"),
+    )
+    return summary.long_form(summary.summary_fields(stats))
