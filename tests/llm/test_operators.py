@@ -186,6 +186,13 @@ def test_windows_score_each_token_once():
         assert y[use].tolist() == list(range(n)) and x[use].tolist() == list(range(-1, n - 1))
 
 
+def test_earlier_counts_stay_inside_a_text():
+    rnd = np.random.default_rng(1)
+    where, text = rnd.integers(0, 5, 200), np.repeat(np.arange(8), 25)
+    assert lm_scoring.earlier(where, text).tolist() == [sum(where[j] == where[i] and text[j] == text[i] for j in range(i)) for i in range(200)]
+    assert lm_scoring.earlier(where[:0], text[:0]).tolist() == []
+
+
 def test_folded_network_equals_the_trained_one():
     rnd, classes = np.random.default_rng(3), 20
     p = {k: x + rnd.normal(0, 0.5, x.shape).astype(np.float32) for k, x in attention.initial(classes).items()}
