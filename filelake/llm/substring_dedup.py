@@ -388,3 +388,22 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return apply_ranges(docs, handle, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d
+), windows AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY sha256(array_to_string(w[i:i + 12], ' '))) AS first_doc FROM starts
+), covered AS (
+  SELECT DISTINCT doc_id, i + j AS i FROM windows, range(0, 13) AS r(j) WHERE first_doc < doc_id
+), kept AS (
+  SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) ANTI JOIN covered USING (doc_id, i)
+), texts AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM kept GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(texts.text, '')) AS kept_sha256
+FROM d LEFT JOIN texts ON d.doc_id = texts.doc_id
+"""
