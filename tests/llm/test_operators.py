@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -186,6 +187,25 @@ def test_windows_score_each_token_once():
         assert y[use].tolist() == list(range(n)) and x[use].tolist() == list(range(-1, n - 1))
 
 
+def learned(monkeypatch, texts):
+    """(classes that the trainer learned, classes of the texts with their ends, the weight it reports), texts given twice."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tables = lm_scoring.Tables(len(load(path).tokens), [], [(i, 1) for i in range(300)], 1)
+    seen, step = [], attention.step
+    monkeypatch.setattr(lm_scoring.net, "step", lambda p, o, x, y, use: seen.extend(y[use].tolist()) or step(p, o, x, y, use))
+    monkeypatch.setattr(lm_scoring.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    batch = pa.RecordBatch.from_arrays([pa.array([True, True, False] * len(texts)), pa.array([t for t in texts for _ in range(3)])], ["training", "text"])
+    out = list(lm_scoring._trainer(path, tables, attention.flat(attention.initial(lm_scoring.CLASSES)))(iter([batch])))
+    want = [c for t in texts for c in [*tables.cls[lm_scoring.subwords(load(path), t.lower().split())[0]].tolist(), tables.end]]
+    return Counter(seen), Counter(want * 2), out[0].column(2)[0].as_py()
+
+
+def test_training_learns_every_position_of_every_text(monkeypatch):
+    rnd = random.Random(4)
+    got, want, weight = learned(monkeypatch, ["", "one", " ".join(rnd.choice(["the", "cat", "sat", "down"]) for _ in range(3000))])
+    assert got == want and weight == sum(want.values())
+
+
 def test_earlier_counts_stay_inside_a_text():
     rnd = np.random.default_rng(1)
     where, text = rnd.integers(0, 5, 200), np.repeat(np.arange(8), 25)
