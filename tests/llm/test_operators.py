@@ -206,6 +206,13 @@ def test_training_learns_every_position_of_every_text(monkeypatch):
     assert got == want and weight == sum(want.values())
 
 
+def test_training_learns_long_words_and_every_end(monkeypatch):
+    rnd = random.Random(6)
+    long = " ".join("".join(rnd.choice("bcdfgxz0123") for _ in range(40)) for _ in range(32))
+    got, want, _ = learned(monkeypatch, [long, long + " tail"])
+    assert sum(want.values()) > 2000 and got == want and got[lm_scoring.CLASSES - 1] == 4
+
+
 def test_earlier_counts_stay_inside_a_text():
     rnd = np.random.default_rng(1)
     where, text = rnd.integers(0, 5, 200), np.repeat(np.arange(8), 25)
