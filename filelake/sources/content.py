@@ -1,7 +1,7 @@
 """File content in one pass per file: SHA-256, SHA-256 of the first 64 KiB, MIME type, structural validity, embedded date.
 
 Runs as ``mapInPandas`` over paths, streams files of any size in blocks, and keeps contents
-out of the plan. Filter with the cheap gates first: Python runs for every row it is given.
+out of the plan. Structure and dates are found by seeking, at any size, in bounded memory. Filter with the cheap gates first: Python runs for every row it is given.
 Structural checks catch truncation and broken chunks; entropy-coded damage inside an intact
 JPEG frame is not detected.
 """
@@ -15,6 +15,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,73 +62,116 @@ def refine_zip(path: str) -> str:
         return "application/zip"
 
 
-def png_problem(raw: bytes) -> str | None:
-    at = 8
-    while at + 12 <= len(raw):
-        (n,) = struct.unpack(">I", raw[at : at + 4])
-        kind, body, crc = raw[at + 4 : at + 8], raw[at + 8 : at + 8 + n], raw[at + 8 + n : at + 12 + n]
-        if len(crc) < 4:
+def _at(f: BinaryIO, at: int, n: int) -> bytes:
+    f.seek(at)
+    return f.read(n)
+
+
+def _find(f: BinaryIO, what: bytes) -> int:
+    """Place of the first ``what`` in the file, -1 if there is none."""
+    f.seek(0)
+    at, tail = 0, b""
+    while block := f.read(BLOCK):
+        both = tail + block
+        if (k := both.find(what)) >= 0:
+            return at - len(tail) + k
+        at, tail = at + len(block), both[-len(what) + 1 :]
+    return -1
+
+
+def png_problem(f: BinaryIO) -> str | None:
+    f.seek(8)
+    while len(start := f.read(8)) == 8:
+        (n,), kind = struct.unpack(">I", start[:4]), start[4:]
+        crc = zlib.crc32(kind)
+        while n and (block := f.read(min(n, BLOCK))):
+            crc, n = zlib.crc32(block, crc), n - len(block)
+        want = f.read(4)
+        if len(want) < 4:
             return "truncated PNG chunk"
-        if zlib.crc32(kind + body) != struct.unpack(">I", crc)[0]:
+        if crc != struct.unpack(">I", want)[0]:
             return "corrupt PNG chunk"
         if kind == b"IEND":
             return None
-        at += 12 + n
     return "truncated PNG"
 
 
-def jpeg_problem(raw: bytes) -> str | None:
+def jpeg_problem(f: BinaryIO, size: int) -> str | None:
     at = 2
-    while at + 4 <= len(raw):
-        if raw[at] != 0xFF:
+    while len(start := _at(f, at, 4)) == 4:
+        if start[0] != 0xFF:
             return "corrupt JPEG marker"
-        kind = raw[at + 1]
+        kind = start[1]
         if kind == 0xFF:
             at += 1
             continue
-        (n,) = struct.unpack(">H", raw[at + 2 : at + 4])
         if kind == 0xDA:
-            return None if raw.rstrip(b"\0")[-2:] == b"\xff\xd9" else "missing EOI"
-        at += 2 + n
+            return None if _last(f, size) == b"\xff\xd9" else "missing EOI"
+        at += 2 + struct.unpack(">H", start[2:])[0]
     return "truncated JPEG"
 
 
-def exif_date(raw: bytes) -> datetime | None:
-    """DateTimeOriginal of a JPEG or TIFF block."""
-    at = raw.find(b"Exif\0\0")
-    tiff = raw[at + 6 :] if at >= 0 else raw if raw[:4] in (b"II*\0", b"MM\0*") else b""
-    if len(tiff) < 8:
+def _last(f: BinaryIO, end: int) -> bytes:
+    """The last two bytes before the zeros at the end."""
+    while end > 0:
+        begin = max(0, end - BLOCK)
+        if left := _at(f, begin, end - begin).rstrip(b"\0"):
+            end = begin + len(left)
+            return _at(f, max(0, end - 2), min(2, end))
+        end = begin
+    return b""
+
+
+def exif_date(f: BinaryIO) -> datetime | None:
+    """DateTimeOriginal of a JPEG or TIFF block, wherever its directories lie."""
+    at = _find(f, b"Exif\0\0")
+    base = at + 6 if at >= 0 else 0
+    head = _at(f, base, 8)
+    if len(head) < 8 or at < 0 and head[:4] not in (b"II*\0", b"MM\0*"):
         return None
-    e = "<" if tiff[:2] == b"II" else ">"
-    todo, seen = [struct.unpack(e + "I", tiff[4:8])[0]], set()
+    e = "<" if head[:2] == b"II" else ">"
+    todo, seen = [struct.unpack(e + "I", head[4:8])[0]], set()
     while todo:
         ifd = todo.pop()
-        if ifd in seen or ifd + 2 > len(tiff):
+        if ifd in seen or len(count := _at(f, base + ifd, 2)) < 2:
             continue
         seen.add(ifd)
-        (n,) = struct.unpack(e + "H", tiff[ifd : ifd + 2])
-        for k in range(n):
-            entry = tiff[ifd + 2 + 12 * k : ifd + 14 + 12 * k]
-            if len(entry) < 12:
-                break
-            tag, _, count, value = struct.unpack(e + "HHII", entry)
+        entries = f.read(12 * struct.unpack(e + "H", count)[0])
+        for k in range(0, len(entries) - 11, 12):
+            tag, _, size, value = struct.unpack(e + "HHII", entries[k : k + 12])
             if tag == 0x8769:
                 todo.append(value)
             elif tag == 0x9003:
                 try:
-                    return datetime.strptime(tiff[value : value + count].rstrip(b"\0 ").decode("ascii"), "%Y:%m:%d %H:%M:%S")
+                    return datetime.strptime(_at(f, base + value, min(size, 4096)).rstrip(b"\0 ").decode("ascii"), "%Y:%m:%d %H:%M:%S")
                 except (ValueError, UnicodeDecodeError):
                     return None
     return None
 
 
-def movie_date(raw: bytes) -> datetime | None:
-    """Creation time of an ISO media file's mvhd box (seconds since 1904)."""
-    at = raw.find(b"mvhd")
-    if at < 0 or len(raw) < at + 16:
-        return None
-    seconds = struct.unpack(">Q", raw[at + 8 : at + 16])[0] if raw[at + 4] == 1 else struct.unpack(">I", raw[at + 8 : at + 12])[0]
-    return datetime(1904, 1, 1) + timedelta(seconds=seconds) if 0 < seconds < 1 << 36 else None
+def _boxes(f: BinaryIO, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(type, begin, end) of the contents of each ISO box between two places."""
+    while at + 8 <= end and len(start := _at(f, at, 16)) >= 8:
+        (n,), skip = struct.unpack(">I", start[:4]), 8
+        if n == 1 and len(start) == 16:
+            (n,), skip = struct.unpack(">Q", start[8:]), 16
+        elif n == 0:  # as far as the end
+            n = end - at
+        if n < skip:
+            return
+        yield start[4:8], at + skip, min(at + n, end)
+        at += n
+
+
+def movie_date(f: BinaryIO, size: int) -> datetime | None:
+    """Creation time of an ISO media file's mvhd box (seconds since 1904), wherever its moov box lies."""
+    for kind, begin, end in _boxes(f, 0, size):
+        for inner, at, _ in _boxes(f, begin, end) if kind == b"moov" else ():
+            raw = _at(f, at, 12)
+            if inner == b"mvhd" and len(raw) == 12:
+                seconds = struct.unpack(">Q", raw[4:])[0] if raw[0] == 1 else struct.unpack(">I", raw[4:8])[0]
+                return datetime(1904, 1, 1) + timedelta(seconds=seconds) if 0 < seconds < 1 << 36 else None
+    return None
 
 
 def inspect(path: str) -> tuple:
@@ -138,18 +182,15 @@ def inspect(path: str) -> tuple:
                 full.update(block)
                 if size < PARTIAL_BYTES:
                     part.update(block[: PARTIAL_BYTES - size])
-                if size < 8 * BLOCK:
-                    head += block
+                head = head or block[:4096]
                 size += len(block)
+            mime = sniff(head)
+            problem = png_problem(f) if mime == "image/png" else jpeg_problem(f, size) if mime == "image/jpeg" else None
+            date = exif_date(f) if mime.startswith("image/") else movie_date(f, size) if mime.startswith("video/") else None
     except OSError as e:
         return (path, None, None, "application/x-unreadable", None, None, f"{type(e).__name__}: {e.strerror}")
-    mime = sniff(head[:4096])
     if mime == "application/zip":
         mime = refine_zip(path)
-    problem = None
-    if size == len(head):  # larger images keep the benefit of the doubt
-        problem = png_problem(head) if mime == "image/png" else jpeg_problem(head) if mime == "image/jpeg" else None
-    date = exif_date(head) if mime.startswith("image/") else movie_date(head) if mime.startswith("video/") else None
     return (path, full.hexdigest(), part.hexdigest(), mime, problem, date, None)
 
 

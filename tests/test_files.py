@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from filelake.functions import columns as C
 from filelake.operators import cleanup, reports
 from filelake.plans.scan import OWNERS, listing, run_scan
+from filelake.sources import content
 from filelake.sources.content import sniff
 from filelake.streaming.incremental import claim_stream, read_claims
 
@@ -95,3 +96,22 @@ def test_claims_stream_over_batches(spark, tmp_path):
         claim_stream(spark.readStream.schema("path string, sha256 string").parquet(src), store, str(tmp_path / "cp")).awaitTermination(60)
     got = {(r.path, r.disposition, r.matched) for r in read_claims(spark, store).collect()}
     assert got == {("a", "CLAIM", "a"), ("b", "DUPLICATE", "a"), ("0", "DUPLICATE", "a"), ("c", "CLAIM", "c")}
+
+
+def test_large_files_are_inspected_whole(tmp_path):
+    big, png_chunk = 9 << 20, lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    png = b"\x89PNG\r\n\x1a\n" + png_chunk(b"IHDR", bytes(13)) + png_chunk(b"IDAT", bytes(big)) + png_chunk(b"IEND", b"")
+    hurt = bytearray(png)
+    hurt[big - 5] ^= 1
+    scan = b"\xff\xd8\xff\xda\0\x02" + b"\x11" * big
+    box = lambda kind, body: struct.pack(">I", 8 + len(body)) + kind + body
+    movie = box(b"ftyp", b"isom" + bytes(4)) + box(b"mdat", b"mvhd" + b"\x22" * big) + box(b"moov", box(b"free", b"") + box(b"mvhd", bytes(4) + struct.pack(">I", 3_000_000_000) + bytes(92)))
+    wide = box(b"ftyp", b"isom" + bytes(4)) + struct.pack(">I4sQ", 1, b"mdat", 16 + big) + bytes(big) + movie[-124:]
+    date = b"2001:02:03 04:05:06\0"
+    tiff = b"II*\0" + struct.pack("<I", big) + bytes(big - 8) + struct.pack("<HHHIII", 1, 0x8769, 4, 1, big + 18, 0) + struct.pack("<HHHIII", 1, 0x9003, 2, 20, big + 36, 0) + date
+    see = lambda name, data: content.inspect(put(tmp_path, name, bytes(data)))[3:6]
+    assert see("a.png", png) == ("image/png", None, None) and see("b.png", hurt)[1] == "corrupt PNG chunk"
+    assert see("c.png", png[:-300])[1] == "truncated PNG chunk" and see("d.png", png[:-12])[1] == "truncated PNG"
+    assert see("e.jpg", scan + b"\xff\xd9" + bytes(2 << 20))[1] is None and see("f.jpg", scan)[1] == "missing EOI"
+    assert str(see("g.mp4", movie)[2]) == "1999-01-24 05:20:00" and see("h.mp4", wide)[2] == see("g.mp4", movie)[2]
+    assert str(see("i.tif", tiff)[2]) == "2001-02-03 04:05:06"
