@@ -1,7 +1,7 @@
 """SimHash near-duplicate detection with pivot distance tables.
 
 1. Fingerprints (narrow): 64-bit majority vote over XXH64 of the 4-word shingles.
-2. Equal fingerprints collapse to one node (its smallest doc_id); a group of copies is one row.
+2. Equal fingerprints collapse to one node, the fingerprint itself; a group of copies is one row.
 3. Candidates: two fingerprints within ``RADIUS`` bits agree on at least 3 of 7 bit blocks, so
    each node is routed to the C(7,3)=35 block triples. Keys met by one node only go no further.
 4. Within a key, nodes carry their Hamming distances to many reference fingerprints (pivots).
@@ -9,7 +9,8 @@
    whose largest coordinate difference exceeds ``RADIUS`` are discarded (triangle inequality), and
    the survivors are verified on the fingerprints. A task returns a spanning forest, not all links.
    Keys with more than ``TILE`` nodes are dealt to one task per pair of tiles.
-5. Components: alternating large-star and small-star rounds, written to the shared folder.
+5. Components: alternating large-star and small-star rounds, written to the shared folder; a
+   component is named by its smallest doc_id.
 
 Null or empty text has fingerprint zero and links like any other. A null doc_id takes part,
 but is never a representative while its group has an id. Repeated rows link to each other.
@@ -203,22 +204,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(prints: DataFrame) -> DataFrame:
-    """``fp, component``: the class of each fingerprint in ``prints`` (doc_id, fp)."""
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    roots = components(links(nodes.where("node is not null")))
-    return nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
+    """``fp, component, first``: the least doc_id (null if there is none) and the least uid among all that are linked with a fingerprint of ``prints`` (doc_id, fp, uid)."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("own"), F.min("uid").alias("uid")), "nodes")
+    roots = components(links(nodes.select("fp", F.col("fp").alias("node"))))
+    roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = materialize(nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "own", "uid"), "linked")
+    best = linked.groupBy("root").agg(F.min("own").alias("least"), F.min("uid").alias("first"))
+    found = nodes.join(linked.select("fp", "root").join(best, "root").drop("root"), "fp", "left")
+    return found.select("fp", F.coalesce("least", "own").alias("component"), F.coalesce("first", "uid").alias("first"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = materialize(with_fingerprint(docs, "fp").select("doc_id", "fp"), "prints")
-    found = prints.join(near_groups(prints), "fp")
+    found = prints.join(near_groups(prints.withColumn("uid", F.lit(0).cast("long"))), "fp")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group stays: the one with the smallest id (rows repeating an id are one document)."""
-    rows = materialize(with_fingerprint(docs, "_fp", text_col), "rows")
-    groups = near_groups(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_fp").alias("fp")))
-    found = rows.join(groups.select(F.col("fp").alias("_fp"), F.col("component").alias("_component")), "_fp")
-    return found.where(F.col(id_col).eqNullSafe(F.col("_component"))).select(*docs.columns)
+    """One document of each group stays: the one with the smallest id (rows repeating an id are one document), any one row if all ids are null."""
+    rows = materialize(with_fingerprint(docs, "_fp", text_col).withColumn("_uid", F.monotonically_increasing_id()), "rows")
+    groups = near_groups(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_fp").alias("fp"), F.col("_uid").alias("uid")))
+    found = rows.join(groups.select(F.col("fp").alias("_fp"), F.col("component").alias("_component"), F.col("first").alias("_first")), "_fp")
+    stays = F.when(F.col("_component").isNull(), F.col("_uid") == F.col("_first")).otherwise(F.col(id_col) == F.col("_component"))
+    return found.where(stays).select(*docs.columns)

@@ -115,6 +115,14 @@ def test_simhash(docs, empty, spark, tmp_path):
     assert simhash.drop_near_duplicates(docs).columns == docs.columns and simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_simhash_links_through_null_ids(spark):
+    prints = [(1, 0), (None, 0b1111), (3, 0b11111111), (None, -1), (None, -1), (None, -2), (7, 1 << 40 | 0x5555 << 20)]
+    rows = simhash.near_groups(spark.createDataFrame([(*r, k) for k, r in enumerate(prints)], "doc_id long, fp long, uid long")).collect()
+    assert {(r[0], r[1], r[2]) for r in rows} == {(0, 1, 0), (15, 1, 0), (255, 1, 0), (-1, None, 3), (-2, None, 3), (1 << 40 | 0x5555 << 20, 7, 6)}
+    docs = spark.createDataFrame([(None, "one two three four five six")] * 3 + [(5, "quite other words stand in this text"), (None, "quite other words stand in this text")], "doc_id long, text string").repartition(3)
+    assert Counter(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == Counter([None, 5])
+
+
 def test_pivot_links_equal_brute_force():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
