@@ -293,3 +293,53 @@ def test_pipeline_stages_keep_columns(docs, spark, tmp_path):
     spark.createDataFrame([(40, 1), (41, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} <= {i for i, _ in corpus()}
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rows = list({i: (i, t) for i, t in corpus() if i is not None}.values()) + [(200, "  ".join(t.split(" "))) for i, t in corpus() if i == 8]
+    spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(len(t or "") > 100)) for i, t in rows], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    given = {}
+
+    def seen(name, stage):
+        def run(spark, docs, sf_dir):
+            given[name] = {r.doc_id: r.text for r in docs.collect()}
+            return stage(spark, docs, sf_dir)
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [seen(*s) for s in corpus_pipeline.STAGES])
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "labels"))
+    scores = rule_quality.score_quality(docs, rule_quality.train(docs, labels)).collect()
+    assert given["quality"] == dict(rows)
+    kept = {r.doc_id: r.text for r in scores if r.score >= rule_quality.THRESHOLD}
+    assert given["exact_dedup"] == kept and 30 < len(kept) < len(rows)
+    norm = {}
+    for i, t in sorted(kept.items()):
+        norm.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), i)
+    kept = {i: kept[i] for i in norm.values()}
+    assert given["near_dedup"] == kept
+    prints, group = {i: fingerprint(t) for i, t in kept.items()}, {i: i for i in kept}
+    for _ in kept:
+        for a in kept:
+            group[a] = min(group[b] for b in kept if bin(prints[a] ^ prints[b]).count("1") <= 4)
+    kept = {i: t for i, t in kept.items() if group[i] == i}
+    assert given["substring_dedup"] == kept
+    first, left = {}, {}
+    for i, t in sorted(kept.items()):
+        w = WORDS.findall(t or "")
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+        gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
+        left[i] = [x for j, x in enumerate(w) if j not in gone]
+    assert {i: WORDS.findall(t or "") for i, t in given["packing"].items()} == left
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in given["packing"].items()}
+    length = Counter()
+    for r in out:
+        length[r.doc_id] += r.length
+        assert r.length < len(ids[r.doc_id]) or r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id], "<u4").tobytes())
+    assert length == {i: len(x) for i, x in ids.items()}
