@@ -9,7 +9,7 @@ that library with ``add_special_tokens=False``:
 
 Texts are cut at single spaces into *chunks*, and the encoding of each distinct chunk (with
 its leading space) is remembered. No pre-token reaches across such a cut: a space can only
-begin one, and a run of two or more spaces (``byte`` rules only) sends the text whole.
+begin one, and white space around a space (``JOINS``, ``byte`` rules only) sends the text whole.
 Special strings inside texts become their ids, as is the library's default. A chunk with one,
 or with a character that Python's Unicode tables do not know yet (``newer``), is handed to
 the library itself, whose tables may differ there.
@@ -33,6 +33,9 @@ from tokenizers import Tokenizer
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: White space on both sides of a space: only there can a pre-token of the ``byte`` rules reach across a single space.
+JOINS = r"  |[\t-\r\x1c-\x1f\x{85}\p{Z}] [\t-\r\x1c-\x1f\x{85}\p{Z}]"
+
 
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte: printable Latin-1 bytes stand for themselves, the rest follow from U+0100."""
@@ -42,17 +45,22 @@ def byte_alphabet() -> list[str]:
 
 
 @lru_cache(maxsize=1)
+def _newer() -> tuple[re.Pattern[str], np.ndarray]:
+    unknown = "".join(chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn")
+    found = [m.group() for m in regex.finditer(r"[^\p{Cn}\p{Cs}]", unknown)]
+    table = np.zeros(sys.maxunicode + 1, bool)
+    table[[ord(c) for c in found]] = True
+    return re.compile("[" + "".join(map(re.escape, found)) + "]" if found else r"(?!)"), table
+
+
 def newer() -> re.Pattern[str]:
     """Characters assigned in newer Unicode tables than Python's: letter classes and case may differ between libraries."""
-    known = regex.compile(r"[^\p{Cn}\p{Cs}]")
-    spans: list[list[int]] = []
-    for c in range(0x80, sys.maxunicode + 1):
-        if unicodedata.category(chr(c)) == "Cn" and known.match(chr(c)):
-            if spans and spans[-1][1] == c - 1:
-                spans[-1][1] = c
-            else:
-                spans.append([c, c])
-    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + "]" if spans else r"(?!)")
+    return _newer()[0]
+
+
+def any_newer(text: str) -> bool:
+    """Does a long text hold one of those characters? One look at a table for each character."""
+    return not text.isascii() and bool(_newer()[1][np.frombuffer(text.encode("utf-32-le"), np.uint32)].any())
 
 
 class Vocabulary:
@@ -75,6 +83,7 @@ class Vocabulary:
             self.ranks[self.ids[a], self.ids[b]] = (r, self.ids[a + b])
         self.words = spec["normalizer"] is not None  # lower case, white space dropped, words end with the suffix
         self.pattern = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN)
+        self.spaced = regex.compile(WORD_PATTERN + "| ")
         alphabet = byte_alphabet()
         self.byte_of = {c: b for b, c in enumerate(alphabet)}
         self.byte_ids = [self.ids[c] for c in alphabet]
@@ -108,6 +117,13 @@ class Vocabulary:
                 self._ranked = tiktoken.Encoding("plain", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
         return self._ranked.encode_ordinary(text) if self._ranked else self.library.encode(text, add_special_tokens=False).ids
 
+    @property
+    def spaces(self) -> np.ndarray:
+        """Which ids begin with a space (the byte alphabet's stand-in of 0x20)."""
+        if not hasattr(self, "_spaces"):
+            self._spaces = np.array([t.startswith("\u0120") for t in self.tokens])
+        return self._spaces
+
     def odd(self, chunk: str) -> bool:
         """Does ``chunk`` hold a special string or a character newer than Python's Unicode tables? Then the library encodes it."""
         return "<|" in chunk and any(s in chunk for s in self.special) or not chunk.isascii() and newer().search(chunk) is not None
@@ -119,6 +135,17 @@ class Vocabulary:
         """Pre-tokens of a chunk that is not ``odd``."""
         return self.pattern.findall(self.normalize(chunk))
 
+    def any_odd(self, joined: str) -> bool:
+        """May any chunk of a joined text be ``odd``?"""
+        return "<|" in joined or any_newer(joined)
+
+    def pieces_of(self, chunks: list[str]) -> list[str]:
+        """Pre-tokens of chunks that are not ``odd``, one chunk after the other, with one " " between two chunks.
+
+        Only where white space is dropped (``words``): a space is then never part of a pre-token.
+        """
+        return self.spaced.findall(self.normalize(" ".join(chunks)))
+
     def start(self, piece: str) -> list[int]:
         raw = piece.encode("utf-8")
         out = [self.byte_ids[b] for b in raw]
@@ -179,92 +206,83 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class PairIndex:
-    """Encodes many pre-tokens at once: each active pair maps to all its positions in the batch.
+NONE = np.int32(1 << 30)  # rank of a pair that no rule merges
 
-    Ranks are taken from a heap in ascending order; all live positions of a rank merge in one
-    step (equal halves, as in "aaaa", left to right), and the neighbours' pairs join the lists
-    of their own ranks. Needs a vocabulary whose merges come after their parts (``ordered``).
+
+class PairIndex:
+    """Encodes many pre-tokens at once over an index of all pair positions.
+
+    The index holds the rank of the pair at every position of every pre-token. Ranks are applied
+    in ascending order: pre-tokens do not touch each other, so one round takes the lowest active
+    rank of each of them, merges all its positions at once (equal halves, as in "aaaa", left to
+    right) and looks up again only the pairs beside them. Pre-tokens without an active pair
+    leave the index. Those over ``LONG`` bytes would keep it small and slow; ``merge_piece``
+    takes them one by one, in the same order, with a heap.
+    Needs a vocabulary whose merges come after their parts (``ordered``).
     """
 
+    LONG = 200
+
     def __init__(self, vocab: Vocabulary) -> None:
         if not vocab.ordered:
             raise ValueError("merge order does not allow corpus-wide application")
-        self.vocab = vocab
-        pairs = sorted((a << 32 | b, r, m) for (a, b), (r, m) in vocab.ranks.items())
-        self.keys = np.array([p[0] for p in pairs], np.int64)
-        self.rank = np.array([p[1] for p in pairs], np.int64)
-        self.made = np.zeros(len(pairs), np.int64)
-        self.left = np.zeros(len(pairs), np.int64)
-        self.right = np.zeros(len(pairs), np.int64)
-        for (a, b), (r, m) in vocab.ranks.items():
-            self.made[r], self.left[r], self.right[r] = m, a, b
-        self.bytes_, self.last_ = np.array(vocab.byte_ids, np.int64), np.array(vocab.last_ids, np.int64)
+        self.vocab, self.wide = vocab, len(vocab.tokens)
+        rules = sorted((r, a, b, m) for (a, b), (r, m) in vocab.ranks.items())
+        self.made = np.array([m for *_, m in rules], np.int32)
+        keys = np.array([a * self.wide + b for _, a, b, _ in rules], np.int64)
+        self.order = np.argsort(keys).astype(np.int32)
+        self.keys = keys[self.order]
+        self.bytes_, self.last_ = np.array(vocab.byte_ids, np.int32), np.array(vocab.last_ids, np.int32)
+        every = np.arange(256, dtype=np.int32)
+        self.starting = np.stack([self._ranks(np.repeat(self.bytes_, 256), end[np.tile(every, 256)]) for end in (self.bytes_, self.last_)])
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 32 | b
+        key = a.astype(np.int64) * self.wide + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.rank[at], -1)
+        return np.where(self.keys[at] == key, self.order[at], NONE)
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
-        raws = [p.encode("utf-8") for p in pieces]
-        size = np.array([len(r) for r in raws], np.int64)
+        raws, out = [p.encode("utf-8") for p in pieces], [[] for _ in pieces]
+        own = [k for k, r in enumerate(raws) if 0 < len(r) <= self.LONG]
+        for k, r in enumerate(raws):
+            if len(r) > self.LONG:
+                out[k] = self.vocab.merge_piece(pieces[k])
+        if not own:
+            return out
+        raws = [raws[k] for k in own]
+        who, size = np.array(own), np.fromiter(map(len, raws), np.int64, len(raws))
         raw = np.frombuffer(b"".join(raws), np.uint8)
-        n = len(raw)
-        if not n:
-            return [[] for _ in pieces]
-        ends = np.cumsum(size)
-        sym = self.bytes_[raw]
-        last = ends[size > 0] - 1
-        sym[last] = self.last_[raw[last]]
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
-        nxt[last] = n  # slot n is a wall between pre-tokens
-        prv[(ends - size)[size > 0]] = n
-        sym = np.append(sym, -1)
-        nxt, prv = np.append(nxt, n), np.append(prv, n)
-        active: dict[int, list[np.ndarray]] = {}
-        heap: list[int] = []
-
-        def add(left: np.ndarray) -> None:
-            r = self._ranks(sym[left], sym[nxt[left]])
-            left, r = left[r >= 0], r[r >= 0]
-            if not len(left):
-                return
-            order = np.argsort(r, kind="stable")
-            left, r = left[order], r[order]
-            cut = np.flatnonzero(np.diff(r)) + 1
-            for k, part in zip(r[np.append(0, cut)].tolist(), np.split(left, cut), strict=True):
-                if k not in active:
-                    active[k] = []
-                    heapq.heappush(heap, k)
-                active[k].append(part)
-
-        add(np.arange(n))
-        while heap:
-            r = heapq.heappop(heap)
-            chunks = active.pop(r)
-            at = np.unique(np.concatenate(chunks)) if len(chunks) > 1 else np.unique(chunks[0])
-            a, b = self.left[r], self.right[r]
-            at = at[(sym[at] == a) & (sym[nxt[at]] == b)]
-            if a == b and len(at) > 1:
-                keep, blocked = [], -1
-                for i in at.tolist():
-                    if i != blocked:
-                        keep.append(i)
-                        blocked = int(nxt[i])
-                    else:
-                        blocked = -1
-                at = np.array(keep, np.int64)
-            if not len(at):
-                continue
-            gone = nxt[at]
-            after = nxt[gone]
-            sym[at], sym[gone] = self.made[r], -1
-            nxt[at] = after
-            prv[after[after < n]] = at[after < n]
-            before = prv[at]
-            add(np.unique(np.concatenate([before[before < n], at])))
-        live = np.flatnonzero(sym[:n] >= 0)
-        ids = sym[live].tolist()
-        cuts = np.searchsorted(live, np.append(0, ends)).tolist()
-        return [ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+        last = np.zeros(len(raw), bool)
+        last[np.cumsum(size) - 1] = True
+        sym = np.where(last, self.last_[raw], self.bytes_[raw])
+        rank = np.full(len(raw), NONE, np.int32)
+        inner = np.flatnonzero(~last)
+        rank[inner] = self.starting[last[inner + 1].astype(np.int8), raw[inner].astype(np.int32) << 8 | raw[inner + 1]]
+        while len(who):
+            first = np.flatnonzero(np.append(True, last[:-1]))
+            low = np.minimum.reduceat(rank, first)
+            size = np.diff(np.append(first, len(sym)))
+            over = low == NONE
+            if over.sum() * 8 > len(who):
+                mine = np.repeat(over, size)
+                ids, bound = sym[mine].tolist(), np.append(0, np.cumsum(size[over])).tolist()
+                for k, x, y in zip(who[over].tolist(), bound, bound[1:], strict=False):
+                    out[k] = ids[x:y]
+                sym, rank, last, who, size, low = sym[~mine], rank[~mine], last[~mine], who[~over], size[~over], low[~over]
+            at = np.flatnonzero((rank == np.repeat(low, size)) & (rank != NONE))
+            if len(at) > 1 and (near := np.diff(at) == 1).any():  # runs of one symbol: every second pair
+                place = np.arange(len(at))
+                begin = np.maximum.accumulate(np.where(np.append(True, ~near), place, 0))
+                at = at[(place - begin) % 2 == 0]
+            sym[at] = self.made[rank[at]]
+            last[at] |= last[at + 1]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            sym, rank, last = sym[keep], rank[keep], last[keep]
+            at -= np.arange(len(at))
+            rank[at] = NONE
+            left = at[at > 0] - 1
+            beside = np.concatenate([at, left])
+            beside = beside[~last[beside]]
+            rank[beside] = self._ranks(sym[beside], sym[beside + 1])
+        return out
