@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from filelake.llm import attention, bpe_codec, exact_dedup, impact_search, lm_scoring, packing, rule_quality, sharding, simhash, substring_dedup, token_counts
 from filelake.llm.bpe import load
+from filelake.llm.texts import ChunkCache
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -152,6 +153,79 @@ def test_pivot_links_equal_brute_force():
     assert all((find(i) == find(j)) == (find2(i) == find2(j)) for i in range(len(fps)) for j in range(i))
 
 
+def check_packing(rows, want, window=1024):
+    """Every id of every document lies in exactly one piece; sequences are gapless and without padding."""
+    pieces = Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows)
+    parts: dict = {}
+    for r in rows:
+        parts.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length))
+    for i, ids in want:  # of rows alike, each takes its own pieces
+        at, raw = 0, np.array(ids, "<u4").tobytes()
+        while at < len(ids):
+            step = next(n for s, n in sorted(set(parts[i, len(ids)])) if s == at and pieces[i, at, n, zlib.crc32(raw[at * 4 : (at + n) * 4]), len(ids)] > 0)
+            pieces[i, at, step, zlib.crc32(raw[at * 4 : (at + step) * 4]), len(ids)] -= 1
+            at += step
+        assert at == len(ids)
+    assert not +pieces
+    sequences: dict = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append(r)
+    for own in sequences.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))]
+        assert sum(r.length for r in own) == own[0].tier <= window and len({r.step_group for r in own}) == 1
+
+
+def test_packer_fills_every_tier():
+    rnd = random.Random(3)
+    packer, lengths, got = packing.Packer(), [rnd.choice([3, 40, 90, 130, 250, 300, 510, 600, 900, 1023]) for _ in range(3000)], []
+    for k, n in enumerate(lengths):
+        packer.add(k, 0, n)
+        if packer.held >= 500:
+            got += packer.windows(False)
+    got += packer.windows(True)
+    own = Counter(sum(p[2] for p in w) for w in got)
+    assert all(own[size] > 20 for size in (128, 256, 512, 1024)) and all(size & (size - 1) == 0 for size in own)
+    ends = {}
+    for doc, start, n in sorted(p for w in got for p in w):
+        assert ends.get(doc, 0) == start
+        ends[doc] = start + n
+    assert [ends[k] for k in range(len(lengths))] == lengths
+    steps = packing.step_groups([[p[2] for p in w] for w in got], 7)
+    tokens = Counter()
+    for w, step in zip(got, steps, strict=True):
+        tokens[step] += sum(p[2] for p in w)
+    assert min(steps) == 7 and sorted(tokens) == list(range(7, max(steps) + 1)) and max(tokens.values()) <= packing.STEP
+
+
+def test_tier_report(spark):
+    rows = [(1, 0, 1024, 0, 1030, 0, 0, 1024, 0), (1, 1024, 6, 0, 1030, 1, 0, 8, 1), (2, 0, 1, 0, 1, 1, 6, 8, 1)]
+    got = {r.tier: (r.sequences, r.tokens, r.padding, r.pieces, r.cut_pieces) for r in packing.tier_report(spark.createDataFrame(rows, packing.SCHEMA)).collect()}
+    assert got == {1024: (1, 1024, 0, 1, 1), 8: (1, 7, 1, 2, 1)}
+
+
+def test_chunks_with_white_space_equal_the_library():
+    byte, word = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    rnd = random.Random(8)
+    parts = [" ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "a", "Word,", "'s", "1", "<|endoftext|>", "é", "Σ", "\U00018f1b", "...", "日本", "\u0301"]
+    texts = ["", " ", None, "a\n \nb", "x" * 9000, "ab" * 4000, *("".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 14))) for _ in range(3000))]
+    t = Tokenizer.from_file(byte)
+    want = [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.IdBytes(load(byte)).encode(pa.array(texts))] == want
+    assert token_counts.Counts(load(byte), token_counts.proved(byte)).count(pa.array(texts)).tolist() == list(map(len, want))
+    t = Tokenizer.from_file(word)
+    for (n, ids, decoded), e in zip(bpe_codec.Codec(load(word)).code(pa.array(texts)), t.encode_batch([x or "" for x in texts], add_special_tokens=False), strict=True):
+        assert (n, bytes(ids).decode(), bytes(decoded).decode()) == (len(e.ids), " ".join(map(str, e.ids)), t.decode(e.ids, skip_special_tokens=False))
+
+
+def test_chunk_cache_forgets_and_learns_again():
+    asked = []
+    cache = ChunkCache(lambda new: asked.append(new) or [len(c) for c in new], 4)
+    for names in (["a", "bb"], ["bb", "ccc"], ["dddd", "bb"], ["e", "f"], ["a", "bb"]):
+        assert cache(names) == [len(c) for c in names]
+    assert len(cache.known) <= 6 and asked[2] == ["dddd"] and "a" in asked[4]
+
+
 def test_tokenizers(docs, empty, spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     texts = [t or "" for _, t in corpus()]
@@ -165,13 +239,7 @@ def test_tokenizers(docs, empty, spark, tmp_path):
     got = Counter(tuple(r) for r in token_counts.op8_token_counts(spark, str(tmp_path)).collect())
     assert got == Counter((i, len(x.encode()), len(e), len(e) > 512) for (i, _), x, e in zip(corpus(), texts, ids, strict=True))
     rows = packing.op10_packing(spark, str(tmp_path)).collect()
-    left = Counter((i, zlib.crc32(np.array([*e, 0], "<u4").tobytes()), len(e) + 1) for (i, _), e in zip(corpus(), ids, strict=True) if len(e) < 200)
-    assert all(left[r.doc_id, r.ids_crc32, r.doc_tokens] for r in rows if r.length == r.doc_tokens and r.length < 200)
-    assert sum(r.length for r in rows) == sum(len(e) + 1 for e in ids)
-    for seq in {r.sequence_id for r in rows}:
-        own = sorted((r for r in rows if r.sequence_id == seq), key=lambda r: r.offset)
-        assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))]
-        assert sum(r.length for r in own) <= 1024
+    check_packing(rows, [(i, [*e, 0]) for (i, _), e in zip(corpus(), ids, strict=True)])
     assert packing.pack_documents(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
     assert bpe_codec.encode_documents(empty, public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
