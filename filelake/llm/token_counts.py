@@ -5,7 +5,9 @@ token are *whole* (bounded by the vocabulary, sent as one broadcast). A pre-toke
 them counts one without any merging; only the rest are merged, and remembered. Chunks
 (texts cut at single spaces) remember the count of their pre-tokens.
 
-Null text counts as empty (0 bytes, 0 tokens). Repeated rows each give a row.
+Null text counts as empty (0 bytes, 0 tokens). Repeated rows each give a row, a null id stays
+null, an empty table gives no rows, texts of any length are counted whole. Only id and text
+are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -13,15 +15,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelake.llm.bpe import Vocabulary, load
+from filelake.llm.bpe import JOINS, Vocabulary, load
+from filelake.llm.texts import ChunkCache, chunks, groups
 from filelake.session import ship
 
 CACHE = 400_000
+GROUP = 8_000_000  # bytes of text that are counted together
 
 
 @lru_cache(maxsize=4)
@@ -29,18 +35,18 @@ def proved(path: str) -> frozenset[str]:
     return load(path).whole_tokens()
 
 
-class Counts(dict):
-    """Tokens of each chunk (with its leading space), summed over pre-tokens: whole ones count one, the rest are merged."""
+class Counts:
+    """Tokens of each chunk, summed over pre-tokens: whole ones count one, the rest are merged."""
 
     def __init__(self, vocab: Vocabulary, whole: frozenset[str]) -> None:
-        super().__init__()
         self.vocab, self.whole = vocab, whole
         self.merged: dict[str, int] = {}
+        self.known = ChunkCache(self.led, CACHE)
 
-    def tokens(self, text: str) -> int:
-        """Tokens of a text that stands alone."""
+    def tokens(self, text: str, rare: bool = True) -> int:
+        """Tokens of a text that stands alone; ``rare``: it may hold odd characters."""
         v, n = self.vocab, 0
-        if v.odd(text):
+        if rare and v.odd(text):
             return len(v.encode_odd(text))
         for piece in v.pieces(text):
             if piece in self.whole:
@@ -54,22 +60,27 @@ class Counts(dict):
             n += m
         return n
 
-    def __missing__(self, chunk: str) -> int:
-        n = self.tokens(" " + chunk)
-        if len(chunk) < 200:
-            self[chunk] = n
-        return n
-
-    def trim(self) -> None:
-        if len(self) > CACHE or len(self.merged) > CACHE:
-            self.clear()
+    def led(self, new: list[str]) -> list[int]:
+        """Tokens of each chunk with a space before it."""
+        if len(self.merged) > CACHE:
             self.merged.clear()
-
-    def count(self, text: str) -> int:
-        if "  " in text:
-            return self.tokens(text)
-        head, *rest = text.split(" ")
-        return self.tokens(head) + sum(map(self.__getitem__, rest))
+        rare = self.vocab.any_odd(" ".join(new))
+        return [self.tokens(" " + c, rare) for c in new]
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text. The first chunk of a text has no space before it; a text where ``JOINS`` matches is counted whole."""
+        out = [np.zeros(0, np.int64)]
+        for group in groups(texts, GROUP):
+            whole = pc.match_substring_regex(group, JOINS).to_numpy(zero_copy_only=False)
+            names, codes, bound = chunks(pc.if_else(pa.array(whole), "", group))
+            heads, own = np.unique(codes[bound[:-1]], return_inverse=True)
+            codes[bound[:-1]] = len(names) + own
+            n = np.array([*self.known(names), *(self.tokens(names[h]) for h in heads.tolist())], np.int64)
+            total = np.diff(np.append(0, np.cumsum(n[codes]))[bound])
+            for k in np.flatnonzero(whole).tolist():
+                total[k] = self.tokens(group[k].as_py())
+            out.append(total)
+        return np.concatenate(out)
 
 
 _COUNTS: dict[str, Counts] = {}
@@ -84,11 +95,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
         if counts is None:
             counts = _COUNTS[path] = Counts(load(path), whole.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n = pa.array([counts.count(t) if t else 0 for t in texts], pa.int64())
-            size = pa.array([len(t.encode("utf-8")) if t else 0 for t in texts], pa.int64())
-            counts.trim()
-            yield pa.RecordBatch.from_arrays([batch.column(0), size, n], [id_col, "n_bytes", "n_tokens"])
+            texts = pc.fill_null(batch.column(1), "")
+            size = pc.binary_length(texts).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(counts.count(texts))], [id_col, "n_bytes", "n_tokens"])
 
     src = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     return src.mapInArrow(run, f"{id_col} long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
