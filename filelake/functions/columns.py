@@ -140,6 +140,67 @@ def human_bytes(n: Column) -> Column:
     )
 
 
+def human_rate(mb: Column) -> Column:
+    return F.when(mb >= 1024.0, F.format_string("%.2f GB/s", mb / 1024.0)).when(mb >= 1.0, F.format_string("%.1f MB/s", mb)).otherwise(F.format_string("%.1f KB/s", mb * 1024.0))
+
+
+def clock(seconds: Column) -> Column:
+    """HH:MM:SS of whole seconds."""
+    s = F.floor(seconds)
+    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+
+
+def elapsed_short(seconds: Column) -> Column:
+    """``5s``, ``3m 05s``, ``1h 02m``."""
+    s = F.floor(seconds)
+    return (
+        F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.format_string("%dm %02ds", F.floor(s / 60), s % 60))
+        .otherwise(F.format_string("%dh %02dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))
+    )
+
+
+def minutes_long(millis: Column) -> Column:
+    """``5s``, ``3 min 05 s``."""
+    s = F.floor(millis / 1000)
+    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).otherwise(F.format_string("%d min %02d s", F.floor(s / 60), s % 60))
+
+
+def run_id(kind: str, when: Column, number: Column | None = None) -> Column:
+    """``JOB-20240301-100000-001``; runs of other kinds have no number."""
+    stamp = F.concat(F.lit(f"{kind}-"), F.date_format(when, "yyyyMMdd-HHmmss"))
+    return stamp if number is None else F.concat(stamp, F.format_string("-%03d", number))
+
+
+def parse_instant(text: Column) -> Column:
+    """An ISO instant, shifted to the session's zone, else an ISO local date and time, else null (``timestamp_ntz``)."""
+    iso = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?"
+    short = F.regexp_replace(text, r"(\.\d{6})\d+", "$1")
+    zoned = F.when(text.rlike(iso + "Z$"), short.try_cast("timestamp").cast("timestamp_ntz"))
+    return F.coalesce(zoned, F.when(text.rlike(iso + "$"), short.try_cast("timestamp_ntz")))
+
+
+def first_line(text: Column) -> Column:
+    return F.element_at(F.split(text, r"\r\n|\r|\n"), 1)
+
+
+def describe_failure(kind: Column, message: Column) -> Column:
+    """``Type: message``; the type alone without a message."""
+    return F.concat_ws(": ", kind, F.nullif(message, F.lit("")))
+
+
+def fraction_done(total: Column, processed: Column) -> Column:
+    return F.when(total > 0, processed / total)
+
+
+def remaining(total: Column, processed: Column) -> Column:
+    return F.greatest(F.lit(0), total - processed)
+
+
+def digests(content: Column, head: int) -> tuple[Column, Column]:
+    """(SHA-256 of the content, SHA-256 of its first ``head`` characters or bytes)."""
+    return F.sha2(content, 256), F.sha2(F.substring(content, 1, head), 256)
+
+
 def capture_date(embedded: Column, created: Column, modified: Column) -> tuple[Column, Column]:
     """(date, source): embedded, else creation, else modification; the epoch counts as absent."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")

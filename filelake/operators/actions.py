@@ -1,100 +1,217 @@
-"""Side effects on files, one result row each: copy, move, delete, prune. Idempotent, so a repeated task does no harm."""
+"""Side effects on files, one result row each: copy, move, delete, prune. Idempotent, so a repeated task does no harm.
+
+A target is only ever created, never replaced: a file that is already there stays, and the
+source with it.
+"""
 
 from __future__ import annotations
 
+import filecmp
 import os
 import shutil
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from filelake.functions.fixed import MIME_GROUPS
 from filelake.operators.cleanup import dangerous_root
 from filelake.session import ship
 
 RESULT = "path string, destination string, status string, bytes long, error string"
+NAMES = ["path", "destination", "status", "bytes", "error"]
+
+
+def describe(e: BaseException) -> str:
+    """``Type: message``; the type alone where there is no message."""
+    text = str(e)
+    return f"{type(e).__name__}: {text}" if text else type(e).__name__
+
+
+def _claim(draft: str, target: str) -> None:
+    """Give ``draft`` the name ``target`` unless a file holds it (FileExistsError)."""
+    try:
+        os.link(draft, target)
+        os.unlink(draft)
+    except FileExistsError:
+        raise
+    except OSError:  # no hard links here: hold the name with an empty file first
+        os.close(os.open(target, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        os.replace(draft, target)
 
 
 def transfer_one(source: str, target: str, move: bool) -> tuple:
-    """Copy through a temporary name, check the size, then rename; a finished copy is left alone."""
+    """Copy through a temporary name, check the size, then take the target's name if it is free.
+
+    A target that holds the same bytes is a finished copy of an earlier attempt; one with other
+    bytes is another file's, and the transfer fails with both left as they are.
+    """
     try:
         if move and not os.path.exists(source) and os.path.exists(target):
             return (source, target, "TRANSFERRED", os.path.getsize(target), None)
         size = os.path.getsize(source)
         os.makedirs(os.path.dirname(target), exist_ok=True)
-        if move and not os.path.exists(target):
-            try:
-                os.rename(source, target)
-                return (source, target, "TRANSFERRED", size, None)
-            except OSError:
-                pass  # another volume: copy and delete
-        if not (os.path.exists(target) and os.path.getsize(target) == size):
+        if not os.path.exists(target):
+            if move:
+                try:
+                    os.link(source, target)
+                    os.unlink(source)
+                    return (source, target, "TRANSFERRED", size, None)
+                except OSError:
+                    pass  # another volume, or the name was taken: copy and delete
             draft = f"{target}.part-{os.getpid()}"
-            shutil.copy2(source, draft)
-            if os.path.getsize(draft) != size:
-                os.remove(draft)
-                raise OSError("size differs after copy")
-            os.replace(draft, target)
+            try:
+                shutil.copy2(source, draft)
+                if os.path.getsize(draft) != size:
+                    raise OSError("size differs after copy")
+                _claim(draft, target)
+            finally:
+                if os.path.exists(draft):
+                    os.remove(draft)
+        elif not filecmp.cmp(source, target, shallow=False):
+            raise FileExistsError(f"{target} holds another file")
         if move:
             os.remove(source)
         return (source, target, "TRANSFERRED", size, None)
     except OSError as e:
-        return (source, target, "FAILED", 0, f"{type(e).__name__}: {e}")
+        return (source, target, "FAILED", 0, describe(e))
+
+
+def require_distinct(plan: DataFrame) -> None:
+    """Two rows with one destination are an error, before any file is touched."""
+    twice = plan.where("destination is not null").groupBy("destination").count().where("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"{twice['count']} files would go to {twice['destination']}")
 
 
 def transfer(plan: DataFrame, move: bool = False) -> DataFrame:
-    """RESULT rows for (path, destination); destinations are distinct by plan."""
+    """RESULT rows for (path, destination); destinations are distinct (``require_distinct``)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame([transfer_one(a, b, move) for a, b in zip(f["path"], f["destination"], strict=True)], columns=["path", "destination", "status", "bytes", "error"])
+            yield pd.DataFrame([transfer_one(a, b, move) for a, b in zip(f["path"], f["destination"], strict=True)], columns=NAMES)
 
     ship(plan.sparkSession)
     return plan.select("path", "destination").repartition("path").mapInPandas(run, RESULT)
 
 
-def delete(plan: DataFrame) -> DataFrame:
-    """Delete (path, group) after sniffing again: only a file still in the same deletable group goes."""
+def group_of(path: str) -> tuple[str, int]:
+    """(group of a file by its content, size)."""
     from filelake.sources.content import refine_zip, sniff
 
-    allowed = {g for g, _, ok, _, _ in MIME_GROUPS if ok}
+    with open(path, "rb") as f:
+        mime = sniff(f.read(4096))
+    if mime == "application/zip":
+        mime = refine_zip(path)
+    return next((g for g, _, _, prefixes, exact in MIME_GROUPS if mime in exact or any(mime.startswith(p) for p in prefixes)), "OTHER"), os.path.getsize(path)
 
-    def group_of(mime: str) -> str:
-        return next((g for g, _, _, prefixes, exact in MIME_GROUPS if mime in exact or any(mime.startswith(p) for p in prefixes)), "OTHER")
 
-    def one(path: str, group: str) -> tuple:
+def _deleter(select: Callable[[str, str], bool]) -> Callable[[str, str | None], tuple]:
+    allowed = {g for g, _, ok, _, _ in MIME_GROUPS if ok}
+
+    def one(path: str, expected: str | None) -> tuple:
         try:
-            with open(path, "rb") as f:
-                mime = sniff(f.read(4096))
-            size, now = os.path.getsize(path), group_of(refine_zip(path) if mime == "application/zip" else mime)
-            if now != group or now not in allowed:
+            now, size = group_of(path)
+            if expected is None:
+                if not select(path, now):
+                    return (path, None, "KEPT", 0, now)
+                if now not in allowed:
+                    return (path, None, "SKIPPED_REVERIFY", 0, f"now {now}")
+            elif now != expected or now not in allowed:
                 return (path, None, "SKIPPED_REVERIFY", 0, f"now {now}")
             os.remove(path)
-            return (path, None, "DELETED", size, None)
+            return (path, now, "DELETED", size, None)
         except FileNotFoundError:
             return (path, None, "SKIPPED_REVERIFY", 0, "no longer exists")
         except OSError as e:
-            return (path, None, "FAILED", 0, f"{type(e).__name__}: {e}")
+            return (path, None, "FAILED", 0, describe(e))
+
+    return one
+
+
+def delete(plan: DataFrame) -> DataFrame:
+    """Delete (path, group) after sniffing again: only a file still in the same deletable group goes. ``destination``: its group."""
+    one = _deleter(lambda path, now: True)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame([one(a, b) for a, b in zip(f["path"], f["group"], strict=True)], columns=["path", "destination", "status", "bytes", "error"])
+            yield pd.DataFrame([one(a, b) for a, b in zip(f["path"], f["group"], strict=True)], columns=NAMES)
 
     ship(plan.sparkSession)
     return plan.select("path", "group").repartition("path").mapInPandas(run, RESULT)
 
 
-def prune(root: str, dirs: list[str]) -> list[str]:
-    """Remove empty directories deepest first; the root stays. ``dirs`` come from ``empty_directories``."""
+def delete_while_scanning(files: DataFrame, root: str, groups: list[str], extensions: list[str], cancel: str | None = None) -> DataFrame:
+    """One pass over the listed ``files`` below ``root``: each is classified and, if its group or extension is selected, deleted at once.
+
+    RESULT rows; a file that was not selected is KEPT (``error``: its group). Once the file named ``cancel``
+    exists the rest is NOT_REACHED. Materialise the rows before reading them twice; ``running_totals`` sums them up.
+    """
     if why := dangerous_root(root):
         raise ValueError(why)
-    gone = []
-    for d in sorted(dirs, key=lambda x: (-x.count("/"), x)):
-        try:
-            if os.path.normpath(d) != os.path.normpath(root):
-                os.rmdir(d)
-                gone.append(d)
-        except OSError:
-            continue
-    return gone
+    if bad := [g for g in groups if g not in {g for g, _, ok, _, _ in MIME_GROUPS if ok}]:
+        raise ValueError(f"never deleted: {bad}")
+    wanted = {e for x in extensions if (e := x.strip().lower().removeprefix("*").removeprefix(".").strip())}
+    one = _deleter(lambda path, now: now in groups or os.path.splitext(path)[1][1:].lower() in wanted)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for path in f["path"]:
+                stopped = cancel is not None and os.path.exists(cancel)
+                rows.append((path, None, "NOT_REACHED", 0, None) if stopped else one(path, None))
+            yield pd.DataFrame(rows, columns=NAMES)
+
+    ship(files.sparkSession)
+    return files.select("path").repartition("path").mapInPandas(run, RESULT)
+
+
+def running_totals(results: DataFrame) -> DataFrame:
+    """examined, deleted, bytes_deleted, failed, completed of a deletion so far: one row."""
+    is_ = lambda s: F.col("status") == s
+    return results.agg(
+        F.count_if(~is_("NOT_REACHED")).alias("examined"), F.count_if(is_("DELETED")).alias("deleted"),
+        F.coalesce(F.sum(F.when(is_("DELETED"), F.col("bytes"))), F.lit(0)).alias("bytes_deleted"),
+        F.count_if(is_("FAILED")).alias("failed"), (F.count_if(is_("NOT_REACHED")) == 0).alias("completed"),
+    )
+
+
+def prune(spark: SparkSession, root: str, dirs: DataFrame) -> DataFrame:
+    """Remove empty directories (``path`` rows of ``empty_directories``), deepest first; the root stays. RESULT rows, PRUNED or FAILED.
+
+    Directories below one top folder go together, so that a task meets children before parents;
+    a chain that ends in a folder shared by several is closed by the last pass over what is left.
+    """
+    if why := dangerous_root(root):
+        raise ValueError(why)
+    home = os.path.normpath(root)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for d in f["path"]:
+                if os.path.normpath(d) == home:
+                    continue
+                try:
+                    os.rmdir(d)
+                    rows.append((d, None, "PRUNED", 0, None))
+                except FileNotFoundError:
+                    rows.append((d, None, "PRUNED", 0, None))  # by an earlier attempt of this task
+                except OSError as e:
+                    rows.append((d, None, "FAILED", 0, describe(e)))
+            yield pd.DataFrame(rows, columns=NAMES)
+
+    ship(spark)
+    depth = F.size(F.split("path", "/"))
+    top = F.element_at(F.split(F.substring(F.col("path"), len(home) + 2, 1 << 20), "/"), 1)
+    dealt = dirs.select("path").withColumns({"_depth": depth, "_top": top}).repartition("_top").sortWithinPartitions("_top", F.desc("_depth"), "path")
+    return dealt.select("path").mapInPandas(run, RESULT)
+
+
+def deleted_per_group(results: DataFrame) -> DataFrame:
+    """Deleted files of each group by display name, in name order."""
+    shown = results.sparkSession.createDataFrame([(g, n) for g, n, _, _, _ in MIME_GROUPS], "group string, display_name string")
+    gone = results.where("status = 'DELETED'").groupBy(F.col("destination").alias("group")).agg(F.count("*").alias("deleted"))
+    return gone.join(F.broadcast(shown), "group").select("display_name", "deleted").orderBy("display_name")  # one row for each group
+

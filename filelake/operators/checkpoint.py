@@ -12,6 +12,26 @@ from pyspark.sql import functions as F
 STATE = ["jobId", "status", "sourcePath", "targetPath", "processedFiles", "skippedFiles", "failedFiles", "duplicateFiles", "processedBytes", "checkpointTime"]
 
 
+# A snapshot is due after so many files or seconds.
+FILES_TRIGGER, SECONDS_TRIGGER = 1000, 60
+
+
+class Trigger:
+    """Says when the next snapshot is due."""
+
+    def __init__(self, files: int = FILES_TRIGGER, seconds: float = SECONDS_TRIGGER) -> None:
+        self.files, self.seconds, self.n, self.at = files, seconds, 0, None
+
+    def due(self, files: int, now: float) -> bool:
+        """Counts ``files`` more at the time ``now`` (seconds); the count and the clock start again when due."""
+        self.n += files
+        self.at = now if self.at is None else self.at
+        if self.n < self.files and now - self.at < self.seconds:
+            return False
+        self.n, self.at = 0, now
+        return True
+
+
 def progress(outcomes: DataFrame, job: str, status: str, source: str, target: str) -> dict:
     """The snapshot of a job from its (outcome, size) rows: one aggregate, one row to the driver."""
     kind = lambda *k: F.count_if(F.col("outcome").isin(*k))

@@ -26,6 +26,19 @@ def select_for_deletion(files: DataFrame, groups: list[str], extensions: list[st
     return files.where((F.col("group").isin(groups) | F.col("ext").isin([e for e in wanted if e])) & C.deletable(F.col("group")))
 
 
+def deletable_totals(files: DataFrame) -> DataFrame:
+    """One row: files and bytes in all, files that may be deleted, files of protected media."""
+    may = C.deletable(F.col("group"))
+    return files.agg(
+        F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if(may).alias("deletable"),
+        F.count_if(F.col("group") == "PROTECTED_MEDIA").alias("protected"),
+    )
+
+
+def in_group(files: DataFrame, group: str) -> DataFrame:
+    return files.where(F.col("group") == group)
+
+
 def reverify(preview: DataFrame, now: DataFrame) -> DataFrame:
     """Adds outcome and reason: a file that is gone or changed its group since the preview is skipped."""
     current = now.select("path", F.col("group").alias("_now"))

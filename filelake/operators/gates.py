@@ -31,12 +31,17 @@ def skip_events(rows: DataFrame, job: str) -> DataFrame:
     )
 
 
-def job_counters(rows: DataFrame, by: str) -> DataFrame:
-    """Counters of one pass over outcome rows (outcome, reason, size)."""
+def job_counters(rows: DataFrame, by: str, move: bool = False) -> DataFrame:
+    """The fifteen counters of a job in one pass over outcome rows (outcome, reason, size, folder); ``move``: transfers were moves."""
     is_ = lambda o: F.col("outcome") == o
-    size = lambda test: F.coalesce(F.sum(F.when(test, F.col("size"))), F.lit(0)).alias
+    number = lambda test, name: F.count_if(test).alias(name)
+    size = lambda test, name: F.coalesce(F.sum(F.when(test, F.col("size"))), F.lit(0)).alias(name)
+    sent, never = is_("TRANSFERRED"), F.lit(False)
+    copied, moved = (never, sent) if move else (sent, never)
     return rows.groupBy(by).agg(
-        F.count_if(is_("TRANSFERRED")).alias("processed"), F.count_if(is_("SKIPPED")).alias("skipped"), F.count_if(is_("FAILED")).alias("failed"),
-        F.count_if(is_("DUPLICATE")).alias("duplicates"), F.count("*").alias("files_seen"), F.count_if(~is_("DUPLICATE")).alias("total_found"),
-        size(is_("TRANSFERRED"))("bytes_transferred"), size(is_("FAILED"))("bytes_skipped"), size(is_("DUPLICATE"))("bytes_saved"),
+        number(sent | is_("PRESENT"), "files_processed"), number(is_("FAILED"), "files_failed"), number(is_("SKIPPED"), "files_skipped"), number(is_("DUPLICATE"), "duplicates_found"),
+        number(copied, "files_copied"), number(moved, "files_moved"), number(is_("SKIPPED") & (F.col("reason") == "EMPTY_FILE"), "empty_files"),
+        number(is_("SKIPPED") & (F.col("reason") == "SMALL_FILE"), "small_files"), number(is_("FAILED"), "corrupt_files"),
+        size(sent, "bytes_processed"), size(moved, "bytes_moved"), size(copied, "bytes_copied"), size(is_("FAILED") | is_("SKIPPED"), "bytes_skipped"), size(is_("DUPLICATE"), "bytes_saved"),
+        F.count_distinct(F.when(sent, F.col("folder"))).alias("folders_created"),
     )

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filelake.functions import columns as C
 from filelake.functions.fixed import FOLDER_PATTERNS
+from filelake.operators.ranking import running
 
 
 def folder(date: Column, pattern: str) -> Column:
@@ -21,23 +24,29 @@ def place(incoming: DataFrame, existing: DataFrame, form: str = "({})", always:
     """Adds final_name to (dir, name, path): the first free number of each name, in path order.
 
     ``existing`` is (dir, name) on disk. A name nobody holds goes to its first file bare unless
-    ``always``. Free numbers come from set difference, so gaps in the ladder are used first.
+    ``always``. Names that incoming files take bare count as held, so a literal ``a(1).jpg``
+    never meets a numbered ``a.jpg``; two numbered names differ because a name parses in one way.
+
+    Names are parsed once into stem, number and extension and meet on (dir, stem, extension).
+    The r-th free number is r plus the held numbers n at place j with n - j < r, a running count
+    over both; neither a name nor a folder with very many files gathers in one task.
     """
-    w = Window.partitionBy("dir", "name").orderBy("path")
-    held = existing.select("dir", "name").distinct().withColumn("_held", F.lit(True))
-    ranked = incoming.withColumn("_rank", F.row_number().over(w)).join(held, ["dir", "name"], "left")
+    before, after = form.split("{}")
+    held = existing.select("dir", "name").distinct()
+    ranked = running(incoming, ["dir", "name"], [F.col("path")], F.lit(1), "_rank").join(held.withColumn("_held", F.lit(True)), ["dir", "name"], "left")
     bare = F.lit(0) if always else F.when(F.col("_held").isNull(), 1).otherwise(0)
-    ranked = ranked.withColumn("_need", F.col("_rank") - bare)
-    before, after = (F.lit(x) for x in form.split("{}"))
-    ladder = existing.select("dir", F.col("name").alias("_taken"))
-    wanted = ranked.groupBy("dir", "name").agg(F.max("_need").alias("_most")).where("_most > 0")
-    stem_ext = [C.stem(F.col("name")), C.suffix_of(F.col("name"))]
-    taken = wanted.join(ladder, "dir").where(F.col("_taken").startswith(F.concat(stem_ext[0], before)) & F.col("_taken").endswith(F.concat(after, stem_ext[1])))
-    number = F.expr("try_cast(substring(_taken, length(_lead) + 1, length(_taken) - length(_lead) - length(_trail)) as int)")
-    taken = taken.withColumn("_lead", F.concat(stem_ext[0], before)).withColumn("_trail", F.concat(after, stem_ext[1])).withColumn("_n", number)
-    taken = taken.where("_n >= 1 and _taken = concat(_lead, _n, _trail)").groupBy("dir", "name").agg(F.collect_set("_n").alias("_used"))
-    free = wanted.join(taken, ["dir", "name"], "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<int>")))
-    free = free.withColumn("_free", F.array_except(F.sequence(F.lit(1), F.col("_most") + F.size("_used")), F.col("_used"))).select("dir", "name", "_free")
-    out = ranked.join(free, ["dir", "name"], "left")
-    final = F.when(F.col("_need") == 0, F.col("name")).otherwise(C.numbered(F.col("name"), F.element_at("_free", F.greatest(F.col("_need"), F.lit(1))), form))
-    return out.withColumn("final_name", final).drop("_rank", "_held", "_need", "_free")
+    ranked = ranked.withColumn("_need", F.col("_rank") - bare).drop("_rank", "_held")
+    first = ranked.where("_need = 0").drop("_need").withColumn("final_name", F.col("name"))
+    asked = ranked.where("_need > 0").withColumns({"_stem": C.stem(F.col("name")), "_ext": C.suffix_of(F.col("name"))})
+    if not always:
+        held = held.union(incoming.select("dir", "name")).distinct()
+    taken = held.withColumns({"_whole": C.stem(F.col("name")), "_ext": C.suffix_of(F.col("name"))})
+    pattern = f"(?s)^(.+){re.escape(before)}([1-9][0-9]{{0,8}}){re.escape(after)}$"
+    taken = taken.where(F.col("_whole").rlike(pattern)).withColumns({"_stem": F.regexp_extract("_whole", pattern, 1), "_n": F.regexp_extract("_whole", pattern, 2).cast("int")})
+    taken = taken.join(asked.select("dir", "_stem", "_ext").distinct(), ["dir", "_stem", "_ext"], "left_semi")
+    place_ = F.row_number().over(Window.partitionBy("dir", "_stem", "_ext").orderBy("_n"))
+    taken = taken.select("dir", "_stem", "_ext", (F.col("_n") - place_).cast("long").alias("_need"), F.lit(1).alias("_kind"), F.col("_n").alias("_tie"))
+    both = asked.withColumns({"_kind": F.lit(0), "_tie": F.lit(0)}).unionByName(taken, allowMissingColumns=True)
+    both = running(both, ["dir", "_stem", "_ext"], [F.col("_need"), F.col("_kind"), F.col("_tie")], F.col("_kind"), "_passed").where("_kind = 0")
+    numbered = both.withColumn("final_name", F.concat("_stem", F.lit(before), (F.col("_need") + F.col("_passed")).cast("string"), F.lit(after), "_ext"))
+    return first.unionByName(numbered.select(*first.columns))

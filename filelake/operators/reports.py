@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from datetime import datetime, timezone
 from typing import TextIO
 
 from pyspark.sql import DataFrame, Window
@@ -27,6 +28,12 @@ def capped(events: DataFrame, cap: int, by: list[str], order: list[str]) -> Data
     return kept.join(totals, by).withColumn("truncated", F.col("total") > cap)
 
 
+def preview(rows: DataFrame, column: str, n: int = 20) -> str:
+    """The first ``n`` values in order, a line each, and how many more there are."""
+    total, shown = rows.count(), [r[0] for r in rows.select(column).orderBy(column).limit(n).collect()]  # ``n`` rows
+    return "".join(f"{x}\n" for x in shown) + (f"... and {total - len(shown)} more" if total > len(shown) else "")
+
+
 def _entries(f: TextIO, rows: DataFrame) -> None:
     """A JSON array, one row after the other; nulls are left out."""
     f.write("[")
@@ -47,16 +54,27 @@ def _write(path: str, head: dict, lists: dict[str, DataFrame]) -> None:
     os.replace(f"{path}.tmp", path)
 
 
-def write_outcome_report(events: DataFrame, outcome: str, job: str, path: str, cap: int = CAP) -> int:
-    """Stream one JSON report to ``path``; returns the true total. Nothing is written for an outcome without rows."""
+# The names of a report entry and their columns.
+ENTRY = {
+    "filePath": "file_path", "fileName": "file_name", "fileSize": "file_size", "reason": "reason", "sha256Hash": "sha256", "matchedPath": "matched_path",
+    "destinationPath": "destination_path", "recordedAt": "recorded_at",
+}
+
+
+def write_outcome_report(events: DataFrame, outcome: str, job: str, path: str, cap: int = CAP, source: str | None = None, target: str | None = None) -> int:
+    """Stream one JSON report to ``path``; returns the true total. Nothing is written for an outcome without rows.
+
+    The cap is the feature: a report lists its oldest rows and says how many it leaves out."""
     own = events.where((F.col("job_id") == job) & (F.col("outcome") == outcome))
     total, size = own.agg(F.count("*"), F.coalesce(F.sum("file_size"), F.lit(0))).first()
     if not total:
         return 0
-    head = {"jobId": job, "outcome": outcome, "totalCount": total, "totalBytesSaved" if outcome == "DUPLICATE" else "totalBytes": size, "truncated": total > cap, "entriesOmitted": max(0, total - cap)}
+    stamp = datetime.now(timezone.utc).isoformat(timespec="microseconds").replace("+00:00", "Z")
+    head = {"jobId": job, "outcome": outcome, "generatedAt": stamp, "sourcePath": source, "targetPath": target, "totalCount": total, "totalBytesSaved" if outcome == "DUPLICATE" else "totalBytes": size, "truncated": total > cap}
     if total > cap:
-        head["notice"] = f"Report lists the first {cap} of {total} entries."
-    entries = own.orderBy("event_seq").limit(cap).drop("job_id", "outcome")
+        head |= {"entriesOmitted": total - cap, "truncationNotice": f"Report lists the first {cap} of {total} entries; the event table holds them all."}
+    names = {k: c for k, c in ENTRY.items() if c in own.columns and (outcome == "DUPLICATE" or k not in ("sha256Hash", "matchedPath"))}
+    entries = own.orderBy("event_seq").limit(cap).select(*[F.col(c).alias(k) for k, c in names.items()])
     _write(path, head, {"entries": entries})
     return total
 
@@ -66,12 +84,12 @@ def status_latest(log: DataFrame, by: str, status: str, order: list[str]) -> Dat
     return log.groupBy(by).agg(F.max_by(status, F.struct(*order)).alias("status"))
 
 
-def write_all_outcomes(events: DataFrame, job: str, folder: str, cap: int = CAP) -> dict[str, str]:
+def write_all_outcomes(events: DataFrame, job: str, folder: str, cap: int = CAP, source: str | None = None, target: str | None = None) -> dict[str, str]:
     """The three outcome reports of a job, each by job and again under its latest name; outcomes without rows write none."""
     written = {}
     for outcome, sub in zip(("SKIPPED", "FAILED", "DUPLICATE"), REPORT_FOLDERS, strict=True):
         path = os.path.join(folder, sub, f"{outcome.lower()}-{job}.json")
-        if write_outcome_report(events, outcome, job, path, cap):
+        if write_outcome_report(events, outcome, job, path, cap, source, target):
             latest = os.path.join(folder, sub, f"{outcome.lower()}.json")
             with open(path, encoding="utf-8") as a, open(f"{latest}.tmp", "w", encoding="utf-8") as b:
                 for line in a:

@@ -1,10 +1,12 @@
-"""Rates, rolling averages, peaks and two kinds of downsampling. Every window is partitioned by job."""
+"""Rates, rolling averages, peaks and two kinds of downsampling. Every window is partitioned by job; the envelope has none over a whole series."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filelake.operators.ranking import running
+
 
 def delta_rate(rows: DataFrame, by: str, order: list[str], total: str, micros: Column) -> DataFrame:
     """Adds rate: growth of a running total per second since the previous row; no growth is 0, time is at least 1 ms."""
@@ -33,14 +35,40 @@ def bucket_average(samples: DataFrame, by: str, elapsed: str, values: list[str],
 
 
 def envelope(samples: DataFrame, by: str, order: list[str], value: str, target: int) -> DataFrame:
-    """Rows kept by the min/max envelope: the first minimum and first maximum of each of ``target`` index buckets, and both ends."""
-    w = Window.partitionBy(by).orderBy(*order)
-    rows = samples.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
-    rows = rows.withColumn("_b", F.expr(f"((_i + 1) * {target} - 1) div _n"))
-    low = Window.partitionBy(by, "_b").orderBy(value, "_i")
-    high = Window.partitionBy(by, "_b").orderBy(F.desc(value), "_i")
-    keep = (F.col("_n") <= 2 * target) | (F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1) | (F.col("_lo") == 1) | (F.col("_hi") == 1)
-    return rows.withColumn("_lo", F.row_number().over(low)).withColumn("_hi", F.row_number().over(high)).where(keep).drop("_i", "_n", "_b", "_lo", "_hi")
+    """Rows kept by the min/max envelope: the first minimum and first maximum of each of ``target`` index buckets, and both ends.
+
+    Index and buckets come from running counts and partial aggregates, so a long series is no single task.
+    """
+    rows = running(samples, [by], [F.col(c) for c in order], F.lit(1), "_i").withColumn("_i", F.col("_i") - 1)
+    total = samples.groupBy(by).agg(F.count("*").alias("_n"))
+    rows = rows.join(total.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).drop("_by").withColumn("_b", F.expr(f"((_i + 1) * {target} - 1) div _n"))
+    low, high = F.struct(F.col(value).alias("col1"), F.col("_i").alias("col2")), F.struct(F.col(value).alias("col1"), (-F.col("_i")).alias("col2"))
+    ends = rows.groupBy(F.col(by).alias("_by"), F.col("_b").alias("_bucket")).agg(F.min(low)["col2"].alias("_lo"), (-F.max(high)["col2"]).alias("_hi"))
+    rows = rows.join(ends, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_b") == F.col("_bucket")))
+    keep = (F.col("_n") <= 2 * target) | (F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1) | (F.col("_i") == F.col("_lo")) | (F.col("_i") == F.col("_hi"))
+    return rows.where(keep).select(*samples.columns)
+
+
+def chartable(samples: DataFrame, by: list[str], least: int = 5) -> DataFrame:
+    """The series with enough samples for a chart."""
+    return samples.groupBy(*by).count().where(F.col("count") >= least)
+
+
+def latest(rows: DataFrame, by: str, order: list[str], n: int = 3600) -> DataFrame:
+    """The capped history of each series: its last ``n`` rows."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(*[F.desc(c) for c in order]))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+
+def job_rate(processed: Column, seconds: Column) -> Column:
+    """Files a second over the whole job; 0 within its first second."""
+    whole = F.floor(seconds)
+    return F.when(whole >= 1, processed / whole).otherwise(0.0)
+
+
+def keep_last(rows: DataFrame, by: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the value, or the last one before it that was not null."""
+    return rows.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def trailing(samples: DataFrame, by: str, elapsed: str, seconds: int) -> DataFrame:

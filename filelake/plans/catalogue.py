@@ -7,14 +7,16 @@ dates. Every query runs over its whole table.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filelake.functions import columns as C
-from filelake.operators import claims, cleanup, gates, placement, reports, series, summary, verify
+from filelake.operators import actions, claims, cleanup, gates, jobs, placement, reports, series, summary, verify
 from filelake.session import table
+from filelake.sources.content import sniffed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,7 +59,8 @@ _SAMPLES = "WITH s AS (SELECT event_id, event_type AS outcome, value, (epoch_us(
 
 @query("SELECT doc_id, sha256(text) AS sha256, sha256(left(text, 1024)) AS partial_sha256 FROM documents")
 def content_digest(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.sha2(F.substring("text", 1, 1024), 256).alias("partial_sha256"))
+    full, part = C.digests(F.col("text"), 1024)
+    return table(spark, d, "documents").select("doc_id", full.alias("sha256"), part.alias("partial_sha256"))
 
 
 @query(f"{_FILES} SELECT doc_id, sha256, canonical_id FROM (SELECT *, min(doc_id) OVER (PARTITION BY sha256) AS canonical_id FROM f) WHERE doc_id <> canonical_id")
@@ -73,10 +76,12 @@ def duplicate_savings(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_FILES} SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256) AS canonical_id FROM f QUALIFY doc_id <> min(doc_id) OVER (PARTITION BY sha256)")
 def partial_digest_prefilter(spark: SparkSession, d: str) -> DataFrame:
-    """Three stages: equal size, equal first KiB, then the full digest of what is left."""
-    docs = table(spark, d, "documents").select("doc_id", "text", F.octet_length("text").alias("size"), F.sha2(F.substring("text", 1, 1024), 256).alias("part"))
-    left = docs.join(docs.groupBy("size", "part").count().where("count > 1").drop("count"), ["size", "part"])
-    out = claims.claim(left.select("doc_id", F.sha2("text", 256).alias("sha256")), order="doc_id")
+    """Three stages: equal size, equal first KiB, then the full digest of what is left. Only ids are grouped; texts are met again for those that are left."""
+    docs = table(spark, d, "documents")
+    heads = docs.select("doc_id", F.octet_length("text").alias("size"), C.digests(F.col("text"), 1024)[1].alias("part"))
+    again = heads.join(heads.groupBy("size", "part").count().where("count > 1"), ["size", "part"]).select("doc_id")
+    left = docs.join(again, "doc_id", "left_semi").select("doc_id", C.digests(F.col("text"), 1024)[0].alias("sha256"))
+    out = claims.claim(left, order="doc_id")
     return out.where("disposition = 'DUPLICATE'").select("doc_id", F.col("matched").alias("canonical_id"))
 
 
@@ -95,11 +100,12 @@ def gate_chain(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy(F.coalesce(gates.size_gate(F.col("size"), F.col("kind"), 500, 1000), F.lit("VALID")).alias("gate")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-@query("""SELECT doc_id, CASE WHEN source GLOB 'src1[0-4]' OR source GLOB 'src?' AND source <> 'src9' THEN 'IGNORE_RULE_MATCHED' WHEN lang NOT IN ('en', 'de') THEN 'UNSUPPORTED_FORMAT' END AS skip FROM documents""")
+@query("""SELECT doc_id, CASE lang WHEN 'en' THEN 'IMAGE' WHEN 'de' THEN 'VIDEO' END AS file_type,
+  CASE WHEN source GLOB 'src1[0-4]' OR source GLOB 'src[0-8]' THEN 'IGNORE_RULE_MATCHED' WHEN lang NOT IN ('en', 'de') THEN 'UNSUPPORTED_FORMAT' END AS skip FROM documents""")
 def media_filter(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    skip = F.when(C.ignored(F.col("source"), ["src{1[0-4],[0-8]}", "broken["]), "IGNORE_RULE_MATCHED").when(~F.col("lang").isin("en", "de"), "UNSUPPORTED_FORMAT")
-    return docs.select("doc_id", skip.alias("skip"))
+    ext = F.when(F.col("lang") == "en", "JPG").when(F.col("lang") == "de", "mkv").otherwise("txt")
+    files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("a.b/"), "source", F.lit("-x."), ext).alias("path"))
+    return gates.walk_disposition(files, ["src{1[0-4],[0-8]}-*", "broken["]).select("doc_id", "file_type", F.col("walk_skip").alias("skip"))
 
 
 @query("SELECT page_id, lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '\\.([^./]*)$', 1)) AS ext FROM pages")
@@ -107,12 +113,11 @@ def extension_extract(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", C.extension(C.file_name(F.col("url"))).alias("ext"))
 
 
-@query("""SELECT grp, count(*) AS n, sum(size)::BIGINT AS bytes FROM (SELECT octet_length(encode(html)) AS size,
-  CASE WHEN regexp_matches(html, '(?is)^\\s*(<!doctype html|<html)') THEN 'DOCUMENT' ELSE 'OTHER' END AS grp FROM pages) GROUP BY grp""")
+@query("""SELECT mime, 'DOCUMENT' AS grp, count(*) AS n, sum(size)::BIGINT AS bytes FROM (SELECT octet_length(encode(html)) AS size,
+  CASE WHEN regexp_matches(html, '(?is)^\\s*(<!doctype html|<html)') THEN 'text/html' ELSE 'text/plain' END AS mime FROM pages) GROUP BY mime""")
 def mime_sniff_group(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages")
-    mime = F.when(F.col("html").rlike(r"(?is)^\s*(<!doctype html|<html)"), "text/html; charset=utf-8").otherwise("application/octet-stream")
-    return p.select(C.mime_group(mime).alias("grp"), F.octet_length("html").cast("long").alias("size")).groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    p = table(spark, d, "pages").select(sniffed(F.substring(F.encode("html", "utf-8"), 1, 4096)).alias("mime"), F.octet_length("html").cast("long").alias("size"))
+    return p.groupBy("mime", C.mime_group(F.col("mime")).alias("grp")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y/%m') AS ym, strftime(o_orderdate, '%Y/%b') AS ymmm, strftime(o_orderdate, '%Y/%b/%d') AS ymmmd, strftime(o_orderdate, '%Y/%m/%d') AS ymd FROM orders")
@@ -181,21 +186,24 @@ def capped_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.capped(_events(spark, d), 100, ["outcome"], ["event_id"]).select("outcome", "event_id", "rank", "total", "truncated")
 
 
-_OUT = """o AS (SELECT user_id, floor(value)::BIGINT AS size, CASE WHEN event_id % 10 < 6 THEN 'TRANSFERRED' WHEN event_id % 10 < 8 THEN 'SKIPPED' WHEN event_id % 10 = 8 THEN 'FAILED' ELSE 'DUPLICATE' END AS outcome FROM events)"""
+_OUT = """o AS (SELECT user_id, floor(value)::BIGINT AS size, event_type AS folder, CASE event_id % 3 WHEN 0 THEN 'EMPTY_FILE' WHEN 1 THEN 'SMALL_FILE' END AS reason, CASE WHEN event_id % 10 < 6 THEN 'TRANSFERRED' WHEN event_id % 10 < 8 THEN 'SKIPPED' WHEN event_id % 10 = 8 THEN 'FAILED' ELSE 'DUPLICATE' END AS outcome FROM events)"""
 
 
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id") % 10
     kind = F.when(k < 6, "TRANSFERRED").when(k < 8, "SKIPPED").when(k == 8, "FAILED").otherwise("DUPLICATE")
-    return table(spark, d, "events").select("user_id", F.floor("value").alias("size"), kind.alias("outcome"))
+    why = F.when(F.col("event_id") % 3 == 0, "EMPTY_FILE").when(F.col("event_id") % 3 == 1, "SMALL_FILE")
+    return table(spark, d, "events").select("user_id", F.floor("value").alias("size"), F.col("event_type").alias("folder"), why.alias("reason"), kind.alias("outcome"))
 
 
-@query(f"""WITH {_OUT} SELECT user_id, count(*) FILTER (outcome = 'TRANSFERRED') AS processed, count(*) FILTER (outcome = 'SKIPPED') AS skipped, count(*) FILTER (outcome = 'FAILED') AS failed,
-count(*) FILTER (outcome = 'DUPLICATE') AS duplicates, count(*) AS files_seen, count(*) FILTER (outcome <> 'DUPLICATE') AS total_found,
-coalesce(sum(size) FILTER (outcome = 'TRANSFERRED'), 0)::BIGINT AS bytes_transferred, coalesce(sum(size) FILTER (outcome = 'FAILED'), 0)::BIGINT AS bytes_skipped,
-coalesce(sum(size) FILTER (outcome = 'DUPLICATE'), 0)::BIGINT AS bytes_saved FROM o GROUP BY user_id""")
+@query(f"""WITH {_OUT} SELECT user_id, count(*) FILTER (outcome = 'TRANSFERRED') AS files_processed, count(*) FILTER (outcome = 'FAILED') AS files_failed, count(*) FILTER (outcome = 'SKIPPED') AS files_skipped,
+count(*) FILTER (outcome = 'DUPLICATE') AS duplicates_found, 0::BIGINT AS files_copied, count(*) FILTER (outcome = 'TRANSFERRED') AS files_moved, count(*) FILTER (outcome = 'SKIPPED' AND reason = 'EMPTY_FILE') AS empty_files,
+count(*) FILTER (outcome = 'SKIPPED' AND reason = 'SMALL_FILE') AS small_files, count(*) FILTER (outcome = 'FAILED') AS corrupt_files,
+coalesce(sum(size) FILTER (outcome = 'TRANSFERRED'), 0)::BIGINT AS bytes_processed, coalesce(sum(size) FILTER (outcome = 'TRANSFERRED'), 0)::BIGINT AS bytes_moved, 0::BIGINT AS bytes_copied,
+coalesce(sum(size) FILTER (outcome IN ('FAILED', 'SKIPPED')), 0)::BIGINT AS bytes_skipped, coalesce(sum(size) FILTER (outcome = 'DUPLICATE'), 0)::BIGINT AS bytes_saved,
+count(DISTINCT folder) FILTER (outcome = 'TRANSFERRED') AS folders_created FROM o GROUP BY user_id""")
 def job_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return gates.job_counters(_outcomes(spark, d), "user_id")
+    return gates.job_counters(_outcomes(spark, d), "user_id", move=True)
 
 
 @query(f"""{_SAMPLES}, w AS (SELECT *, greatest(1, max(elapsed) OVER (PARTITION BY outcome) // 600 + 1) AS width FROM s)
@@ -231,8 +239,6 @@ def rolling_rate_150(spark: SparkSession, d: str) -> DataFrame:
 l AS (SELECT *, total - lag(total) OVER w AS dv, (us - lag(us) OVER w) / 1e6 AS dt FROM t WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))
 SELECT event_id, round(CASE WHEN dv > 0 THEN dv / greatest(dt, 0.001) ELSE 0 END, 6)::DOUBLE AS rate FROM l""")
 def delta_rate(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("job_id").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     e = _events(spark, d).withColumn("total", F.sum(F.floor("value")).over(w))
     return series.delta_rate(e, "job_id", ["us", "event_id"], "total", F.col("us")).select("event_id", F.round("rate", 6).alias("rate"))
@@ -257,13 +263,14 @@ def trailing_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 8")
 def recent_n(spark: SparkSession, d: str) -> DataFrame:
+    """The number is the feature: the list of the last files shows eight."""
     return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(8).select("event_id", "event_type")
 
 
 @query("SELECT user_id, min(ts) AS start_time, max(ts) AS end_time, count(*) AS n, epoch(max(ts))::BIGINT - epoch(min(ts))::BIGINT >= 0 AS ended FROM events GROUP BY user_id")
 def job_history(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.count("*").alias("n"))
-    return e.withColumn("ended", F.col("end_time") >= F.col("start_time")).orderBy(F.desc("start_time"), "user_id")
+    return jobs.history(e.withColumn("ended", F.col("end_time") >= F.col("start_time")).withColumnRenamed("user_id", "job_id")).withColumnRenamed("job_id", "user_id")
 
 
 @query("SELECT user_id, arg_max(event_type, row(ts, event_id)) AS status FROM events GROUP BY user_id")
@@ -394,10 +401,154 @@ def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS chartable FROM (SELECT event_type, user_id FROM events GROUP BY 1, 2 HAVING count(*) >= 5) GROUP BY event_type")
 def chartable(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "events").groupBy("event_type", "user_id").count().where("count >= 5")
+    n = series.chartable(table(spark, d, "events"), ["event_type", "user_id"])
     return n.groupBy("event_type").agg(F.count("*").alias("chartable"))
 
 
+_LITERAL = "i AS (SELECT o_orderkey AS path, strftime(o_orderdate, '%Y/%m') AS dir, o_orderpriority || CASE o_orderkey % 3 WHEN 0 THEN '(1)' WHEN 1 THEN '(3)' ELSE '' END AS stem FROM orders)"
+
+
+@query(f"""WITH {_LITERAL}, g AS (SELECT *, row_number() OVER (PARTITION BY dir, stem ORDER BY path) - 1 AS r FROM i), h AS (SELECT DISTINCT dir, stem FROM i),
+c AS (SELECT dir, stem, unnest(range(1, m + 3)) AS x FROM (SELECT dir, stem, max(r) AS m FROM g GROUP BY dir, stem)),
+free AS (SELECT dir, stem, x, row_number() OVER (PARTITION BY dir, stem ORDER BY x) AS r FROM c WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.dir = c.dir AND h.stem = c.stem || '(' || c.x || ')'))
+SELECT path, dir, CASE WHEN g.r = 0 THEN g.stem ELSE g.stem || '(' || x || ')' END || '.jpg' AS final_name FROM g LEFT JOIN free USING (dir, stem, r)""")
+def literal_suffix(spark: SparkSession, d: str) -> DataFrame:
+    """Incoming names that look like numbered ones keep their names; numbers step over them."""
+    mark = F.when(F.col("o_orderkey") % 3 == 0, "(1)").when(F.col("o_orderkey") % 3 == 1, "(3)").otherwise("")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), placement.folder(F.col("o_orderdate"), "YYYY_MM").alias("dir"), F.concat("o_orderpriority", mark, F.lit(".jpg")).alias("name"))
+    return placement.place(rows, rows.select("dir", "name").limit(0)).select("path", "dir", "final_name")
+
+
+_JOBS = "j AS (SELECT user_id::VARCHAR AS job_id, arg_max(CASE event_type WHEN 'click' THEN 'RUNNING' WHEN 'view' THEN 'PAUSED' ELSE 'COMPLETED' END, event_id) AS status, min(ts) AS start_time FROM events GROUP BY user_id)"
+
+
+def _job_log(spark: SparkSession, d: str) -> DataFrame:
+    """Each event as a row of a job's log."""
+    kind = F.when(F.col("event_type") == "click", "RUNNING").when(F.col("event_type") == "view", "PAUSED").otherwise("COMPLETED")
+    first = F.min("ts").over(Window.partitionBy("user_id"))
+    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), kind.alias("status"), first.alias("start_time"), F.col("event_id").alias("seq"))
+
+
+@query(f"WITH {_JOBS} SELECT job_id, status FROM j")
+def job_latest(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.latest_jobs(_job_log(spark, d)).select("job_id", "status")
+
+
+@query(f"WITH {_JOBS} SELECT job_id, status FROM j WHERE status IN ('RUNNING', 'PAUSED') ORDER BY start_time DESC, job_id LIMIT 1")
+def active_job(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.active_job(jobs.latest_jobs(_job_log(spark, d))).select("job_id", "status")
+
+
+@query("SELECT event_id, elapsed, value FROM (SELECT event_id, value, event_type, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY event_type)) // 1000000 AS elapsed FROM events) WHERE event_type = 'click'")
+def samples_of_job(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.of_job(_samples(spark, d).withColumn("job_id", F.col("outcome")), "click").select("event_id", "elapsed", "value")
+
+
+@query("""SELECT j.job_id, coalesce(s.n, 0) AS samples, last_elapsed, round(mean, 6) AS mean, most FROM (SELECT DISTINCT o_orderpriority AS job_id FROM orders UNION SELECT DISTINCT event_type FROM events) j
+LEFT JOIN (SELECT event_type, count(*) AS n, max(elapsed) AS last_elapsed, avg(value) AS mean, max(value) AS most FROM (SELECT event_type, value, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY event_type)) // 1000000 AS elapsed FROM events) GROUP BY event_type) s ON j.job_id = s.event_type""")
+def job_samples(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "orders").select(F.col("o_orderpriority").alias("job_id")).union(table(spark, d, "events").select("event_type")).distinct()
+    samples = _samples(spark, d).select(F.col("outcome").alias("job_id"), "elapsed", F.col("value").alias("files_per_sec"), F.col("value").alias("mb_per_sec"))
+    return jobs.with_samples(names, samples).select("job_id", "samples", "last_elapsed", F.round("mean_files_per_sec", 6).alias("mean"), F.col("most_mb_per_sec").alias("most"))
+
+
+@query("SELECT event_id, user_id AS job_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 50 = 0)")
+def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("job_id"))
+    return jobs.without_job(e, e.where("event_id % 50 = 0"))
+
+
+@query(f"{_QUICK} SELECT sha256, dest AS destination_path FROM c WHERE dest IS NOT NULL ORDER BY dest")
+def canonical_cursor(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.transferred(_archive(spark, d)[0]).select("sha256", "destination_path")
+
+
+@query(f"{_FILES} SELECT path, size FROM f WHERE sha256 = sha256('')")
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.by_key(_files(spark, d), "sha256", hashlib.sha256(b"").hexdigest()).select("path", "size")
+
+
+@query("SELECT count(*) AS total FROM pages WHERE lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '\\.([^./]*)$', 1)) IN ('jpg', 'jpeg', 'png', 'gif', 'webp', 'mp4') OR page_id % 2 = 0")
+def media_total(spark: SparkSession, d: str) -> DataFrame:
+    """The counting pass over a listing: files that the walk does not leave out."""
+    p = table(spark, d, "pages").select(F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("/x.JPG"))).otherwise(F.col("url")).alias("path"))
+    return gates.walk_disposition(p).where("walk_skip is null").agg(F.count("*").alias("total"))
+
+
+@query("""WITH c AS (SELECT user_id, count(*) AS total, count(*) FILTER (event_id % 2 = 0) AS done, epoch(max(ts)) - epoch(min(ts)) AS s FROM events GROUP BY user_id)
+SELECT user_id, done / total AS fraction, greatest(0, total - done) AS remaining, CASE WHEN floor(s) >= 1 THEN done / floor(s) ELSE 0 END AS job_rate FROM c""")
+def job_progress(spark: SparkSession, d: str) -> DataFrame:
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    c = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(F.col("event_id") % 2 == 0).alias("done"), ((F.max(us) - F.min(us)) / 1e6).alias("s"))
+    return c.select("user_id", C.fraction_done(F.col("total"), F.col("done")).alias("fraction"), C.remaining(F.col("total"), F.col("done")).alias("remaining"), series.job_rate(F.col("done"), F.col("s")).alias("job_rate"))
+
+
+@query("""SELECT event_id, last_value(CASE WHEN value > 0 AND event_id % 4 <> 0 THEN (10000 - event_id) / value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS eta FROM
+(SELECT * FROM events WHERE event_id < 10000)""")
+def eta_keep_last(spark: SparkSession, d: str) -> DataFrame:
+    """Events as progress ticks of a job of 10 000 files; a tick without a rate keeps the last estimate."""
+    e = _events(spark, d).where("event_id < 10000")
+    e = e.withColumn("_eta", series.eta(F.lit(10000), F.col("event_id"), F.when(F.col("event_id") % 4 != 0, F.col("value"))))
+    return series.keep_last(e, "job_id", ["us", "event_id"], "_eta", "eta").select("event_id", "eta")
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 360")
+def history_cap(spark: SparkSession, d: str) -> DataFrame:
+    """The cap is the feature: a live history holds a fixed number of points."""
+    return series.latest(_events(spark, d), "outcome", ["us", "event_id"], 360).select("event_id")
+
+
+@query(f"{_GROUPED} SELECT count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (grp <> 'PROTECTED_MEDIA') AS deletable, count(*) FILTER (grp = 'PROTECTED_MEDIA') AS protected FROM g")
+def deletable_totals(spark: SparkSession, d: str) -> DataFrame:
+    return cleanup.deletable_totals(_grouped(spark, d))
+
+
+@query(f"{_GROUPED} SELECT path, size FROM g WHERE grp = 'ARCHIVE'")
+def group_extract(spark: SparkSession, d: str) -> DataFrame:
+    return cleanup.in_group(_grouped(spark, d), "ARCHIVE").select("path", "size")
+
+
+@query(f"""{_GROUPED} SELECT CASE grp WHEN 'DOCUMENT' THEN 'Documents' WHEN 'ARCHIVE' THEN 'Archives' ELSE 'Other non-media' END AS display_name, count(*) AS deleted FROM g
+WHERE grp <> 'PROTECTED_MEDIA' AND path % 3 <> 0 GROUP BY 1 ORDER BY 1""")
+def deleted_per_group(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when((F.col("group") != "PROTECTED_MEDIA") & (F.col("path") % 3 != 0), "DELETED").otherwise("KEPT")
+    return actions.deleted_per_group(_grouped(spark, d).select("path", F.col("group").alias("destination"), status.alias("status")))
+
+
+@query(f"""{_GROUPED} SELECT count(*) FILTER (path % 7 <> 0) AS examined, count(*) FILTER (path % 7 NOT IN (0, 1)) AS deleted, sum(size) FILTER (path % 7 NOT IN (0, 1))::BIGINT AS bytes_deleted,
+count(*) FILTER (path % 7 = 1) AS failed, count(*) FILTER (path % 7 = 0) = 0 AS completed FROM g""")
+def deletion_totals(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("path") % 7
+    return actions.running_totals(_grouped(spark, d).select(F.when(k == 0, "NOT_REACHED").when(k == 1, "FAILED").otherwise("DELETED").alias("status"), F.col("size").alias("bytes")))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate WHEN 1 THEN o_orderdate + INTERVAL 123 MILLISECOND WHEN 2 THEN o_orderdate END AS parsed,
+'JOB-' || strftime(o_orderdate, '%Y%m%d-%H%M%S') || printf('-%03d', o_orderkey % 1000) AS job_id, 'CLEAN-' || strftime(o_orderdate, '%Y%m%d-%H%M%S') AS run_id FROM orders""")
+def parse_instant(spark: SparkSession, d: str) -> DataFrame:
+    k, base = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.when(k == 0, F.concat(base, F.lit("Z"))).when(k == 1, F.concat(base, F.lit(".123000000Z"))).when(k == 2, base).otherwise(F.date_format("o_orderdate", "yyyy/MM/dd"))
+    number = (F.col("o_orderkey") % 1000).cast("int")
+    return table(spark, d, "orders").select("o_orderkey", C.parse_instant(text).alias("parsed"), C.run_id("JOB", F.col("o_orderdate"), number).alias("job_id"), C.run_id("CLEAN", F.col("o_orderdate")).alias("run_id"))
+
+
+@query("""SELECT event_id, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS clock, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%dh %02dm', s // 3600, s % 3600 // 60) END AS short,
+CASE WHEN s < 60 THEN s || 's' ELSE printf('%d min %02d s', s // 60, s % 60) END AS long FROM (SELECT event_id, event_id * 7 % 9000 AS s FROM events)""")
+def clock_formats(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("event_id") * 7 % 9000
+    return table(spark, d, "events").select("event_id", C.clock(s).alias("clock"), C.elapsed_short(s).alias("short"), C.minutes_long(s * 1000 + 999).alias("long"))
+
+
+@query("""SELECT event_id, CASE WHEN r >= 1024 THEN printf('%.2f GB/s', r / 1024) WHEN r >= 1 THEN printf('%.1f MB/s', r) ELSE printf('%.1f KB/s', r * 1024) END AS rate FROM (SELECT event_id, (event_id % 4096) / 17.0 * (event_id % 5) AS r FROM events)""")
+def human_rate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", C.human_rate(F.col("event_id") % 4096 / F.lit(17.0) * (F.col("event_id") % 5)).alias("rate"))
+
+
+@query("SELECT doc_id, string_split(text, chr(10))[1] AS line, CASE WHEN lang = 'en' THEN 'IOException' ELSE 'IOException: ' || source END AS failure FROM documents")
+def first_line(spark: SparkSession, d: str) -> DataFrame:
+    text = F.when(F.col("lang") != "en", F.col("source")).otherwise("")
+    return table(spark, d, "documents").select("doc_id", C.first_line(F.col("text")).alias("line"), C.describe_failure(F.lit("IOException"), text).alias("failure"))
+
+
 def _bytes_sql(n: str) -> str:
     part = lambda power, digits: f"CAST(round(CAST({n} / {1024**power}.0 AS DECIMAL(28,10)), {digits}) AS DECIMAL(28,{digits}))::VARCHAR"
     return f"CASE WHEN {n} < 1024 THEN {n} || ' B' WHEN {n} < {1024**2} THEN {part(1, 1)} || ' KB' WHEN {n} < {1024**3} THEN {part(2, 1)} || ' MB' WHEN {n} < {1024**4} THEN {part(3, 2)} || ' GB' ELSE {part(4, 2)} || ' TB' END"

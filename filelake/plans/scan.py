@@ -2,54 +2,155 @@
 
 from __future__ import annotations
 
+import os
+import time
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filelake.functions import columns as C
-from filelake.functions.fixed import IGNORE_PATTERNS
-from filelake.operators import actions, claims, gates, placement
-from filelake.session import materialize
+from filelake.functions.fixed import IGNORE_PATTERNS, IMAGE_MIN_BYTES, REPORT_FOLDERS, VIDEO_MIN_BYTES
+from filelake.operators import actions, checkpoint, claims, gates, placement
+from filelake.operators.cleanup import check_job_paths
+from filelake.operators.control import Control
+from filelake.operators.ranking import running
+from filelake.session import materialize, ship
+from filelake.settings import Settings
 from filelake.sources.content import read_content
 from filelake.sources.filetree import FileTree
 
 OWNERS = "sha256 string, canonical string, destination_path string, destination_size long"
+CACHE = "path string, size long, mtime timestamp, sha256 string, partial_sha256 string, mime string, media_date timestamp_ntz"
+#: Files of one wave: between two waves a run looks at its control and may write a progress snapshot.
+WAVE = 1_000_000
+
+
+class Scan(NamedTuple):
+    """``outcomes`` of the files, the next ``owners`` and ``cache`` snapshots, and whether the run reached its end."""
+
+    outcomes: DataFrame
+    owners: DataFrame
+    cache: DataFrame
+    completed: bool
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
+def listing(spark: SparkSession, root: str, cancel: str | None = None) -> DataFrame:
+    ship(spark)  # the reader of the data source runs in the executors
     spark.dataSource.register(FileTree)
-    return spark.read.format("filetree").load(root)
+    reader = spark.read.format("filetree")
+    return (reader.option("cancel", cancel) if cancel else reader).load(root)
+
+
+def media_total(files: DataFrame, ignore: list[str] = IGNORE_PATTERNS, already_moved: int = 0) -> int:
+    """Files that a scan will look at (the total of progress and ETA); a run that moves adds those it has moved."""
+    return gates.walk_disposition(files.where("kind = 'file'"), ignore).where("walk_skip is null").count() + already_moved
+
+
+def contents(ready: DataFrame, cache: DataFrame | None, deep: bool) -> tuple[DataFrame, DataFrame]:
+    """(``ready`` with digests, type, problem and date; next cache snapshot). A file whose size and mtime are cached is not opened."""
+    spark = ready.sparkSession
+    cache = spark.createDataFrame([], CACHE) if cache is None else cache
+    known = cache.select("path", "size", "mtime", "sha256", "partial_sha256", "mime", F.col("media_date").alias("embedded_date"))
+    hits = ready.join(known, ["path", "size", "mtime"]).withColumns({"problem": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+    misses = ready.join(known.select("path", "size", "mtime"), ["path", "size", "mtime"], "left_anti")
+    fresh = materialize(misses.join(read_content(misses, deep), "path"), "content")  # each file is read once
+    sound = fresh.where("error is null and problem is null and (mime like 'image/%' or mime like 'video/%')")
+    new = sound.select("path", "size", "mtime", "sha256", "partial_sha256", "mime", F.col("embedded_date").alias("media_date"))
+    return hits.unionByName(fresh), claims.upsert_cache(cache, new).select(*new.columns)
 
 
-def plan_scan(spark: SparkSession, source: str, target: str, owners: DataFrame, pattern: str = "YYYY_MMM", ignore: list[str] = IGNORE_PATTERNS) -> DataFrame:
-    """One row for each file with its outcome so far: SKIPPED, FAILED, DUPLICATE, PRESENT or PLANNED with a destination. Writes nothing to either tree."""
+def plan_scan(
+    spark: SparkSession, source: str, target: str, owners: DataFrame, pattern: str = "YYYY_MMM", ignore: list[str] = IGNORE_PATTERNS,
+    policy: str = "SKIP", deep: bool = True, image_min: int = IMAGE_MIN_BYTES, video_min: int = VIDEO_MIN_BYTES, cache: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(plan, next cache snapshot). Writes nothing to either tree.
+
+    The plan has one row for each file with its outcome so far: SKIPPED, FAILED, DUPLICATE (with a destination
+    unless the policy is SKIP), PRESENT, or PLANNED with a destination. Both trees are listed once.
+    """
+    check_job_paths(source, target)
+    there = materialize(listing(spark, target), "target")
     walked = gates.walk_disposition(listing(spark, source).where("kind = 'file'"), ignore)
-    cheap = walked.withColumn("reason", F.coalesce("walk_skip", gates.size_gate(F.col("size"), F.col("file_type"))))
-    ready = cheap.where("reason is null").drop("reason", "walk_skip")
-    content = materialize(ready.join(read_content(ready), "path"), "content")  # files are read once
-    failed = F.when(~F.col("mime").rlike("^(image|video)/"), F.concat(F.lit("Unreadable media: detected type="), F.col("mime"))).otherwise(F.coalesce("error", "problem"))
-    content = content.withColumn("failure", failed)
+    cheap = materialize(walked.withColumn("reason", F.coalesce("walk_skip", gates.size_gate(F.col("size"), F.col("file_type"), image_min, video_min))), "source")
+    content, next_cache = contents(cheap.where("reason is null").drop("reason", "walk_skip"), cache, deep)
+    failed = F.when(~F.col("mime").rlike("^(image|video)/"), F.concat(F.lit("Unreadable media: detected type="), F.col("mime"))).otherwise(F.col("problem"))
+    content = materialize(content.withColumn("failure", F.coalesce("error", failed)), "checked")
     valid = claims.claim(content.where("failure is null"), owners)
-    date, how = C.capture_date(F.col("embedded_date"), F.col("ctime"), F.col("mtime"))
+    date, how = C.capture_date(F.col("embedded_date"), F.col("created"), F.col("mtime"))
     valid = valid.withColumn("date", date).withColumn("date_source", how)
-    own = claims.resume(valid.join(owners.select("sha256", "destination_path", "destination_size"), "sha256", "left"), listing(spark, target))
+    own = claims.resume(valid.join(owners.select("sha256", "destination_path", "destination_size"), "sha256", "left"), there)
     state = F.when(F.col("date").isNull(), "SKIPPED").when(F.col("disposition") == "DUPLICATE", "DUPLICATE").when((F.col("disposition") == "OWN") & F.col("present"), "PRESENT").otherwise("PLANNED")
-    own = own.withColumn("outcome", state)
-    new = own.where("outcome = 'PLANNED'").withColumn("dir", F.concat_ws("/", F.lit(target.rstrip("/")), placement.folder(F.col("date"), pattern)))
-    placed = placement.place(new.select("path", "dir", "name"), listing(spark, target).where("kind = 'file'").select(F.col("parent").alias("dir"), C.file_name(F.col("path")).alias("name")))
+    base = target.rstrip("/")
+    own = materialize(own.withColumn("outcome", state).withColumn("dir", F.concat_ws("/", F.lit(base), placement.folder(F.col("date"), pattern))), "own")
+    held = there.where("kind = 'file'").select(F.col("parent").alias("dir"), C.file_name(F.col("path")).alias("name"))
+    placed = materialize(placement.place(own.where("outcome = 'PLANNED'").select("path", "dir", "name"), held), "placed")
+    if policy != "SKIP":
+        held = held.union(placed.select("dir", F.col("final_name").alias("name")))
+        twins = own.where("outcome = 'DUPLICATE'").select("path", "dir", "name")
+        if policy == "MOVE_TO_BUCKET":
+            more = placement.place(twins.withColumn("dir", F.lit(f"{base}/{REPORT_FOLDERS[2]}")), held)
+        else:
+            more = placement.place(twins, held, form="_DUP_{}", always=True)
+        placed = placed.unionByName(more)
     placed = placed.select("path", F.concat_ws("/", "dir", "final_name").alias("destination"))
     done = own.join(placed, "path", "left").select("path", "size", "outcome", F.when(F.col("outcome") == "SKIPPED", "METADATA_MISSING").alias("reason"), "sha256", F.when(F.col("outcome") == "DUPLICATE", F.col("matched")).alias("matched_path"), "date_source", "destination")
     nothing = lambda n: F.lit(None).cast("string").alias(n)
     bad = content.where("failure is not null").select("path", "size", F.lit("FAILED").alias("outcome"), F.col("failure").alias("reason"), "sha256", nothing("matched_path"), nothing("date_source"), nothing("destination"))
     skipped = cheap.where("reason is not null").select("path", "size", F.lit("SKIPPED").alias("outcome"), "reason", nothing("sha256"), nothing("matched_path"), nothing("date_source"), nothing("destination"))
-    return done.unionByName(bad).unionByName(skipped)
+    return done.unionByName(bad).unionByName(skipped), next_cache
+
+
+def from_settings(s: Settings) -> dict:
+    """The options of a scan that a settings file holds."""
+    return {"pattern": s.folder_pattern, "ignore": s.ignore, "policy": s.duplicate_policy, "deep": s.deep_validation, "image_min": s.image_min_kb * 1024, "video_min": s.video_min_kb * 1024}
+
 
+def run_scan(
+    spark: SparkSession, source: str, target: str, owners: DataFrame, move: bool = False, control: Control | None = None, wave: int = WAVE,
+    snapshot: str | None = None, job: str = "JOB", **options,  # noqa: ANN003
+) -> Scan:
+    """Plan, then transfer in waves. Claims are recorded only for transfers that succeeded.
 
-def run_scan(spark: SparkSession, source: str, target: str, owners: DataFrame, move: bool = False, **options) -> tuple[DataFrame, DataFrame]:  # noqa: ANN003
-    """(outcomes, next owners snapshot). Claims are recorded only for transfers that succeeded."""
-    plan = materialize(plan_scan(spark, source, target, owners, **options), "plan")
-    results = materialize(actions.transfer(plan.where("outcome = 'PLANNED'"), move), "results")
-    moved = results.select("path", F.col("status").alias("_status"), "error")
-    out = plan.join(moved, "path", "left").withColumn("outcome", F.coalesce("_status", "outcome")).withColumn("reason", F.coalesce("error", "reason")).drop("_status", "error")
-    fresh = plan.join(results.where("status = 'TRANSFERRED'").select("path", "bytes"), "path")
+    Between waves the run waits while ``control`` says PAUSED and ends once it says STOPPED: files not reached stay
+    PLANNED and ``completed`` is false. ``snapshot``: progress JSON, written every 1 000 files or 60 s and at the end.
+    """
+    plan, cache = plan_scan(spark, source, target, owners, **options)
+    plan, cache = materialize(plan, "plan"), materialize(cache, "cache")
+    actions.require_distinct(plan)
+    work = running(plan.where("destination is not null").select("path", "destination", "outcome"), [], [F.col("path")], F.lit(1), "_at") if wave else None
+    work = materialize(work.withColumn("_wave", F.expr(f"(_at - 1) div {wave}")), "work")
+    waves = work.agg(F.coalesce(F.max("_wave"), F.lit(-1))).first()[0] + 1
+    trigger, results, completed = checkpoint.Trigger(), [], True
+    for k in range(waves):
+        if control is not None and not control.go_on():
+            completed = False
+            break
+        now = work.where(F.col("_wave") == k)
+        moved = actions.transfer(now.where("outcome = 'PLANNED'"), move)
+        if options.get("policy", "SKIP") != "SKIP":
+            moved = moved.unionByName(actions.transfer(now.where("outcome = 'DUPLICATE'")))  # twins are copied
+        results.append(materialize(moved, f"wave{k}"))
+        if snapshot and trigger.due(wave, time.monotonic()):
+            _snapshot(plan, results, snapshot, job, "RUNNING", source, target)
+    found = results[0] if results else spark.createDataFrame([], actions.RESULT)
+    for more in results[1:]:
+        found = found.unionByName(more)
+    if snapshot:
+        _snapshot(plan, results, snapshot, job, "COMPLETED" if completed else "STOPPED", source, target)
+    fresh = plan.where("outcome = 'PLANNED'").join(found.where("status = 'TRANSFERRED'").select("path", "bytes"), "path")
     fresh = fresh.select("sha256", F.col("path").alias("canonical"), F.col("destination").alias("destination_path"), F.col("bytes").alias("destination_size"))
-    return out, claims.commit_claims(owners, fresh)
+    return Scan(_outcomes(plan, found), claims.commit_claims(owners, fresh), cache, completed)
+
+
+def _outcomes(plan: DataFrame, results: DataFrame) -> DataFrame:
+    got = results.select("path", F.col("status").alias("_status"), F.col("error").alias("_error"))
+    final = F.when(F.col("_status") == "FAILED", "FAILED").when((F.col("_status") == "TRANSFERRED") & (F.col("outcome") == "PLANNED"), "TRANSFERRED").otherwise(F.col("outcome"))
+    return plan.join(got, "path", "left").withColumn("outcome", final).withColumn("reason", F.coalesce("_error", "reason")).drop("_status", "_error")
+
+
+def _snapshot(plan: DataFrame, results: list[DataFrame], path: str, job: str, status: str, source: str, target: str) -> None:
+    found = plan.sparkSession.createDataFrame([], actions.RESULT)
+    for r in results:
+        found = found.unionByName(r)
+    checkpoint.export_state(checkpoint.progress(_outcomes(plan, found), job, status, os.path.abspath(source), os.path.abspath(target)), path)

@@ -2,8 +2,8 @@
 
 Runs as ``mapInPandas`` over paths, streams files of any size in blocks, and keeps contents
 out of the plan. Structure and dates are found by seeking, at any size, in bounded memory. Filter with the cheap gates first: Python runs for every row it is given.
-Structural checks catch truncation and broken chunks; entropy-coded damage inside an intact
-JPEG frame is not detected.
+Structural checks (``deep``) catch truncation, broken chunks and boxes, and JPEG scan data with
+markers that cannot stand there; damage that forms valid codes is not detected.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from datetime import datetime, timedelta
 from typing import BinaryIO
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from filelake.functions.fixed import PARTIAL_BYTES
 from filelake.session import ship
@@ -54,6 +55,17 @@ def sniff(head: bytes) -> str:
     return "text/plain" if all(c >= " " or c in "\t\r\n\f" for c in text) else "application/octet-stream"
 
 
+def sniffed(head: Column) -> Column:
+    """MIME type of a column with the first bytes of each content, in Arrow batches."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf("string")
+    def types(heads: pd.Series) -> pd.Series:
+        return heads.map(lambda x: None if x is None else sniff(bytes(x)))
+
+    return types(head)
+
+
 def refine_zip(path: str) -> str:
     try:
         with zipfile.ZipFile(path) as z:
@@ -96,30 +108,159 @@ def png_problem(f: BinaryIO) -> str | None:
     return "truncated PNG"
 
 
+def _scan_end(f: BinaryIO, at: int, restarts: bool) -> int:
+    """Place of the first marker after JPEG scan data that is no stuffing (and no restart where those are announced), -1 if there is none."""
+    marker = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]" if restarts else rb"\xff[^\x00\xff]", re.DOTALL)
+    f.seek(at)
+    tail = b""
+    while block := f.read(BLOCK):
+        both = tail + block
+        if found := marker.search(both):
+            return at - len(tail) + found.start()
+        at, tail = at + len(block), both[-1:]
+    return -1
+
+
+#: Markers that may follow scan data: tables, further scans, restart intervals, line counts, application data, comments, the end.
+_AFTER_SCAN = {0xC4, 0xCC, 0xDA, 0xDB, 0xDC, 0xDD, 0xDF, 0xD9, 0xFE, *range(0xE0, 0xF0)}
+
+
 def jpeg_problem(f: BinaryIO, size: int) -> str | None:
-    at = 2
-    while len(start := _at(f, at, 4)) == 4:
+    """Walks all segments and scans as far as the end marker; what follows it (motion photos) is not looked at."""
+    at, restarts, scans = 2, False, 0
+    while len(start := _at(f, at, 4)) >= 2:
         if start[0] != 0xFF:
             return "corrupt JPEG marker"
         kind = start[1]
         if kind == 0xFF:
             at += 1
-            continue
-        if kind == 0xDA:
-            return None if _last(f, size) == b"\xff\xd9" else "missing EOI"
-        at += 2 + struct.unpack(">H", start[2:])[0]
-    return "truncated JPEG"
+        elif kind == 0xD9:
+            return None if scans else "truncated JPEG"
+        elif kind == 0x01 or 0xD0 <= kind <= 0xD7:
+            at += 2
+        elif len(start) < 4 or (n := struct.unpack(">H", start[2:])[0]) < 2:
+            return "corrupt JPEG marker"
+        else:
+            at += 2 + n
+            restarts |= kind == 0xDD
+            if kind == 0xDA:
+                scans += 1
+                if (at := _scan_end(f, at, restarts)) < 0:
+                    return "missing EOI"
+                if _at(f, at + 1, 1)[0] not in _AFTER_SCAN:
+                    return "corrupt JPEG data"
+    return "missing EOI" if scans else "truncated JPEG"
+
+
+def gif_problem(f: BinaryIO, size: int) -> str | None:
+    def blocks() -> bool:
+        while n := f.read(1):
+            if n == b"\0":
+                return True
+            f.seek(n[0], 1)
+        return False
+
+    head = _at(f, 0, 13)
+    if len(head) < 13:
+        return "truncated GIF"
+    table = lambda flags: 3 << (flags & 7) + 1 if flags & 0x80 else 0
+    f.seek(13 + table(head[10]))
+    while kind := f.read(1):
+        if kind == b";":
+            return None
+        if kind == b"!":
+            f.seek(1, 1)
+        elif kind == b"," and len(image := f.read(9)) == 9:
+            f.seek(table(image[8]) + 1, 1)
+        else:
+            return "corrupt GIF block"
+        if not blocks():
+            return "truncated GIF"
+    return "truncated GIF"
+
+
+def bmp_problem(f: BinaryIO, size: int) -> str | None:
+    head = _at(f, 0, 54)
+    if len(head) < 26:
+        return "truncated BMP"
+    start, kind = struct.unpack("<I", head[10:14])[0], struct.unpack("<I", head[14:18])[0]
+    if kind < 40 or len(head) < 54:
+        return None if start < size else "truncated BMP"
+    wide, high, _, bits, packed = struct.unpack("<iiHHI", head[18:34])
+    need = start + (abs(wide) * bits + 31) // 32 * 4 * abs(high) if packed in (0, 3) else start + 1
+    return None if need <= size else "truncated BMP"
+
+
+def tiff_problem(f: BinaryIO, size: int) -> str | None:
+    head = _at(f, 0, 8)
+    e = "<" if head[:2] == b"II" else ">"
+    at = struct.unpack(e + "I", head[4:8])[0] if len(head) == 8 else 0
+    count = _at(f, at, 2) if 8 <= at < size else b""
+    if len(count) < 2 or at + 2 + 12 * struct.unpack(e + "H", count)[0] > size:
+        return "truncated TIFF"
+    return None
+
+
+def riff_problem(f: BinaryIO, size: int) -> str | None:
+    """WebP and AVI: the size that the file states must be there."""
+    head = _at(f, 0, 12)
+    return "truncated RIFF" if len(head) < 12 or struct.unpack("<I", head[4:8])[0] + 8 > size else None
+
+
+def movie_problem(f: BinaryIO, size: int) -> str | None:
+    """The top boxes of an ISO media file follow each other as far as the end and hold a movie (or movie fragments)."""
+    at, kinds = 0, set()
+    while at < size:
+        start = _at(f, at, 16)
+        if len(start) < 8:
+            break  # some bytes of padding
+        (n,), kind, skip = struct.unpack(">I", start[:4]), start[4:8], 8
+        if n == 1 and len(start) == 16:
+            (n,), skip = struct.unpack(">Q", start[8:]), 16
+        elif n == 0:
+            n = size - at
+        if n == 0 or start == b"\0" * len(start):
+            break
+        if n < skip or not re.fullmatch(rb"[ -~\xa9]{4}", kind):
+            return "container could not be parsed"
+        if at + n > size:
+            return "truncated container"
+        kinds.add(kind)
+        at += n
+    if b"moov" not in kinds:
+        return "moov atom not found"
+    for kind, begin, end in _boxes(f, 0, size):
+        if kind == b"moov" and not any(inner == b"mvhd" for inner, _, _ in _boxes(f, begin, end)):
+            return "movie header not found"
+    return None
+
+
+def matroska_problem(f: BinaryIO, size: int) -> str | None:
+    """An EBML header followed by a segment."""
+    def number(at: int, keep: bool) -> tuple[int, int]:
+        first = _at(f, at, 1)
+        width = 9 - first[0].bit_length() if first and first[0] else 9
+        raw = _at(f, at, width)
+        if width > 8 or len(raw) < width:
+            return -1, at
+        value = int.from_bytes(raw, "big")
+        return value if keep else value & (1 << 7 * width) - 1, at + width
+
+    kind, at = number(0, True)
+    length, at = number(at, False) if kind == 0x1A45DFA3 else (-1, 0)
+    kind, _ = number(at + length, True) if 0 <= length < size else (-1, 0)
+    return None if kind == 0x18538067 else "container could not be parsed"
 
 
-def _last(f: BinaryIO, end: int) -> bytes:
-    """The last two bytes before the zeros at the end."""
-    while end > 0:
-        begin = max(0, end - BLOCK)
-        if left := _at(f, begin, end - begin).rstrip(b"\0"):
-            end = begin + len(left)
-            return _at(f, max(0, end - 2), min(2, end))
-        end = begin
-    return b""
+def structure(f: BinaryIO, mime: str, size: int) -> str | None:
+    """First problem of a media file's structure; None where it is sound or of a kind that is not checked."""
+    if mime == "image/png":
+        return png_problem(f)
+    if mime.startswith("video/"):
+        check = {"video/x-msvideo": riff_problem, "video/x-matroska": matroska_problem}.get(mime, movie_problem)
+        return None if (why := check(f, size)) is None else f"Corrupt video: {why}"
+    check = {"image/jpeg": jpeg_problem, "image/gif": gif_problem, "image/bmp": bmp_problem, "image/tiff": tiff_problem, "image/webp": riff_problem}.get(mime)
+    return check(f, size) if check else None
 
 
 def exif_date(f: BinaryIO) -> datetime | None:
@@ -174,7 +315,7 @@ def movie_date(f: BinaryIO, size: int) -> datetime | None:
     return None
 
 
-def inspect(path: str) -> tuple:
+def inspect(path: str, deep: bool = True) -> tuple:
     full, part, head, size = hashlib.sha256(), hashlib.sha256(), b"", 0
     try:
         with open(path, "rb") as f:
@@ -185,7 +326,7 @@ def inspect(path: str) -> tuple:
                 head = head or block[:4096]
                 size += len(block)
             mime = sniff(head)
-            problem = png_problem(f) if mime == "image/png" else jpeg_problem(f, size) if mime == "image/jpeg" else None
+            problem = structure(f, mime, size) if deep else None
             date = exif_date(f) if mime.startswith("image/") else movie_date(f, size) if mime.startswith("video/") else None
     except OSError as e:
         return (path, None, None, "application/x-unreadable", None, None, f"{type(e).__name__}: {e.strerror}")
@@ -194,12 +335,12 @@ def inspect(path: str) -> tuple:
     return (path, full.hexdigest(), part.hexdigest(), mime, problem, date, None)
 
 
-def read_content(files: DataFrame) -> DataFrame:
-    """SCHEMA rows for the paths of ``files``; big files spread over tasks by path."""
+def read_content(files: DataFrame, deep: bool = True) -> DataFrame:
+    """SCHEMA rows for the paths of ``files``; big files spread over tasks by path. ``deep``: check structures too."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = pd.DataFrame([inspect(p) for p in frame["path"]], columns=["path", "sha256", "partial_sha256", "mime", "problem", "embedded_date", "error"])
+            out = pd.DataFrame([inspect(p, deep) for p in frame["path"]], columns=["path", "sha256", "partial_sha256", "mime", "problem", "embedded_date", "error"])
             out["embedded_date"] = pd.to_datetime(out["embedded_date"])
             yield out
 

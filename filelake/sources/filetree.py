@@ -1,19 +1,50 @@
 """``filetree``: a Python data source that lists a directory tree, hidden and empty files included.
 
-One partition for each entry of the root, so big trees are listed in parallel. Unreadable
-directories are skipped; a root that does not exist gives no rows. Symbolic links are listed
-and only followed on request (each real directory once).
+The driver opens folders breadth first until there are ``PARTS`` of them; each folder it did not
+open is one partition with all that lies below, each folder it opened one for its own files
+(several, by a hash of the names, beyond ``FLAT`` entries). So neither one large subfolder nor a
+flat root of millions of files is one task, and the plan stays small. Unreadable directories are
+skipped; a root that does not exist gives no rows. Symbolic links are listed and only followed
+on request (``followSymlinks``: each real directory once, in one task). The listing ends early
+once the file named by the option ``cancel`` exists.
 """
 
 from __future__ import annotations
 
+import ctypes
 import os
+import struct
+import zlib
+from collections import deque
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from functools import lru_cache
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "path string, parent string, relative string, kind string, size long, mtime timestamp, ctime timestamp, is_link boolean, depth int"
+SCHEMA = "path string, parent string, relative string, kind string, size long, mtime timestamp, created timestamp, is_link boolean, depth int"
+PARTS = 128
+FLAT = 20_000
+
+
+@lru_cache(maxsize=1)
+def _statx():  # noqa: ANN202
+    call = getattr(ctypes.CDLL(None, use_errno=True), "statx", None)
+    if call is not None:
+        call.argtypes = [ctypes.c_int, ctypes.c_char_p, ctypes.c_int, ctypes.c_uint, ctypes.c_void_p]
+    return call
+
+
+def birth_time(path: str, st: os.stat_result, follow: bool) -> int | None:
+    """Nanoseconds at which the file was made, None where the system keeps no such time. Never the inode's change time."""
+    if (own := getattr(st, "st_birthtime", None)) is not None:
+        return int(own * 1e9)
+    call, room = _statx(), ctypes.create_string_buffer(256)
+    at_fdcwd, no_follow, birth = -100, 0x100, 0x800
+    if call is None or call(at_fdcwd, os.fsencode(path), 0 if follow else no_follow, birth, room):
+        return None
+    mask, seconds, nanos = struct.unpack_from("<I", room, 0)[0], *struct.unpack_from("<qI", room, 80)
+    return seconds * 1_000_000_000 + nanos if mask & birth and seconds else None
 
 
 class FileTree(DataSource):
@@ -25,37 +56,72 @@ class FileTree(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _Reader(self.options.get("path", ""), str(self.options.get("followSymlinks", "false")).lower() == "true")
+        return _Reader(self.options.get("path", ""), str(self.options.get("followSymlinks", "false")).lower() == "true", self.options.get("cancel"))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, follow: bool) -> None:
-        self.root, self.follow = root.rstrip("/") or "/", follow
+    def __init__(self, root: str, follow: bool, cancel: str | None = None) -> None:
+        self.root, self.follow, self.cancel = root.rstrip("/") or "/", follow, cancel
+
+    def _is_dir(self, path: str) -> bool:
+        return os.path.isdir(path) and (self.follow or not os.path.islink(path))
 
     def partitions(self) -> list[InputPartition]:
+        """(folder, whole tree or not, share, shares)."""
+        if not os.path.isdir(self.root):
+            return [InputPartition(None)]
+        if self.follow:
+            return [InputPartition((self.root, True, 0, 1))]
+        todo, flat = deque([self.root]), []
+        while todo and len(todo) + len(flat) < PARTS:
+            folder, n = todo.popleft(), 0
+            try:
+                with os.scandir(folder) as entries:
+                    for e in entries:
+                        n += 1
+                        if e.is_dir(follow_symlinks=False):
+                            todo.append(e.path)
+            except OSError:
+                n = 0
+            shares = 1 + n // FLAT
+            flat += [InputPartition((folder, False, k, shares)) for k in range(shares)]
+        return flat + [InputPartition((folder, True, 0, 1)) for folder in todo]
+
+    def _row(self, path: str) -> tuple | None:
         try:
-            return [InputPartition(n) for n in sorted(os.listdir(self.root))] or [InputPartition(None)]
+            st = os.stat(path) if self.follow else os.lstat(path)
         except OSError:
-            return [InputPartition(None)]
+            return None
+        when = lambda ns: None if ns is None else datetime.fromtimestamp(ns // 1000 / 1e6, timezone.utc)
+        rel = os.path.relpath(path, self.root)
+        return (
+            path, os.path.dirname(path), rel, "dir" if self._is_dir(path) else "file", st.st_size, when(st.st_mtime_ns),
+            when(birth_time(path, st, self.follow)), os.path.islink(path), rel.count("/") + 1,
+        )
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.value is None:
             return
-        stack, seen = [os.path.join(self.root, partition.value)], set()
+        folder, deep, share, shares = partition.value
+        stack, seen, n = [folder], set(), 0
         while stack:
             path = stack.pop()
+            n += 1
+            if self.cancel and n % 256 == 1 and os.path.exists(self.cancel):
+                return
+            is_dir = self._is_dir(path)
+            if path != self.root and (not is_dir or share == 0) and (row := self._row(path)):
+                yield row
+            if not is_dir or not (deep or path == folder):
+                continue
+            real = os.path.realpath(path)
+            if real in seen:
+                continue
+            seen.add(real)
             try:
-                st = os.stat(path) if self.follow else os.lstat(path)
+                below = [os.path.join(path, x) for x in sorted(os.listdir(path), reverse=True)]
             except OSError:
                 continue
-            is_dir = os.path.isdir(path) and (self.follow or not os.path.islink(path))
-            when = lambda ns: datetime.fromtimestamp(ns // 1000 / 1e6, timezone.utc)
-            rel = os.path.relpath(path, self.root)
-            yield (path, os.path.dirname(path), rel, "dir" if is_dir else "file", st.st_size, when(st.st_mtime_ns), when(st.st_ctime_ns), os.path.islink(path), rel.count("/") + 1)
-            real = os.path.realpath(path)
-            if is_dir and real not in seen:
-                seen.add(real)
-                try:
-                    stack += [os.path.join(path, n) for n in sorted(os.listdir(path), reverse=True)]
-                except OSError:
-                    continue
+            if not deep:
+                below = [x for x in below if zlib.crc32(os.fsencode(x)) % shares == share and not self._is_dir(x)]
+            stack += below

@@ -16,6 +16,11 @@ from pyspark.sql.streaming import StreamingQuery
 from filelake.operators.claims import claim
 
 
+def arrivals(spark: SparkSession, path: str, schema: str, files: int = 64) -> DataFrame:
+    """A stream of Parquet files; no micro-batch takes more than ``files`` of them, so a backlog never becomes one batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def append_events(events: DataFrame, path: str, checkpoint: str, seconds: int = 5) -> StreamingQuery:
     """Lossless append of event rows, partitioned by job."""
     return events.writeStream.format("parquet").partitionBy("job_id").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from filelake import settings
-from filelake.operators import checkpoint, reports, summary
+from filelake.operators import checkpoint, jobs, reports, summary
+from filelake.operators.ranking import running
 from filelake.operators.verify import reconcile
 from filelake.sources.resources import ResourceSampler, executor_memory
 
@@ -108,3 +109,34 @@ def test_outcome_fan_out(spark, tmp_path):
     got = reports.write_all_outcomes(ev, "J", str(tmp_path))
     assert list(got) == ["DUPLICATE"] and json.load(open(f"{tmp_path}/_duplicates/duplicate.json", encoding="utf-8")) == json.load(open(got["DUPLICATE"], encoding="utf-8"))
     assert json.load(open(got["DUPLICATE"], encoding="utf-8"))["totalBytesSaved"] == 6
+
+
+def test_job_store(spark, tmp_path):
+    store, at = jobs.JobStore(spark, f"{tmp_path}/store"), dt.datetime(2024, 3, 1, 10)
+    assert store.jobs().count() == store.events().count() == store.samples().count() == 0
+    store.insert("A/b c", at)
+    store.insert("B", at + dt.timedelta(hours=1))
+    store.update("B", files_processed=7, peak_mb_per_sec=2.5)
+    store.status("B", "PAUSED")
+    assert jobs.active_job(store.jobs()).first().job_id == "B" and [r.job_id for r in jobs.history(store.jobs()).collect()] == ["B", "A/b c"]
+    store.status("B", "COMPLETED", at + dt.timedelta(hours=2))
+    row = jobs.by_key(store.jobs(), "job_id", "B").first()
+    assert (row.status, row.files_processed, row.files_failed, row.peak_mb_per_sec, row.start_time.hour, row.end_time.hour) == ("COMPLETED", 7, 0, 2.5, 11, 12)
+    assert jobs.active_job(store.jobs()).first().job_id == "A/b c"
+    samples = spark.createDataFrame([(j, None, k, float(k), 1.0, 0.0, 0.0) for j in ("A/b c", "B") for k in (2, 1)], jobs.SAMPLES)
+    store.append_samples(samples)
+    store.append_samples(samples.limit(0))
+    store.append_events(spark.createDataFrame([("A/b c", "FAILED", 1, *[None] * 8)], jobs.EVENTS))
+    assert [r.elapsed for r in jobs.of_job(store.samples(), "B").collect()] == [1, 2]
+    assert {r.job_id: (r.samples, r.most_files_per_sec) for r in jobs.with_samples(store.jobs(), store.samples()).collect()} == {"A/b c": (2, 2.0), "B": (2, 2.0)}
+    store.delete("A/b c")
+    assert [r.job_id for r in store.jobs().collect()] == ["B"] and store.events().count() == 0 and store.samples().count() == 2
+    with pytest.raises(ValueError):
+        store.update("B", odd=1)
+
+
+def test_running_sums_over_many_ranges(spark):
+    rows = [(None if k % 3 == 0 else "g" if k % 3 == 1 else f"s{k}", k, k % 5) for k in range(400)]
+    got = {r.k: r.total for r in running(spark.createDataFrame(rows, "g string, k long, v long").repartition(5), ["g"], [F.col("k")], F.col("v"), "total").collect()}
+    assert got == {k: sum(v for h, j, v in rows if h == g and j <= k) for g, k, _ in rows}
+    assert running(spark.createDataFrame([], "g string, k long"), ["g"], [F.col("k")], F.lit(1), "n").count() == 0
