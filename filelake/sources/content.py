@@ -138,7 +138,9 @@ def jpeg_problem(f: BinaryIO, size: int) -> str | None:
             return None if scans else "truncated JPEG"
         elif kind == 0x01 or 0xD0 <= kind <= 0xD7:
             at += 2
-        elif len(start) < 4 or (n := struct.unpack(">H", start[2:])[0]) < 2:
+        elif len(start) < 4:
+            break
+        elif (n := struct.unpack(">H", start[2:])[0]) < 2:
             return "corrupt JPEG marker"
         else:
             at += 2 + n
