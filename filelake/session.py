@@ -34,13 +34,45 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name below the shared checkpoint folder."""
+    """A new folder name below the shared checkpoint folder. Only a session in local mode may do without that setting.
+
+    The folders of a session are noted; ``clean`` deletes them once their results are no longer needed.
+    """
+    sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = getattr(spark.sparkContext, "_filelake_scratch", None)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = getattr(sc, "_filelake_scratch", None)
         if not base:
-            base = spark.sparkContext._filelake_scratch = tempfile.mkdtemp(prefix="filelake-scratch-")
-    return f"{base.rstrip('/')}/filelake-{uuid.uuid4().hex}"
+            base = sc._filelake_scratch = tempfile.mkdtemp(prefix="filelake-scratch-")
+    path = f"{base.rstrip('/')}/filelake-{uuid.uuid4().hex}"
+    if not hasattr(sc, "_filelake_made"):
+        sc._filelake_made = []
+    sc._filelake_made.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this session wrote so far; DataFrames built on them can no longer be read."""
+    sc, gone = spark.sparkContext, 0
+    made, sc._filelake_made = getattr(sc, "_filelake_made", []), []
+    for path in made:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True))
+    return gone
+
+
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores before it as set it apart from ``columns`` (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
