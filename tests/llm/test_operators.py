@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from filelake.llm import attention, bpe_codec, exact_dedup, impact_search, lm_scoring, packing, rule_quality, sharding, simhash, substring_dedup, token_counts
@@ -343,15 +344,52 @@ def test_impact_search(spark):
 
 def test_sharding(docs, empty, spark, tmp_path):
     store = sharding.ShardStore(spark, str(tmp_path), target=1 << 20)
+    assert store.read().count() == 0 and store.compact()["shards"] == []
+    assert store.append(empty)["shards"] == [] and store.read().columns == docs.columns and store.read().count() == 0
     for _ in range(5):
         store.append(docs)
-    first = store.manifest(1)
+    assert store.append(empty)["version"] == 6
+    first = store.manifest(2)
     done = store.compact()
-    assert len(done["shards"]) < sum(1 for _ in range(15)) and done["version"] > 5
-    assert store.read().count() == 5 * docs.count() and store.read(1).count() == docs.count() and len(first["shards"]) == 3
+    assert len(done["shards"]) < 5 and done["version"] > 6
+    rows = lambda df: Counter(tuple(r) for r in df.collect())
+    assert rows(store.read()) == Counter({k: 5 * n for k, n in rows(docs).items()}) and rows(store.read(2)) == rows(docs) and len(first["shards"]) == 3
     with pytest.raises(RuntimeError):
-        store._commit(done["version"] - 1, [])
-    assert store.vacuum() >= 1 and store.read().count() == 5 * docs.count()
+        store._commit(store.manifest(done["version"] - 1), [])
+    assert store.manifest() == done
+    assert store.vacuum(keep=3) == 0 and store.read().count() == 5 * docs.count()  # too young
+    stray = store._run(99)
+    docs.write.parquet(f"{tmp_path}/{stray}")
+    assert store.vacuum(keep=2, age=0) == 3 and store.read().count() == 5 * docs.count() and store.read(done["version"] - 1).count() == 5 * docs.count()
+    with pytest.raises(ValueError):
+        store.read(2)
+    odd = docs.withColumnRenamed("lang", "arrival")
+    backlog = sharding.ShardStore(spark, f"{tmp_path}/backlog")
+    assert backlog.append_backlog(odd, F.pmod(F.xxhash64("doc_id"), F.lit(3)))["version"] == 3 and rows(backlog.read()) == rows(odd)
+    assert backlog.append_backlog(odd.limit(0), F.lit(1))["version"] == 3 and rows(backlog.read(1) .unionByName(backlog.read().limit(0))) <= rows(odd)
+    assert sharding.ShardStore(spark, f"{tmp_path}/none").append_backlog(empty, F.lit(0))["shards"] == []
+
+
+def test_merged_files_keep_the_target_size(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path), target=400_000)
+    rnd = np.random.default_rng(1)
+    rows = spark.createDataFrame([(k, rnd.bytes(4000).hex()) for k in range(400)], "doc_id long, text string")
+    store.append(rows.repartition(16))
+    shards = store.manifest()["shards"]
+    merges = store.plan(shards)
+    assert len(merges) > 2 and all(sum(s["bytes"] for s in m) <= 400_000 for m in merges)
+    done = store.compact()["shards"]
+    assert max(s["bytes"] for s in done) <= 400_000 + max(s["bytes"] for s in shards) and len(done) >= len(merges) and sum(s["bytes"] for s in done) > 1_500_000
+    got = [r.doc_id for r in store._read([done[-1]["file"]], rows.schema).collect()]
+    merged = [r.doc_id for s in merges[-1] for r in store._read([s["file"]], rows.schema).collect()]
+    assert got == merged  # in the order of the shards
+    assert store.read().count() == 400
+
+
+def test_sharding_query(docs, spark, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter((i, len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in corpus())
+    assert Counter(tuple(r) for r in sharding.op7_sharding(spark, str(tmp_path)).collect()) == want
 
 
 def test_pipeline_stages_keep_columns(docs, spark, tmp_path):
