@@ -3,7 +3,7 @@
 Arrivals are appended as small immutable Parquet shards; a manifest version lists the live
 shards and the schema. ``compact`` groups live shards into size tiers (each tier ``FANOUT`` times
 the last); a tier with at least ``FANOUT`` shards is merged into files of at most the target
-size: each merge is a job of one task that reads its shards in order and writes one file, and
+size: each merge is a job of one task that reads its shards and writes one file, and
 many merges run side by side. A new manifest is written beside the old and renamed to its
 version number, which fails if that version exists: a reader sees the old list or the new one,
 and a lost or repeated task leaves only files that no manifest names. ``vacuum`` deletes those
@@ -148,7 +148,7 @@ class ShardStore:
         return [g for g in out if len(g) > 1]
 
     def _merge(self, group: list[dict], schema: T.StructType, run: str) -> list[dict]:
-        """One task reads the shards of a merge in order and writes one file."""
+        """One task reads the shards of a merge and writes one file."""
         self._read([s["file"] for s in group], schema).coalesce(1).write.option("compression", "zstd").parquet(f"{self.path}/{run}")
         return self._written(run)
 
