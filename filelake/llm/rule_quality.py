@@ -9,7 +9,9 @@
 
 Null text counts as empty and gets a score like any other. Labels with a null id or null
 quality are left out; repeated labels of an id count once (the largest). Labels, language,
-source and id are never inputs of a score. With no usable label the score is 0.5.
+source and id are never inputs of a score. With no usable label the score is 0.5. Repeated rows
+each get a score, a null id is never held out, texts of any length count whole, an empty table
+gives an empty result. Internal columns take names that the table does not use.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filelake.session import unused
+
 SAMPLE = 6000
 THRESHOLD = 0.3
 FOLD = 5
@@ -59,6 +63,13 @@ FEATURES = [
 ]
 
 
+def feature_prefix(columns: list[str], prefix: str = "_f_") -> str:
+    """A prefix that no column begins with, in any case."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def with_features(docs: DataFrame, text_col: str = "text", prefix: str = "_f_") -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     counted = docs.withColumns({f"{prefix}n_{k}": v for k, v in statistics(text).items()})
@@ -165,14 +176,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     rows = with_features(texts.join(F.broadcast(chosen), "doc_id")).select("_y", *[f"_f_{k}" for k in FEATURES])  # ``sample`` rows
-    data = np.array([list(r) for r in rows.orderBy(*rows.columns).collect()], np.float64).reshape(-1, 1 + len(FEATURES))
+    data = np.array(sorted(tuple(r) for r in rows.collect()), np.float64).reshape(-1, 1 + len(FEATURES))  # in an order that no shuffle changes
     return fit(data[:, 1:], data[:, 0])
 
 
 def score_quality(docs: DataFrame, model: RuleModel, name: str = "score") -> DataFrame:
-    """``docs`` with the column ``name``: probability that the label would be 1."""
-    scored = with_features(docs).withColumn(name, model.score())
-    return scored.drop(*[f"_f_{k}" for k in FEATURES])
+    """``docs`` with the column ``name``, which ``docs`` must not have: probability that the label would be 1."""
+    if unused(docs.columns, name) != [name]:
+        raise ValueError(f"the table already has a column {name!r}")
+    prefix = feature_prefix([*docs.columns, name])
+    scored = with_features(docs, prefix=prefix).withColumn(name, model.score(prefix))
+    return scored.drop(*[f"{prefix}{k}" for k in FEATURES])
 
 
 def op4_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,4 +200,5 @@ def op4_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts."""
     model = train(docs, labels)
-    return score_quality(docs, model, "_score").where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    name, *_ = unused(docs.columns, "_score")
+    return score_quality(docs, model, name).where(F.col(name) >= THRESHOLD).select(*docs.columns)

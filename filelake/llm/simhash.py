@@ -14,6 +14,8 @@
 
 Null or empty text has fingerprint zero and links like any other. A null doc_id takes part,
 but is never a representative while its group has an id. Repeated rows link to each other.
+Texts may be of any length; an empty table gives an empty result. Internal columns take names
+that the table does not use.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filelake.llm.texts import single_spaced
-from filelake.session import materialize, ship
+from filelake.session import materialize, ship, unused
 
 RADIUS = 4
 SHINGLE = 4
@@ -223,8 +225,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group stays: the one with the smallest id (rows repeating an id are one document), any one row if all ids are null."""
-    rows = materialize(with_fingerprint(docs, "_fp", text_col).withColumn("_uid", F.monotonically_increasing_id()), "rows")
-    groups = near_groups(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_fp").alias("fp"), F.col("_uid").alias("uid")))
-    found = rows.join(groups.select(F.col("fp").alias("_fp"), F.col("component").alias("_component"), F.col("first").alias("_first")), "_fp")
-    stays = F.when(F.col("_component").isNull(), F.col("_uid") == F.col("_first")).otherwise(F.col(id_col) == F.col("_component"))
+    fp, uid, component, first = unused(docs.columns, "_fp", "_uid", "_component", "_first")
+    rows = materialize(with_fingerprint(docs, fp, text_col).withColumn(uid, F.monotonically_increasing_id()), "rows")
+    groups = near_groups(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(uid).alias("uid")))
+    found = rows.join(groups.select(F.col("fp").alias(fp), F.col("component").alias(component), F.col("first").alias(first)), fp)
+    stays = F.when(F.col(component).isNull(), F.col(uid) == F.col(first)).otherwise(F.col(id_col) == F.col(component))
     return found.where(stays).select(*docs.columns)

@@ -10,7 +10,8 @@ of all rows share reaches its bucket once per chunk.
 
 The reported windows come back as packed word ranges and meet the texts, which travel as
 compressed Arrow blocks, in the part of their document.
-Null text has no words. A null doc_id sorts after every id. Rows that repeat a doc_id are not
+Null text has no words. Texts may be of any length; an empty table gives an empty result. Rows
+travel as whole blocks, so columns of any name do no harm. A null doc_id sorts after every id. Rows that repeat a doc_id are not
 smaller than each other, so they never remove each other's words.
 """
 

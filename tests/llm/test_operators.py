@@ -54,6 +54,8 @@ def test_exact_dedup(docs, empty):
     for i, t in corpus():
         groups.setdefault(norm(t), []).append(i)
     want = Counter((i, min(groups[norm(t)], key=order), len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in corpus())
+    far = docs.union(docs.limit(0)).unionByName(docs.sparkSession.createDataFrame([((1 << 63) - 1, "alone", None, None, 5, "", True)], docs.schema))
+    assert {r.doc_id: r._keep_id for r in exact_dedup.exact_groups(far).collect()}[None] == (1 << 63) - 1  # the largest id is not null
     rows = exact_dedup.exact_groups(docs, capacity=4).collect()
     assert Counter((r.doc_id, r._keep_id, r._size, r._sha) for r in rows) == want
     assert sum(r._uid == r._keep_uid for r in rows) == len(groups)
@@ -62,11 +64,57 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
-def test_directory_splits_only_full_buckets():
-    buckets = exact_dedup.build_directory({0: 5, 1: 5, 40000: 1}, capacity=6)
-    depth, slots = exact_dedup.expand_directory(buckets)
-    assert len(slots) == 1 << depth and slots == sorted(slots) and depth == 16
-    assert exact_dedup.expand_directory(exact_dedup.build_directory({}))[0] == 0
+def test_directory_splits_only_full_buckets(spark):
+    found = exact_dedup.Directory(6, 3)
+    assert found.page(0, 0, 16, {0: 5, 1: 5, 40000: 1}) == []
+    found.close()
+    assert found.first[:3] == [0, 1 << 48, 2 << 48] and max(found.entries) == 5 and sorted(found.owners) == found.owners
+    assert [found.bucket(k) for k in (0, (1 << 48) - 1, 1 << 48, (1 << 64) - 1)] == [0, 0, 1, len(found.first) - 1]
+    rnd = random.Random(4)
+    hot = [(77 << 48) + (k % 2 << 41) + k // 2 for k in range(60)] + [(9 << 50) + 5] * 40  # one full slot that parts late, one key
+    keys = [rnd.randrange(1 << 64) for _ in range(300)] + hot
+    entries = [(exact_dedup._signed(k), n, None, n, 1, "t") for n, k in enumerate(keys)]
+    df = spark.createDataFrame(entries, "key long, entry long, min_id long, min_uid long, n long, text string").repartition(3)
+    found = exact_dedup.build_directory(df, "key", 20, 5)
+    depth = {k: found.buckets[k][0] for k in found.first}
+    assert max(depth.values()) > 16 and sum(found.entries) == len(keys) and all(n <= 20 or n >= 40 and depth[k] == 64 for k, n in zip(found.first, found.entries, strict=True))
+    assert found.first[0] == 0 and all(a + (1 << 64 - depth[a]) == b for a, b in zip(found.first, [*found.first[1:], 1 << 64], strict=True))  # no gaps
+    got = exact_dedup.place_entries(df, found).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == len(keys) and {r.task for r in got} == set(found.owners)
+    for r in got:
+        assert r.bucket == found.bucket(r.key & (1 << 64) - 1) and r.task == found.owners[r.bucket]
+    assert exact_dedup.build_directory(df.limit(0), "key", 20, 5).first == [0]
+
+
+ODD = ["_score", "_fp", "_key", "_uid", "_UID", "_component", "_first", "_sha", "_entry", "_n", "_keep_id", "_f_log_words", "_F_n_chars", "part", "docs", "blob", "bucket", "tier", "score"]
+
+
+@pytest.mark.parametrize("stage", ["quality", "exact", "near", "substring", "packing", "counts", "codec", "lm", "shards"])
+def test_stages_take_odd_columns_and_empty_tables(stage, docs, empty, spark, tmp_path):
+    labels = spark.createDataFrame([(i, int(len(t or "") > 100)) for i, t in corpus() if i], "doc_id long, quality int")
+    byte, word = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    run = {
+        "quality": lambda d: rule_quality.drop_low_quality(d, labels), "exact": exact_dedup.drop_exact_duplicates, "near": simhash.drop_near_duplicates, "substring": substring_dedup.remove_repeats,
+        "packing": lambda d: packing.pack_documents(d, byte), "counts": lambda d: token_counts.count_tokens(d, byte), "codec": lambda d: bpe_codec.encode_documents(d, word),
+        "lm": lambda d: lm_scoring.score_documents(d, byte).select("doc_id", "n_tokens", "base_score"), "shards": lambda d: stored(spark, d, tmp_path),
+    }[stage]
+    odd = docs.withColumns({c: F.lit("odd") for c in ODD if c != "_UID" and c != "_F_n_chars"})
+    rows = lambda df: Counter(repr(r) for r in df.collect())
+    plain, got = run(docs), run(odd)
+    if plain.columns == docs.columns:
+        assert got.columns == odd.columns and {r[-1] for r in got.collect()} == {"odd"}
+        got = got.select(*docs.columns)
+    if stage == "packing":  # which piece shares a sequence is the task's affair
+        plain, got = (x.groupBy("doc_id").agg(F.sum("length")) for x in (plain, got))
+    if stage in ("exact", "near"):  # of rows alike in text and id any one may stay
+        plain, got = (x.select("doc_id", "text") for x in (plain, got))
+    assert rows(got) == rows(plain) and run(odd.limit(0)).count() == 0 and run(empty).count() == 0
+
+
+def stored(spark, df, tmp_path):
+    store = sharding.ShardStore(spark, f"{tmp_path}/{random.random()}")
+    store.append(df)
+    return store.read()
 
 
 def test_substring_dedup(docs, empty, spark, tmp_path):
