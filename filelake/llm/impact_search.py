@@ -13,7 +13,8 @@ its k best per query, a window picks the k best of all. Vectors that are null or
 non-finite components take no part, nor do rows without an id. Only vectors of equal length
 meet. Rows repeating the query's id are its own; a query id that repeats asks once (its
 smallest vector). Ties go to the smaller id; repeated candidate rows each count. Scores outside
-the range of a long are given as its nearest bound.
+the range of a long are given as its nearest bound. An empty table gives no rows; only id and vector
+are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filelake.session import materialize, ship
+from filelake.session import materialize, ship, shuffle_partitions
 
 BLOCK = 8192
 QUERIES = 256
@@ -126,25 +127,34 @@ def _blocks(rows: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """``query_id, rank, vec_id, score`` for every query row against every vector row."""
-    ship(vectors.sparkSession)
+    """``query_id, rank, vec_id, score`` for every query row against every vector row.
+
+    A block of vectors is indexed once and the packs of queries come to it, so what is copied is the smaller
+    side: each pack to each block. Where there are fewer blocks than tasks, a block goes to several lanes.
+    """
+    spark = ship(vectors.sparkSession)
     asked = quantised(queries, id_col, vec_col, scale).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("s")).select("id", "s.dim", "s.v")
     index, n_blocks = _blocks(quantised(vectors, id_col, vec_col, scale), "block", BLOCK)
-    packs, n_packs = _blocks(asked, "pack", QUERIES)
-    tiles = index.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(n_packs - 1))))
-    tiles = tiles.join(packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))), ["dim", "block", "pack"])
+    packs, _ = _blocks(asked, "pack", QUERIES)
+    lanes = max(1, shuffle_partitions(spark) // n_blocks)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    homes = index.select("dim", "block", every(lanes).alias("lane"), F.lit(0).alias("kind"), F.col("block_ids").alias("ids"), F.col("block_rows").alias("rows"))
+    guests = packs.select("dim", every(n_blocks).alias("block"), F.pmod(F.col("pack"), F.lit(lanes)).cast("int").alias("lane"), F.lit(1).alias("kind"), F.col("pack_ids").alias("ids"), F.col("pack_rows").alias("rows"))
+    met = homes.unionByName(guests).repartition("dim", "block", "lane").sortWithinPartitions("dim", "block", "lane", "kind")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, index = None, None
         for batch in batches:
-            for r in batch.select(["dim", "block_ids", "block_rows", "pack_ids", "pack_rows"]).to_pylist():
-                index = BlockIndex(*_unpacked(r["block_ids"], r["block_rows"], r["dim"]))
-                asked = zip(*_unpacked(r["pack_ids"], r["pack_rows"], r["dim"]), strict=True)
-                out = [(int(qid), s, i) for qid, q in asked for s, i in index.top(int(qid), q, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], ["query_id", "score", "vec_id"])
-
-    from pyspark.sql import Window
-
-    found = tiles.mapInArrow(search, "query_id long, score long, vec_id long")
+            for n in range(batch.num_rows):
+                dim, block, lane, kind, ids, rows = (batch.column(c)[n].as_py() for c in ("dim", "block", "lane", "kind", "ids", "rows"))
+                if kind == 0:
+                    at, index = (dim, block, lane), BlockIndex(*_unpacked(ids, rows, dim))
+                elif at == (dim, block, lane):  # else no vector of that length is in the block
+                    asked = zip(*_unpacked(ids, rows, dim), strict=True)
+                    out = [(int(qid), s, i) for qid, q in asked for s, i in index.top(int(qid), q, k)]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], ["query_id", "score", "vec_id"])
+
+    found = met.mapInArrow(search, "query_id long, score long, vec_id long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
