@@ -12,7 +12,8 @@ The reported windows come back as packed word ranges and meet the texts, which t
 compressed Arrow blocks, in the part of their document.
 Null text has no words. Texts may be of any length; an empty table gives an empty result. Rows
 travel as whole blocks, so columns of any name do no harm. A null doc_id sorts after every id. Rows that repeat a doc_id are not
-smaller than each other, so they never remove each other's words.
+smaller than each other, so they never remove each other's words. The largest long is ordered
+like a null.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from filelake.session import ship, shuffle_partitions
 WINDOW = 13
 MER = 3
 CHUNK = 4_000_000  # words that one scan chunk packs together
+SHARE = 64 << 20
 LAST = (1 << 63) - 1
 _ROLL = np.random.default_rng(13).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -284,10 +286,15 @@ def _judge(parts: int, width: int):
     return run
 
 
+def shares(docs: DataFrame) -> int:
+    """Buckets, and parts: one for each task of a shuffle, more where a bucket would exceed ``SHARE`` bytes of text, since each is held in memory."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-total // SHARE))
+
+
 def repeated_ranges(docs: DataFrame, parts: int, window: int = WINDOW, mer: int = MER) -> DataFrame:
     """``part, blob``: packed word ranges to remove, of many documents (id, XXH64 of text) a row."""
-    buckets = shuffle_partitions(docs.sparkSession)
-    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_packer(buckets, parts, window, mer), SCHEMA)
+    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_packer(parts, parts, window, mer), SCHEMA)
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(_judge(parts, window), "part int, blob binary")
 
@@ -296,7 +303,7 @@ def _ship_rows(id_at: int, text_at: int, parts: int):
     """Documents as compressed Arrow blocks, one for each part and batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
         for batch in batches:
             ids, texts = batch.column(id_at).to_pylist(), batch.column(text_at).to_pylist()
             own = np.array([_part(LAST if d is None else d, _mark(t or ""), parts) for d, t in zip(ids, texts, strict=True)], np.int64)
@@ -321,7 +328,7 @@ def _ship_rows(id_at: int, text_at: int, parts: int):
 def apply_ranges(docs: DataFrame, handle, schema, window: int = WINDOW, mer: int = MER) -> DataFrame:
     """``handle(batch, ranges)`` over batches of ``docs`` with the word ranges of each row (None: nothing repeats)."""
     ship(docs.sparkSession)
-    parts = shuffle_partitions(docs.sparkSession)
+    parts = shares(docs)
     id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
     rows = docs.mapInArrow(_ship_rows(id_at, text_at, parts), "part int, docs boolean, blob binary")
     found = repeated_ranges(docs, parts, window, mer).select("part", F.lit(False).alias("docs"), "blob")

@@ -406,18 +406,59 @@ def test_quality(docs, empty, spark):
     assert rule_quality.drop_low_quality(empty, labels.limit(0)).count() == 0
 
 
-def test_impact_search(spark):
+def best(rows, queries, k):
+    """Brute force over (id, vector) rows, vectors as whole numbers."""
+    out = []
+    for q, v in queries:
+        clip = lambda x: max(-impact_search.LIMIT, min(impact_search.LIMIT, x))
+        found = sorted((-clip(sum(a * b for a, b in zip(v, w, strict=True))), i) for i, w in rows if i != q and len(w) == len(v))[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    return sorted(out)
+
+
+def test_impact_search(spark, monkeypatch):
     rnd = random.Random(2)
-    rows = [(i, [rnd.gauss(0, 0.2) for _ in range(16)]) for i in range(300)] + [(300 + i, [0.1] * 16) for i in range(100)] + [(900, None), (901, [None] * 16), (902, [float("nan")] * 16), (None, [0.1] * 16), (950, [1e18] * 16)]
+    rows = [(i, [rnd.gauss(0, 0.2) for _ in range(16)]) for i in range(300)] + [(300 + i, [0.1] * 16) for i in range(100)] + [(900, None), (901, [None] * 16), (902, [float("nan")] * 16), (None, [0.1] * 16)]
+    rows += [(1000, [1.0, 2.0]), (1050, [2.0, 2.0]), (1001, [3.0, -1.0]), (7, rows[7][1])]  # other lengths, a repeated row
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    asked = [(i, v) for i, v in good if i % 50 == 0]
+    for block in (impact_search.BLOCK, 40):
+        monkeypatch.setattr(impact_search, "BLOCK", block)
+        got = impact_search.top_k(df, df.where("vec_id % 50 = 0"), 5)
+        assert sorted(tuple(r) for r in got.collect()) == best(good, asked, 5)
+    assert impact_search.top_k(df.limit(0), df.limit(0), 5).count() == 0 and impact_search.top_k(df, df.limit(0), 5).count() == 0
+
+
+def test_impact_search_of_large_numbers_and_repeated_queries(spark):
+    rows = [(50, [1e16, 1.0]), (50, [0.5, 1.0]), (100, [3e8, 4e8]), (1, [2e9, 1.0]), (2, [-1e16, 5.0]), (3, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = impact_search.top_k(df, df.where("vec_id % 50 = 0"), 5).collect()
-    good = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
-    small = {i: v for i, v in good.items() if i != 950}
-    for q in [i for i in small if i % 50 == 0]:
-        best = sorted(((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in small.items() if i != q))[:5]
-        mine = [r for r in sorted(got, key=lambda r: r.rank) if r.query_id == q and r.vec_id != 950]
-        assert [(-r.score, r.vec_id) for r in mine] == best[: len(mine)] and len(mine) >= 4
-    assert impact_search.top_k(df.limit(0), df.limit(0), 5).count() == 0
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    got = impact_search.top_k(df, df.where("vec_id % 50 = 0"), 3).collect()
+    assert sorted(tuple(r) for r in got) == best(good, [(50, good[1][1]), (100, good[2][1])], 3)  # a query that repeats asks once, with its smallest vector
+
+
+def test_quality_query(docs, spark, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, int(len(t or "") > 100)) for i, t in corpus() if i]
+    spark.createDataFrame([*rows, (None, 1), (5, None), (99_999, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = rule_quality.op4_rule_quality(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in corpus())
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    # labels of held-out rows are never learned from
+    other = [(i, 1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, y in rows]
+    spark.createDataFrame(other, "doc_id long, quality int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    again = rule_quality.op4_rule_quality(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, round(r.score, 9)) for r in again) == Counter((r.doc_id, round(r.score, 9)) for r in got)
+    held = [(r.score >= 0.5) == dict(rows).get(r.doc_id) for r in got if r.held_out]
+    assert np.mean(held) > 0.8
+    with pytest.raises(ValueError):
+        rule_quality.score_quality(docs.withColumn("Score", F.lit(1)), rule_quality.RuleModel((), (), 0.0))
+
+
+def test_substring_buckets_grow_with_the_text(docs, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARE", 1000)
+    assert substring_dedup.shares(docs) == -(-sum(len((t or "").encode()) for _, t in corpus()) // 1000) and substring_dedup.shares(docs.limit(0)) == 4
 
 
 def test_sharding(docs, empty, spark, tmp_path):
