@@ -84,7 +84,9 @@ def plan_scan(
     base = target.rstrip("/")
     own = materialize(own.withColumn("outcome", state).withColumn("dir", F.concat_ws("/", F.lit(base), placement.folder(F.col("date"), pattern))), "own")
     held = there.where("kind = 'file'").select(F.col("parent").alias("dir"), C.file_name(F.col("path")).alias("name"))
-    placed = materialize(placement.place(own.where("outcome = 'PLANNED'").select("path", "dir", "name"), held), "placed")
+    new = own.where("outcome = 'PLANNED'").select("path", "dir", "name")
+    # a second run usually finds nothing new
+    placed = new.withColumn("final_name", F.col("name")) if new.isEmpty() else materialize(placement.place(new, held), "placed")
     if policy != "SKIP":
         held = held.union(placed.select("dir", F.col("final_name").alias("name")))
         twins = own.where("outcome = 'DUPLICATE'").select("path", "dir", "name")
@@ -118,9 +120,12 @@ def run_scan(
     plan, cache = plan_scan(spark, source, target, owners, **options)
     plan, cache = materialize(plan, "plan"), materialize(cache, "cache")
     actions.require_distinct(plan)
-    work = running(plan.where("destination is not null").select("path", "destination", "outcome"), [], [F.col("path")], F.lit(1), "_at") if wave else None
-    work = materialize(work.withColumn("_wave", F.expr(f"(_at - 1) div {wave}")), "work")
-    waves = work.agg(F.coalesce(F.max("_wave"), F.lit(-1))).first()[0] + 1
+    work = plan.where("destination is not null").select("path", "destination", "outcome")
+    waves = -(-work.count() // wave)
+    if waves > 1:
+        work = materialize(running(work, [], [F.col("path")], F.lit(1), "_at").select("*", F.expr(f"(_at - 1) div {wave}").alias("_wave")), "work")
+    else:
+        work = work.withColumn("_wave", F.lit(0))
     trigger, results, completed = checkpoint.Trigger(), [], True
     for k in range(waves):
         if control is not None and not control.go_on():
