@@ -39,6 +39,8 @@ BEAM = 4
 BLOCK, QUERIES = 8192, 128
 RERANK, LEAST = 384, 64
 STEPS, SWEEPS = 8, 2
+#: So many lengths of vectors at most are broadcast with their sampling rates.
+LENGTHS, SALTS = 10_000, 1024
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -179,15 +181,20 @@ def _packs(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
             yield close()
 
     n = -(-rows.count() // size) or 1
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(n)).cast("int")).repartition("dim", "part").sortWithinPartitions("dim", "part", "v", "id")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(n)).cast("int")).repartition(shuffle_partitions(rows.sparkSession), "dim", "part").sortWithinPartitions("dim", "part", "v", "id")
     return dealt.select("dim", "part", "id", "v").mapInArrow(run, "dim int, part int, ids binary, rows binary"), n
 
 
 def codebooks(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``dim, scale, books``: for each length, fitted on about ``sample`` of the distinct vectors (all, if fewer)."""
     one = rows.where("rank = 1").select("dim", "v")
-    rate = one.groupBy("dim").agg((F.lit(float(sample)) / F.count("*")).alias("rate"))
-    chosen = one.join(rate, "dim").where(F.pmod(F.xxhash64("v", F.lit("sample")), F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("dim", "v")
+    rate = materialize(one.groupBy("dim").agg((F.lit(float(sample)) / F.count("*")).alias("rate")), "rates")
+    lot = F.xxhash64("v", F.lit("sample"))
+    if rate.count() <= LENGTHS:  # the sample is drawn where the rows lie
+        met = one.join(F.broadcast(rate), "dim")
+    else:  # a length that most rows share is dealt over many tasks
+        met = one.withColumn("salt", F.pmod(lot, F.lit(SALTS))).join(rate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["dim", "salt"])
+    chosen = met.where(F.pmod(lot, F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("dim", "v")
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         dim = key[0].as_py()
@@ -240,7 +247,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     homes = index.select("*", every(lanes).alias("lane"), F.lit(0).alias("kind"))
     guests = packs.select("dim", every(n_blocks).alias("block"), "ids", "rows", F.pmod(F.col("part"), F.lit(lanes)).cast("int").alias("lane"), F.lit(1).alias("kind"))
-    met = homes.unionByName(guests, allowMissingColumns=True).repartition("dim", "block", "lane").sortWithinPartitions("dim", "block", "lane", "kind")
+    met = homes.unionByName(guests, allowMissingColumns=True).repartition(shuffle_partitions(spark), "dim", "block", "lane").sortWithinPartitions("dim", "block", "lane", "kind")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, home = None, None

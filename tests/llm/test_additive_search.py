@@ -60,7 +60,10 @@ def test_query_has_exact_scores_and_recall(spark, rows, tmp_path):
     assert [(r.vec_id, r.score) for r in got if r.query_id == 5600] == [(5601, 0.5)] and not [r for r in got if r.query_id == 5700]
 
 
-def test_blocks_do_not_change_the_result_much(spark, rows, monkeypatch):
+@pytest.mark.parametrize("lengths", [0, 100])
+def test_blocks_do_not_change_the_result_much(spark, rows, monkeypatch, lengths):
+    monkeypatch.setattr(A, "LENGTHS", lengths)
+    monkeypatch.setattr(A, "SAMPLE", 1000)
     monkeypatch.setattr(A, "BLOCK", 500)
     monkeypatch.setattr(A, "RERANK", 100)
     df = spark.createDataFrame(rows, "i long, e array<float>")
