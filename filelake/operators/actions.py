@@ -9,6 +9,7 @@ from __future__ import annotations
 import filecmp
 import os
 import shutil
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from filelake.functions.fixed import MIME_GROUPS
 from filelake.operators.cleanup import dangerous_root
-from filelake.session import ship
+from filelake.operators.control import Gate
+from filelake.operators.live import Tally
+from filelake.session import file_tasks, ship
 
 RESULT = "path string, destination string, status string, bytes long, error string"
 NAMES = ["path", "destination", "status", "bytes", "error"]
@@ -36,22 +39,38 @@ def _claim(draft: str, target: str) -> None:
         os.unlink(draft)
     except FileExistsError:
         raise
-    except OSError:  # no hard links here: hold the name with an empty file first
-        os.close(os.open(target, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-        os.replace(draft, target)
+    except OSError:  # no hard links here: hold the name with an empty file, marked as such, before it is replaced
+        with open(mark := f"{target}.claim", "a", encoding="utf-8"):
+            pass
+        try:
+            os.close(os.open(target, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            os.replace(draft, target)
+        finally:
+            os.remove(mark)
+
 
+def _left_behind(target: str) -> bool:
+    """An empty file whose mark says that an attempt ended between holding the name and filling it."""
+    return os.path.exists(f"{target}.claim") and os.path.getsize(target) == 0
 
-def transfer_one(source: str, target: str, move: bool) -> tuple:
+
+def transfer_one(source: str, target: str, move: bool, size: int | None = None) -> tuple:
     """Copy through a temporary name, check the size, then take the target's name if it is free.
 
     A target that holds the same bytes is a finished copy of an earlier attempt; one with other
-    bytes is another file's, and the transfer fails with both left as they are.
+    bytes is another file's, and the transfer fails with both left as they are. A source that is gone
+    counts as moved only if the target has its recorded ``size`` (any, where none is known).
     """
     try:
         if move and not os.path.exists(source) and os.path.exists(target):
-            return (source, target, "TRANSFERRED", os.path.getsize(target), None)
+            there = os.path.getsize(target)
+            if size is not None and there != size:
+                return (source, target, "FAILED", 0, f"FileNotFoundError: {source} is gone, and {target} holds {there} bytes, not {size}")
+            return (source, target, "TRANSFERRED", there, None)
         size = os.path.getsize(source)
         os.makedirs(os.path.dirname(target), exist_ok=True)
+        if os.path.exists(target) and size and _left_behind(target):
+            os.remove(target)
         if not os.path.exists(target):
             if move:
                 try:
@@ -60,7 +79,7 @@ def transfer_one(source: str, target: str, move: bool) -> tuple:
                     return (source, target, "TRANSFERRED", size, None)
                 except OSError:
                     pass  # another volume, or the name was taken: copy and delete
-            draft = f"{target}.part-{os.getpid()}"
+            draft = f"{target}.part-{uuid.uuid4().hex}"
             try:
                 shutil.copy2(source, draft)
                 if os.path.getsize(draft) != size:
@@ -85,15 +104,28 @@ def require_distinct(plan: DataFrame) -> None:
         raise ValueError(f"{twice['count']} files would go to {twice['destination']}")
 
 
-def transfer(plan: DataFrame, move: bool = False) -> DataFrame:
-    """RESULT rows for (path, destination); destinations are distinct (``require_distinct``)."""
+def transfer(plan: DataFrame, move: bool = False, gate: Gate | None = None, counts: str | None = None, phase: str = "transfer") -> DataFrame:
+    """RESULT rows for (path, destination); destinations are distinct (``require_distinct``).
+
+    Before each file the task asks ``gate``; once that says no, the rest is NOT_REACHED. ``counts``: the folder
+    in which tasks tally what they have done so far. A ``size`` column, if there is one, tells a moved file from a lost one.
+    """
+    gate = gate or Gate(None)
+    sized = "size" in plan.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tally = Tally.of_task(counts, phase)
         for f in frames:
-            yield pd.DataFrame([transfer_one(a, b, move) for a, b in zip(f["path"], f["destination"], strict=True)], columns=NAMES)
+            rows = []
+            for a, b, n in zip(f["path"], f["destination"], f["size"], strict=True):
+                rows.append(transfer_one(a, b, move, None if n != n or n is None else int(n)) if gate.go_on() else (a, b, "NOT_REACHED", 0, None))
+                tally.add(rows[-1][2], rows[-1][3])
+            yield pd.DataFrame(rows, columns=NAMES)
+        tally.write()
 
     ship(plan.sparkSession)
-    return plan.select("path", "destination").repartition("path").mapInPandas(run, RESULT)
+    rows = plan.select("path", "destination", (F.col("size") if sized else F.lit(None)).cast("double").alias("size"))
+    return rows.repartition(file_tasks(plan.sparkSession), "path").mapInPandas(run, RESULT)
 
 
 def group_of(path: str) -> tuple[str, int]:
@@ -139,7 +171,7 @@ def delete(plan: DataFrame) -> DataFrame:
             yield pd.DataFrame([one(a, b) for a, b in zip(f["path"], f["group"], strict=True)], columns=NAMES)
 
     ship(plan.sparkSession)
-    return plan.select("path", "group").repartition("path").mapInPandas(run, RESULT)
+    return plan.select("path", "group").repartition(file_tasks(plan.sparkSession), "path").mapInPandas(run, RESULT)
 
 
 def delete_while_scanning(files: DataFrame, root: str, groups: list[str], extensions: list[str], cancel: str | None = None) -> DataFrame:
@@ -164,7 +196,7 @@ def delete_while_scanning(files: DataFrame, root: str, groups: list[str], extens
             yield pd.DataFrame(rows, columns=NAMES)
 
     ship(files.sparkSession)
-    return files.select("path").repartition("path").mapInPandas(run, RESULT)
+    return files.select("path").repartition(file_tasks(files.sparkSession), "path").mapInPandas(run, RESULT)
 
 
 def running_totals(results: DataFrame) -> DataFrame:

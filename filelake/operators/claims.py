@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cache_lookup(files: DataFrame, cache: DataFrame) -> DataFrame:
-    """Adds sha256 (null on a miss): a cache row counts only if size and mtime are unchanged."""
-    return files.join(cache.select("path", "size", "mtime", "sha256"), ["path", "size", "mtime"], "left")
+    """Adds what the cache knows of a file (sha256 and any further columns; null on a miss): a cache row counts only if size and mtime are unchanged."""
+    return files.join(cache, ["path", "size", "mtime"], "left")
 
 
 def claim(files: DataFrame, owners: DataFrame | None = None, key: str = "sha256", order: str = "path") -> DataFrame:
@@ -35,10 +35,31 @@ def upsert_cache(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def commit_claims(owners: DataFrame, transferred: DataFrame) -> DataFrame:
-    """Next owner snapshot: claims whose transfer succeeded join it, one owner for each hash."""
-    w = Window.partitionBy("sha256").orderBy("canonical")
-    fresh = transferred.join(owners, "sha256", "left_anti").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return owners.unionByName(fresh.select(owners.columns))
+    """Next owner snapshot: one owner for each hash, the recorded one before the smallest new ``canonical``.
+
+    A transfer of the owner itself replaces its recorded destination and size; one of another file changes nothing.
+    Rows are brought down to one a hash before they meet, so content that very many files share is no hot key.
+    """
+    known = owners.select("sha256", F.col("canonical").alias("_owner"), F.lit(True).alias("_known"))
+    fresh = transferred.groupBy("sha256", "canonical").agg(F.min_by("destination_size", "destination_path").alias("destination_size"), F.min("destination_path").alias("destination_path"))
+    fresh = fresh.join(known, "sha256", "left").where(F.col("_known").isNull() | F.col("canonical").eqNullSafe(F.col("_owner")))
+    fresh = fresh.groupBy("sha256").agg(F.min(F.struct("canonical", "destination_path", "destination_size")).alias("_new"))
+    both, new = owners.join(fresh, "sha256", "full_outer"), F.col("_new").isNotNull()
+    later = {c: F.when(new, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in ("destination_path", "destination_size")}
+    return both.withColumns(later | {"canonical": F.coalesce("canonical", "_new.canonical")}).select(owners.columns)
+
+
+def backfill(cache: DataFrame) -> DataFrame:
+    """Owner rows from the paths and hashes of a cache, for a store that has no owners yet: the first path of each hash, not placed so far."""
+    first = cache.where("sha256 is not null").groupBy("sha256").agg(F.min("path").alias("canonical"))
+    return first.withColumns({"destination_path": F.lit(None).cast("string"), "destination_size": F.lit(None).cast("long")})
+
+
+def insert_or_ignore(old: DataFrame, new: DataFrame, key: str = "sha256", order: str = "canonical") -> DataFrame:
+    """The old rows, and of each key they lack the new row with the smallest ``order``."""
+    rest = [c for c in old.columns if c != key]
+    first = new.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(key, "_row.*")
+    return old.unionByName(first.join(old.select(key), key, "left_anti").select(old.columns))
 
 
 def resume(own: DataFrame, listing: DataFrame) -> DataFrame:

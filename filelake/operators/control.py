@@ -45,3 +45,22 @@ class Control:
         while (state := self.state) == "PAUSED":
             time.sleep(self.poll)
         return state != "STOPPED"
+
+    def gate(self) -> Gate:
+        return Gate(self.path)
+
+
+class Gate:
+    """What a task asks before each file (and each block of a large one). It looks at the control file every ``every`` seconds at most."""
+
+    def __init__(self, path: str | None, every: float = 0.1) -> None:
+        self.path, self.every, self.at, self.last = path, every, -every, True
+
+    def go_on(self) -> bool:
+        """Waits while the job is PAUSED; False once it is STOPPED. Without a control file always True."""
+        if self.path is None or not self.last:
+            return self.last
+        if (now := time.monotonic()) - self.at >= self.every:
+            self.last = Control(self.path, self.every).go_on()
+            self.at = now if self.last else self.at
+        return self.last

@@ -7,15 +7,14 @@ dates. Every query runs over its whole table.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filelake.functions import columns as C
-from filelake.operators import actions, claims, cleanup, gates, jobs, placement, reports, series, summary, verify
-from filelake.session import table
+from filelake.operators import actions, claims, cleanup, gates, jobs, keyed, placement, reports, series, summary, verify
+from filelake.session import scratch, table
 from filelake.sources.content import sniffed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -463,9 +462,10 @@ def canonical_cursor(spark: SparkSession, d: str) -> DataFrame:
     return jobs.transferred(_archive(spark, d)[0]).select("sha256", "destination_path")
 
 
-@query(f"{_FILES} SELECT path, size FROM f WHERE sha256 = sha256('')")
+@query(f"{_FILES} SELECT path, size FROM f WHERE sha256 = (SELECT arg_min(sha256, path) FROM f)")
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.by_key(_files(spark, d), "sha256", hashlib.sha256(b"").hexdigest()).select("path", "size")
+    f = _files(spark, d)
+    return jobs.by_key(f, "sha256", f.orderBy("path").first()["sha256"]).select("path", "size")
 
 
 @query("SELECT count(*) AS total FROM pages WHERE lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '\\.([^./]*)$', 1)) IN ('jpg', 'jpeg', 'png', 'gif', 'webp', 'mp4') OR page_id % 2 = 0")
@@ -582,3 +582,43 @@ def summary_fields(spark: SparkSession, d: str) -> DataFrame:
         F.count_if(F.col("event_type") == "click").alias("files_skipped"), F.sum("whole").alias("bytes_processed"), F.avg("whole").alias("avg_mb_per_sec"), F.max("value").alias("peak_mb_per_sec"),
     )
     return summary.long_form(summary.summary_fields(stats))
+
+
+_OWNED = f"""{_FILES}, o AS (SELECT sha256, min(path) AS canonical, 'd/' || min(path) AS destination_path, max(size) AS destination_size FROM f WHERE path % 4 <> 0 GROUP BY sha256),
+t AS (SELECT sha256, path, 'e/' || path AS destination_path, size + 1 AS destination_size FROM f WHERE path % 3 <> 1),
+n AS (SELECT t.* FROM t LEFT JOIN o USING (sha256) WHERE o.canonical IS NULL OR o.canonical = t.path QUALIFY row_number() OVER (PARTITION BY sha256 ORDER BY path) = 1)
+SELECT coalesce(o.sha256, n.sha256) AS sha256, coalesce(o.canonical, n.path) AS canonical, coalesce(n.destination_path, o.destination_path) AS destination_path,
+  coalesce(n.destination_size, o.destination_size) AS destination_size FROM o FULL OUTER JOIN n ON o.sha256 = n.sha256"""
+
+
+def _owners(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(recorded owners, later transfers: new claims, new places of owners, and transfers of others that change nothing)."""
+    f = _files(spark, d)
+    old = f.where("path % 4 <> 0").groupBy("sha256").agg(F.min("path").alias("_p"), F.max("size").alias("destination_size"))
+    old = old.select("sha256", F.col("_p").alias("canonical"), F.concat(F.lit("d/"), F.col("_p").cast("string")).alias("destination_path"), "destination_size")
+    new = f.where("path % 3 <> 1").select("sha256", F.col("path").alias("canonical"), F.concat(F.lit("e/"), F.col("path").cast("string")).alias("destination_path"), (F.col("size") + 1).alias("destination_size"))
+    return old, new
+
+
+@query(_OWNED)
+def owner_update(spark: SparkSession, d: str) -> DataFrame:
+    return claims.commit_claims(*_owners(spark, d))
+
+
+@query(_OWNED)
+def owner_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The same through the versioned table: two commits, each into the buckets it touches."""
+    store = keyed.KeyedTable(spark, f"{scratch(spark)}/owners", "sha256", "sha256 string, canonical long, destination_path string, destination_size long")
+    for rows in _owners(spark, d):
+        store.merge(rows, claims.commit_claims)
+    return store.read()
+
+
+@query(f"{_FILES}, c AS (SELECT * FROM f WHERE path % 2 = 0) SELECT sha256, min(CASE WHEN path % 10 = 0 THEN -path END) AS given, coalesce(min(CASE WHEN path % 10 = 0 THEN -path END), min(path)) AS canonical FROM c GROUP BY sha256")
+def owner_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """Owners from a cache, inserted or ignored beside those that are recorded."""
+    cache = _files(spark, d).where("path % 2 = 0").select("path", "sha256")
+    old = cache.where("path % 10 = 0").groupBy("sha256").agg(F.min(-F.col("path")).alias("canonical"))
+    old = old.withColumns({"destination_path": F.lit(None).cast("string"), "destination_size": F.lit(None).cast("long")})
+    out = claims.insert_or_ignore(old, claims.backfill(cache))
+    return out.join(old.select("sha256", F.col("canonical").alias("given")), "sha256", "left").select("sha256", "given", "canonical")

@@ -89,3 +89,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def file_tasks(spark: SparkSession) -> int:
+    """Into how many tasks work on files is dealt. Rows with paths are small and files are not, so Spark must not join such tasks by the bytes of their rows."""
+    return 4 * shuffle_partitions(spark)

@@ -9,6 +9,7 @@ markers that cannot stand there; damage that forms valid codes is not detected.
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 import struct
 import zipfile
@@ -18,14 +19,21 @@ from datetime import datetime, timedelta
 from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filelake.functions.fixed import PARTIAL_BYTES
-from filelake.session import ship
+from filelake.operators.control import Gate
+from filelake.operators.live import Tally
+from filelake.session import file_tasks, ship
 
 SCHEMA = "path string, sha256 string, partial_sha256 string, mime string, problem string, embedded_date timestamp_ntz, error string"
 BLOCK = 1 << 20
+#: Files up to this size are kept in memory while they are hashed, so that one read serves structure and date, too.
+WHOLE = 32 << 20
+NOT_REACHED = "NOT_REACHED"
 
 
 def sniff(head: bytes) -> str:
@@ -317,19 +325,31 @@ def movie_date(f: BinaryIO, size: int) -> datetime | None:
     return None
 
 
-def inspect(path: str, deep: bool = True) -> tuple:
-    full, part, head, size = hashlib.sha256(), hashlib.sha256(), b"", 0
+class NotReached(Exception):
+    """The job was stopped before the file's end."""
+
+
+def inspect(path: str, deep: bool = True, gate: Gate | None = None) -> tuple:
+    """One row of SCHEMA. A file of up to ``WHOLE`` bytes is read once; of a larger one the structure is met again by seeking."""
+    full, part, head, size, kept = hashlib.sha256(), hashlib.sha256(), b"", 0, []
     try:
         with open(path, "rb") as f:
             while block := f.read(BLOCK):
+                if gate is not None and not gate.go_on():
+                    raise NotReached
                 full.update(block)
                 if size < PARTIAL_BYTES:
                     part.update(block[: PARTIAL_BYTES - size])
                 head = head or block[:4096]
                 size += len(block)
+                if size <= WHOLE:
+                    kept.append(block)
+                else:
+                    kept.clear()
             mime = sniff(head)
-            problem = structure(f, mime, size) if deep else None
-            date = exif_date(f) if mime.startswith("image/") else movie_date(f, size) if mime.startswith("video/") else None
+            g = io.BytesIO(b"".join(kept)) if size <= WHOLE and mime.startswith(("image/", "video/")) else f
+            problem = structure(g, mime, size) if deep else None
+            date = exif_date(g) if mime.startswith("image/") else movie_date(g, size) if mime.startswith("video/") else None
     except OSError as e:
         return (path, None, None, "application/x-unreadable", None, None, f"{type(e).__name__}: {e.strerror}")
     if mime == "application/zip":
@@ -337,14 +357,39 @@ def inspect(path: str, deep: bool = True) -> tuple:
     return (path, full.hexdigest(), part.hexdigest(), mime, problem, date, None)
 
 
-def read_content(files: DataFrame, deep: bool = True) -> DataFrame:
-    """SCHEMA rows for the paths of ``files``; big files spread over tasks by path. ``deep``: check structures too."""
+def with_content(files: DataFrame, deep: bool = True, gate: Gate | None = None, counts: str | None = None) -> DataFrame:
+    """``files`` and the columns of SCHEMA (replacing those of that name); big files spread over tasks by path. ``deep``: check structures too.
+
+    Before each file and block the task asks ``gate``; once that says no, the rest has the error NOT_REACHED and nothing else.
+    ``counts``: the folder in which tasks tally what they have read so far.
+    """
+    gate, found = gate or Gate(None), [x.split()[0] for x in SCHEMA.split(", ")][1:]
+    rest = [c for c in files.columns if c not in found]
+    at = rest.index("path")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = pd.DataFrame([inspect(p, deep) for p in frame["path"]], columns=["path", "sha256", "partial_sha256", "mime", "problem", "embedded_date", "error"])
-            out["embedded_date"] = pd.to_datetime(out["embedded_date"])
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally.of_task(counts, "read")
+        for batch in batches:
+            rows = []
+            for path in batch.column(at).to_pylist():
+                try:
+                    if not gate.go_on():
+                        raise NotReached
+                    rows.append(inspect(path, deep, gate)[1:])
+                    sound = rows[-1][3] is None and rows[-1][5] is None and rows[-1][2].startswith(("image/", "video/"))
+                    tally.add("READ" if sound else "FAILED")
+                except NotReached:
+                    rows.append((None, None, None, None, None, NOT_REACHED))
+            kinds = [pa.string()] * 4 + [pa.timestamp("us"), pa.string()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]], [*rest, *found])
+        tally.write()
 
     ship(files.sparkSession)
-    return files.select("path").repartition("path").mapInPandas(run, SCHEMA)
+    dealt = files.select(*rest).repartition(file_tasks(files.sparkSession), "path")
+    more = files.sparkSession.createDataFrame([], SCHEMA).drop("path").schema
+    return dealt.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in [*dealt.schema, *more]]))
+
+
+def read_content(files: DataFrame, deep: bool = True) -> DataFrame:
+    """SCHEMA rows for the paths of ``files``."""
+    return with_content(files.select("path"), deep)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from filelake.operators.claims import claim
+from filelake.session import ship
+from filelake.sources.filetree import FileTree
 
 
 def arrivals(spark: SparkSession, path: str, schema: str, files: int = 64) -> DataFrame:
@@ -21,9 +23,17 @@ def arrivals(spark: SparkSession, path: str, schema: str, files: int = 64) -> Da
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def append_events(events: DataFrame, path: str, checkpoint: str, seconds: int = 5) -> StreamingQuery:
-    """Lossless append of event rows, partitioned by job."""
-    return events.writeStream.format("parquet").partitionBy("job_id").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+def tree_arrivals(spark: SparkSession, root: str, files: int = 64, tasks: int = 16, control: str | None = None) -> DataFrame:
+    """The entries of a tree as a stream of bounded batches: ``files`` for each of ``tasks`` tasks; none while the control says PAUSED or STOPPED."""
+    ship(spark)
+    spark.dataSource.register(FileTree)
+    reader = spark.readStream.format("filetree").option("filesPerTask", files).option("tasksPerBatch", tasks)
+    return (reader.option("control", control) if control else reader).load(root)
+
+
+def append_events(events: DataFrame, path: str, checkpoint: str, seconds: int = 5, rows: int = 500) -> StreamingQuery:
+    """Lossless append of event rows, partitioned by job: every ``seconds``, in files of at most ``rows`` rows."""
+    return events.writeStream.format("parquet").partitionBy("job_id").option("maxRecordsPerFile", rows).option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
 def per_second(events: DataFrame, ts: str = "ts", late: str = "10 seconds") -> DataFrame:
