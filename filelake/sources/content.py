@@ -1,9 +1,9 @@
 """File content in one pass per file: SHA-256, SHA-256 of the first 64 KiB, MIME type, structural validity, embedded date.
 
-Runs as ``mapInPandas`` over paths, streams files of any size in blocks, and keeps contents
+Runs in Arrow batches over paths, streams files of any size in blocks, and keeps contents
 out of the plan. Structure and dates are found by seeking, at any size, in bounded memory. Filter with the cheap gates first: Python runs for every row it is given.
-Structural checks (``deep``) catch truncation, broken chunks and boxes, and JPEG scan data with
-markers that cannot stand there; damage that forms valid codes is not detected.
+Structural checks (``deep``) inflate PNG data and count its rows, walk JPEG scans code by code, and follow sample
+tables and clusters of videos to their data; damage that forms valid codes of the right number is not detected.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ import io
 import re
 import struct
 import zipfile
-import zlib
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import datetime
 from typing import BinaryIO
 
 import pandas as pd
@@ -28,6 +27,8 @@ from filelake.functions.fixed import PARTIAL_BYTES
 from filelake.operators.control import Gate
 from filelake.operators.live import Tally
 from filelake.session import file_tasks, ship
+from filelake.sources.containers import avi_date, matroska_date, matroska_problem, movie_date, movie_problem, riff_problem
+from filelake.sources.images import exif_place, jpeg_problem, png_problem
 
 SCHEMA = "path string, sha256 string, partial_sha256 string, mime string, problem string, embedded_date timestamp_ntz, error string"
 BLOCK = 1 << 20
@@ -87,81 +88,6 @@ def _at(f: BinaryIO, at: int, n: int) -> bytes:
     return f.read(n)
 
 
-def _find(f: BinaryIO, what: bytes) -> int:
-    """Place of the first ``what`` in the file, -1 if there is none."""
-    f.seek(0)
-    at, tail = 0, b""
-    while block := f.read(BLOCK):
-        both = tail + block
-        if (k := both.find(what)) >= 0:
-            return at - len(tail) + k
-        at, tail = at + len(block), both[-len(what) + 1 :]
-    return -1
-
-
-def png_problem(f: BinaryIO) -> str | None:
-    f.seek(8)
-    while len(start := f.read(8)) == 8:
-        (n,), kind = struct.unpack(">I", start[:4]), start[4:]
-        crc = zlib.crc32(kind)
-        while n and (block := f.read(min(n, BLOCK))):
-            crc, n = zlib.crc32(block, crc), n - len(block)
-        want = f.read(4)
-        if len(want) < 4:
-            return "truncated PNG chunk"
-        if crc != struct.unpack(">I", want)[0]:
-            return "corrupt PNG chunk"
-        if kind == b"IEND":
-            return None
-    return "truncated PNG"
-
-
-def _scan_end(f: BinaryIO, at: int, restarts: bool) -> int:
-    """Place of the first marker after JPEG scan data that is no stuffing (and no restart where those are announced), -1 if there is none."""
-    marker = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]" if restarts else rb"\xff[^\x00\xff]", re.DOTALL)
-    f.seek(at)
-    tail = b""
-    while block := f.read(BLOCK):
-        both = tail + block
-        if found := marker.search(both):
-            return at - len(tail) + found.start()
-        at, tail = at + len(block), both[-1:]
-    return -1
-
-
-#: Markers that may follow scan data: tables, further scans, restart intervals, line counts, application data, comments, the end.
-_AFTER_SCAN = {0xC4, 0xCC, 0xDA, 0xDB, 0xDC, 0xDD, 0xDF, 0xD9, 0xFE, *range(0xE0, 0xF0)}
-
-
-def jpeg_problem(f: BinaryIO, size: int) -> str | None:
-    """Walks all segments and scans as far as the end marker; what follows it (motion photos) is not looked at."""
-    at, restarts, scans = 2, False, 0
-    while len(start := _at(f, at, 4)) >= 2:
-        if start[0] != 0xFF:
-            return "corrupt JPEG marker"
-        kind = start[1]
-        if kind == 0xFF:
-            at += 1
-        elif kind == 0xD9:
-            return None if scans else "truncated JPEG"
-        elif kind == 0x01 or 0xD0 <= kind <= 0xD7:
-            at += 2
-        elif len(start) < 4:
-            break
-        elif (n := struct.unpack(">H", start[2:])[0]) < 2:
-            return "corrupt JPEG marker"
-        else:
-            at += 2 + n
-            restarts |= kind == 0xDD
-            if kind == 0xDA:
-                scans += 1
-                if (at := _scan_end(f, at, restarts)) < 0:
-                    return "missing EOI"
-                if _at(f, at + 1, 1)[0] not in _AFTER_SCAN:
-                    return "corrupt JPEG data"
-    return "missing EOI" if scans else "truncated JPEG"
-
-
 def gif_problem(f: BinaryIO, size: int) -> str | None:
     def blocks() -> bool:
         while n := f.read(1):
@@ -211,57 +137,6 @@ def tiff_problem(f: BinaryIO, size: int) -> str | None:
     return None
 
 
-def riff_problem(f: BinaryIO, size: int) -> str | None:
-    """WebP and AVI: the size that the file states must be there."""
-    head = _at(f, 0, 12)
-    return "truncated RIFF" if len(head) < 12 or struct.unpack("<I", head[4:8])[0] + 8 > size else None
-
-
-def movie_problem(f: BinaryIO, size: int) -> str | None:
-    """The top boxes of an ISO media file follow each other as far as the end and hold a movie (or movie fragments)."""
-    at, kinds = 0, set()
-    while at < size:
-        start = _at(f, at, 16)
-        if len(start) < 8:
-            break  # some bytes of padding
-        (n,), kind, skip = struct.unpack(">I", start[:4]), start[4:8], 8
-        if n == 1 and len(start) == 16:
-            (n,), skip = struct.unpack(">Q", start[8:]), 16
-        elif n == 0:
-            n = size - at
-        if n == 0 or start == b"\0" * len(start):
-            break
-        if n < skip or not re.fullmatch(rb"[ -~\xa9]{4}", kind):
-            return "container could not be parsed"
-        if at + n > size:
-            return "truncated container"
-        kinds.add(kind)
-        at += n
-    if b"moov" not in kinds:
-        return "moov atom not found"
-    for kind, begin, end in _boxes(f, 0, size):
-        if kind == b"moov" and not any(inner == b"mvhd" for inner, _, _ in _boxes(f, begin, end)):
-            return "movie header not found"
-    return None
-
-
-def matroska_problem(f: BinaryIO, size: int) -> str | None:
-    """An EBML header followed by a segment."""
-    def number(at: int, keep: bool) -> tuple[int, int]:
-        first = _at(f, at, 1)
-        width = 9 - first[0].bit_length() if first and first[0] else 9
-        raw = _at(f, at, width)
-        if width > 8 or len(raw) < width:
-            return -1, at
-        value = int.from_bytes(raw, "big")
-        return value if keep else value & (1 << 7 * width) - 1, at + width
-
-    kind, at = number(0, True)
-    length, at = number(at, False) if kind == 0x1A45DFA3 else (-1, 0)
-    kind, _ = number(at + length, True) if 0 <= length < size else (-1, 0)
-    return None if kind == 0x18538067 else "container could not be parsed"
-
-
 def structure(f: BinaryIO, mime: str, size: int) -> str | None:
     """First problem of a media file's structure; None where it is sound or of a kind that is not checked."""
     if mime == "image/png":
@@ -273,12 +148,11 @@ def structure(f: BinaryIO, mime: str, size: int) -> str | None:
     return check(f, size) if check else None
 
 
-def exif_date(f: BinaryIO) -> datetime | None:
-    """DateTimeOriginal of a JPEG or TIFF block, wherever its directories lie."""
-    at = _find(f, b"Exif\0\0")
-    base = at + 6 if at >= 0 else 0
-    head = _at(f, base, 8)
-    if len(head) < 8 or at < 0 and head[:4] not in (b"II*\0", b"MM\0*"):
+def image_date(f: BinaryIO, mime: str, size: int) -> datetime | None:
+    """DateTimeOriginal of the image's own Exif block, wherever its directories lie."""
+    base = exif_place(f, mime, size)
+    head = _at(f, base, 8) if base is not None else b""
+    if len(head) < 8 or head[:4] not in (b"II*\0", b"MM\0*"):
         return None
     e = "<" if head[:2] == b"II" else ">"
     todo, seen = [struct.unpack(e + "I", head[4:8])[0]], set()
@@ -289,40 +163,21 @@ def exif_date(f: BinaryIO) -> datetime | None:
         seen.add(ifd)
         entries = f.read(12 * struct.unpack(e + "H", count)[0])
         for k in range(0, len(entries) - 11, 12):
-            tag, _, size, value = struct.unpack(e + "HHII", entries[k : k + 12])
+            tag, _, n, value = struct.unpack(e + "HHII", entries[k : k + 12])
             if tag == 0x8769:
                 todo.append(value)
             elif tag == 0x9003:
                 try:
-                    return datetime.strptime(_at(f, base + value, min(size, 4096)).rstrip(b"\0 ").decode("ascii"), "%Y:%m:%d %H:%M:%S")
+                    return datetime.strptime(_at(f, base + value, min(n, 4096)).rstrip(b"\0 ").decode("ascii"), "%Y:%m:%d %H:%M:%S")
                 except (ValueError, UnicodeDecodeError):
                     return None
     return None
 
 
-def _boxes(f: BinaryIO, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """(type, begin, end) of the contents of each ISO box between two places."""
-    while at + 8 <= end and len(start := _at(f, at, 16)) >= 8:
-        (n,), skip = struct.unpack(">I", start[:4]), 8
-        if n == 1 and len(start) == 16:
-            (n,), skip = struct.unpack(">Q", start[8:]), 16
-        elif n == 0:  # as far as the end
-            n = end - at
-        if n < skip:
-            return
-        yield start[4:8], at + skip, min(at + n, end)
-        at += n
-
-
-def movie_date(f: BinaryIO, size: int) -> datetime | None:
-    """Creation time of an ISO media file's mvhd box (seconds since 1904), wherever its moov box lies."""
-    for kind, begin, end in _boxes(f, 0, size):
-        for inner, at, _ in _boxes(f, begin, end) if kind == b"moov" else ():
-            raw = _at(f, at, 12)
-            if inner == b"mvhd" and len(raw) == 12:
-                seconds = struct.unpack(">Q", raw[4:])[0] if raw[0] == 1 else struct.unpack(">I", raw[4:8])[0]
-                return datetime(1904, 1, 1) + timedelta(seconds=seconds) if 0 < seconds < 1 << 36 else None
-    return None
+def video_date(f: BinaryIO, mime: str, size: int) -> datetime | None:
+    """Creation time that the container itself states."""
+    find = {"video/x-msvideo": avi_date, "video/x-matroska": matroska_date}.get(mime, movie_date)
+    return find(f, size)
 
 
 class NotReached(Exception):
@@ -349,7 +204,7 @@ def inspect(path: str, deep: bool = True, gate: Gate | None = None) -> tuple:
             mime = sniff(head)
             g = io.BytesIO(b"".join(kept)) if size <= WHOLE and mime.startswith(("image/", "video/")) else f
             problem = structure(g, mime, size) if deep else None
-            date = exif_date(g) if mime.startswith("image/") else movie_date(g, size) if mime.startswith("video/") else None
+            date = image_date(g, mime, size) if mime.startswith("image/") else video_date(g, mime, size) if mime.startswith("video/") else None
     except OSError as e:
         return (path, None, None, "application/x-unreadable", None, None, f"{type(e).__name__}: {e.strerror}")
     if mime == "application/zip":

@@ -16,10 +16,12 @@ from filelake.plans.scan import OWNERS, listing, run_scan
 from filelake.sources import content, filetree
 from filelake.sources.content import sniff
 from filelake.streaming.incremental import append_events, arrivals, claim_stream, per_second, read_claims
+from tests.media import jpeg_image, movie, png_image, segment
 
 
 def jpeg(seed: int, size: int = 20_000) -> bytes:
-    return b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04xy" + bytes([seed]) * size + b"\xff\xd9"
+    """A small image that decodes, as large as asked by its comment."""
+    return jpeg_image(1, 8, 8, note=bytes([seed]) * size)
 
 
 def put(root, name: str, data: bytes) -> str:
@@ -226,31 +228,15 @@ def test_delete_while_scanning_and_prune(spark, tmp_path):
 
 
 def test_structures(tmp_path):
-    import random
-
     see = lambda name, data, deep=True: content.inspect(put(tmp_path, name, bytes(data)), deep)[3:5]
-    head = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xdd\x00\x04\x00\x01\xff\xda\x00\x04xy"
-    body = b"\x11\x22\xff\x00\xff\xd0\x33" * 3000
-    assert see("ok.jpg", head + body + b"\xff\xd9" + b"trailing video" * 999)[1] is None
-    assert see("two.jpg", head + body + b"\xff\xc4\x00\x04zz\xff\xda\x00\x04xy" + body + b"\xff\xd9")[1] is None
-    noise = random.Random(1).randbytes(9000)
-    assert see("shred.jpg", head + body + noise + b"\xff\xd9")[1] is not None and see("shred2.jpg", head + body + noise + b"\xff\xd9", False)[1] is None
-    assert see("cut.jpg", head + body)[1] == "missing EOI" and see("none.jpg", head[:10])[1] == "truncated JPEG"
-    box = lambda kind, data: struct.pack(">I", 8 + len(data)) + kind + data
-    movie = box(b"ftyp", b"isom" + bytes(4)) + box(b"mdat", bytes(5000)) + box(b"moov", box(b"mvhd", bytes(100)))
-    assert see("ok.mp4", movie) == ("video/mp4", None) and see("cut.mp4", movie[:-50])[1] == "Corrupt video: truncated container"
-    assert see("noise.mp4", movie[:16] + noise)[1].startswith("Corrupt video: ") and see("nomoov.mp4", movie[:5024])[1] == "Corrupt video: moov atom not found"
-    assert see("noise2.mp4", movie[:16] + noise, False)[1] is None
     gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + bytes(6) + b"!\xf9\x04" + bytes(4) + b"\0" + b"," + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02ab\0;"
     assert see("ok.gif", gif)[1] is None and see("cut.gif", gif[:-3])[1] == "truncated GIF"
     bmp = b"BM" + struct.pack("<IHHI", 0, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 10, 10, 1, 24, 0, 0, 0, 0, 0, 0) + bytes(320)
     assert see("ok.bmp", bmp)[1] is None and see("cut.bmp", bmp[:-1])[1] == "truncated BMP"
     tiff = b"II*\0" + struct.pack("<IH", 8, 1) + bytes(12 + 4)
     assert see("ok.tif", tiff)[1] is None and see("cut.tif", tiff[:15])[1] == "truncated TIFF"
-    webp = b"RIFF" + struct.pack("<I", 104) + b"WEBP" + bytes(100)
+    webp = b"RIFF" + struct.pack("<I", 104) + b"WEBP" + b"VP8 " + struct.pack("<I", 92) + bytes(92)
     assert see("ok.webp", webp)[1] is None and see("cut.webp", webp[:-1])[1] == "truncated RIFF"
-    mkv = b"\x1aE\xdf\xa3\x84abcd\x18S\x80g\x80"
-    assert see("ok.mkv", mkv)[1] is None and see("bad.mkv", mkv[:9] + b"odd bytes")[1].startswith("Corrupt video")
 
 
 def test_apk_and_embedded_dates(tmp_path):
@@ -264,7 +250,7 @@ def test_apk_and_embedded_dates(tmp_path):
     date = b"2012:03:04 05:06:07\0"
     ifd = b"MM\0*" + struct.pack(">I", 8) + struct.pack(">HHHIII", 1, 0x8769, 4, 1, 26, 0) + struct.pack(">HHHIII", 1, 0x9003, 2, 20, 44, 0) + date
     exif = b"Exif\0\0" + ifd
-    photo = b"\xff\xd8\xff\xe1" + struct.pack(">H", 2 + len(exif)) + exif + b"\xff\xda\x00\x04xy" + bytes(500) + b"\xff\xd9"
+    photo = jpeg_image(1, extra=segment(0xE1, exif)) + b"video Exif\0\0 behind it"
     got = content.inspect(put(tmp_path, "p.jpg", photo))
     assert got[4] is None and str(got[5]) == "2012-03-04 05:06:07"
 
@@ -334,20 +320,24 @@ def test_preview_names_the_rest(spark):
     assert reports.preview(rows, "path").splitlines()[::20] == ["f00", "... and 5 more"] and reports.preview(rows.limit(1), "path") == "f00\n"
 
 
-def test_large_files_are_inspected_whole(tmp_path):
-    big, png_chunk = 9 << 20, lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    png = b"\x89PNG\r\n\x1a\n" + png_chunk(b"IHDR", bytes(13)) + png_chunk(b"IDAT", bytes(big)) + png_chunk(b"IEND", b"")
+def test_large_files_are_inspected_whole(tmp_path, monkeypatch):
+    import random
+
+    big, rnd = 9 << 20, random.Random(1)
+    png = png_image([b"\0" + rnd.randbytes(1 << 20) for _ in range(9)], 1 << 20, 9, parts=4)
     hurt = bytearray(png)
     hurt[big - 5] ^= 1
-    scan = b"\xff\xd8\xff\xda\0\x02" + b"\x11" * big
-    box = lambda kind, body: struct.pack(">I", 8 + len(body)) + kind + body
-    movie = box(b"ftyp", b"isom" + bytes(4)) + box(b"mdat", b"mvhd" + b"\x22" * big) + box(b"moov", box(b"free", b"") + box(b"mvhd", bytes(4) + struct.pack(">I", 3_000_000_000) + bytes(92)))
-    wide = box(b"ftyp", b"isom" + bytes(4)) + struct.pack(">I4sQ", 1, b"mdat", 16 + big) + bytes(big) + movie[-124:]
+    note = b"Exif\0\0" + bytes(big)
     date = b"2001:02:03 04:05:06\0"
     tiff = b"II*\0" + struct.pack("<I", big) + bytes(big - 8) + struct.pack("<HHHIII", 1, 0x8769, 4, 1, big + 18, 0) + struct.pack("<HHHIII", 1, 0x9003, 2, 20, big + 36, 0) + date
-    see = lambda name, data: content.inspect(put(tmp_path, name, bytes(data)))[3:6]
-    assert see("a.png", png) == ("image/png", None, None) and see("b.png", hurt)[1] == "corrupt PNG chunk"
-    assert see("c.png", png[:-300])[1] == "truncated PNG chunk" and see("d.png", png[:-12])[1] == "truncated PNG"
-    assert see("e.jpg", scan + b"\xff\xd9" + bytes(2 << 20))[1] is None and see("f.jpg", scan)[1] == "missing EOI"
-    assert str(see("g.mp4", movie)[2]) == "1999-01-24 05:20:00" and see("h.mp4", wide)[2] == see("g.mp4", movie)[2]
-    assert str(see("i.tif", tiff)[2]) == "2001-02-03 04:05:06"
+    stamp = bytes(4) + struct.pack(">I", 3_000_000_000) + bytes(92)
+    for whole in (content.WHOLE, 1 << 20):  # from memory, and met again by seeking
+        monkeypatch.setattr(content, "WHOLE", whole)
+        see = lambda name, data: content.inspect(put(tmp_path, name, bytes(data)))[3:6]
+        assert see("a.png", png) == ("image/png", None, None) and see("b.png", hurt)[1] == "corrupt PNG chunk"
+        assert see("c.png", png[:-300])[1] == "truncated PNG chunk" and see("d.png", png[:-12])[1] == "truncated PNG"
+        assert see("e.jpg", jpeg_image(1, note=note) + bytes(2 << 20))[1:] == (None, None) and see("f.jpg", jpeg_image(1, note=note)[:-2])[1] == "missing EOI"
+        data = [b"mvhd" + rnd.randbytes(3 << 20) for _ in range(3)]
+        assert str(see("g.mp4", movie(data, mvhd=stamp))[2]) == "1999-01-24 05:20:00" and see("h.mp4", movie(data, mvhd=stamp, wide=True))[1:] == see("g.mp4", movie(data, mvhd=stamp))[1:]
+        assert see("i.mp4", movie(data, shift=1))[1] == "Corrupt video: samples outside the media data"
+        assert str(see("j.tif", tiff)[2]) == "2001-02-03 04:05:06"
