@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filelake.functions import columns as C
@@ -44,8 +44,8 @@ def place(incoming: DataFrame, existing: DataFrame, form: str = "({})", always:
     pattern = f"(?s)^(.+){re.escape(before)}([1-9][0-9]{{0,8}}){re.escape(after)}$"
     taken = taken.where(F.col("_whole").rlike(pattern)).withColumns({"_stem": F.regexp_extract("_whole", pattern, 1), "_n": F.regexp_extract("_whole", pattern, 2).cast("int")})
     taken = taken.join(asked.select("dir", "_stem", "_ext").distinct(), ["dir", "_stem", "_ext"], "left_semi")
-    place_ = F.row_number().over(Window.partitionBy("dir", "_stem", "_ext").orderBy("_n"))
-    taken = taken.select("dir", "_stem", "_ext", (F.col("_n") - place_).cast("long").alias("_need"), F.lit(1).alias("_kind"), F.col("_n").alias("_tie"))
+    taken = running(taken, ["dir", "_stem", "_ext"], [F.col("_n")], F.lit(1), "_place")
+    taken = taken.select("dir", "_stem", "_ext", (F.col("_n") - F.col("_place")).cast("long").alias("_need"), F.lit(1).alias("_kind"), F.col("_n").alias("_tie"))
     both = asked.withColumns({"_kind": F.lit(0), "_tie": F.lit(0)}).unionByName(taken, allowMissingColumns=True)
     both = running(both, ["dir", "_stem", "_ext"], [F.col("_need"), F.col("_kind"), F.col("_tie")], F.col("_kind"), "_passed").where("_kind = 0")
     numbered = both.withColumn("final_name", F.concat("_stem", F.lit(before), (F.col("_need") + F.col("_passed")).cast("string"), F.lit(after), "_ext"))

@@ -7,10 +7,11 @@ import os
 from datetime import datetime, timezone
 from typing import TextIO
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filelake.functions.fixed import REPORT_FOLDERS, STATUSES
+from filelake.operators.ranking import first_rows
 from filelake.operators.verify import status_counts, verdict
 
 CAP = 100_000
@@ -23,8 +24,7 @@ def outcome_counts(events: DataFrame) -> DataFrame:
 def capped(events: DataFrame, cap: int, by: list[str], order: list[str]) -> DataFrame:
     """The oldest ``cap`` rows of each report with its true total, and whether it is truncated."""
     totals = events.groupBy(*by).agg(F.count("*").alias("total"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    kept = events.withColumn("rank", rank).where(F.col("rank") <= cap)
+    kept = first_rows(events, by, [F.col(c) for c in order], cap, "rank").withColumn("rank", F.col("rank").cast("int"))
     return kept.join(totals, by).withColumn("truncated", F.col("total") > cap)
 
 

@@ -1,29 +1,29 @@
-"""Rates, rolling averages, peaks and two kinds of downsampling. Every window is partitioned by job; the envelope has none over a whole series."""
+"""Rates, rolling averages, peaks and two kinds of downsampling. A series of any length may span many tasks (``ranking``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filelake.operators.ranking import running
+from filelake.operators.ranking import first_rows, frames, prefix, running
 
 
 def delta_rate(rows: DataFrame, by: str, order: list[str], total: str, micros: Column) -> DataFrame:
     """Adds rate: growth of a running total per second since the previous row; no growth is 0, time is at least 1 ms."""
-    w = Window.partitionBy(by).orderBy(*order)
-    rows = rows.withColumn("_us", micros)
-    dv, dt = F.col(total) - F.lag(total).over(w), (F.col("_us") - F.lag("_us").over(w)) / F.lit(1e6)
-    return rows.withColumn("rate", F.when(dv > 0, dv / F.greatest(dt, F.lit(0.001))).otherwise(0.0)).drop("_us")
+    def rate(w: Window) -> dict[str, Column]:
+        dv, dt = F.col(total) - F.lag(total).over(w), (F.col("_us") - F.lag("_us").over(w)) / F.lit(1e6)
+        return {"rate": F.when(dv > 0, dv / F.greatest(dt, F.lit(0.001))).otherwise(0.0)}
 
+    return frames(rows.withColumn("_us", micros), [by], [F.col(c) for c in order], 1, rate).drop("_us")
 
-def rolling(rows: DataFrame, by: str, order: list[str], value: str, frames: dict[str, int]) -> DataFrame:
+
+def rolling(rows: DataFrame, by: str, order: list[str], value: str, sizes: dict[str, int]) -> DataFrame:
     """Adds one moving average for each name: over that many rows, partially filled at the start."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return rows.withColumns({k: F.avg(value).over(w.rowsBetween(1 - n, 0)) for k, n in frames.items()})
+    return frames(rows, [by], [F.col(c) for c in order], max(sizes.values()) - 1, lambda w: {k: F.avg(value).over(w.rowsBetween(1 - n, 0)) for k, n in sizes.items()})
 
 
 def running_peak(rows: DataFrame, by: str, order: list[str], value: str, name: str = "peak") -> DataFrame:
-    return rows.withColumn(name, F.max(value).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return prefix(rows, [by], [F.col(c) for c in order], {name: ("max", F.col(value))})
 
 
 def bucket_average(samples: DataFrame, by: str, elapsed: str, values: list[str], target: int) -> DataFrame:
@@ -56,8 +56,7 @@ def chartable(samples: DataFrame, by: list[str], least: int = 5) -> DataFrame:
 
 def latest(rows: DataFrame, by: str, order: list[str], n: int = 3600) -> DataFrame:
     """The capped history of each series: its last ``n`` rows."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(*[F.desc(c) for c in order]))
-    return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    return first_rows(rows, [by], [F.desc(c) for c in order], n, "_rank").drop("_rank")
 
 
 def job_rate(processed: Column, seconds: Column) -> Column:
@@ -68,7 +67,7 @@ def job_rate(processed: Column, seconds: Column) -> Column:
 
 def keep_last(rows: DataFrame, by: str, order: list[str], value: str, name: str) -> DataFrame:
     """Adds ``name``: the value, or the last one before it that was not null."""
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return prefix(rows, [by], [F.col(c) for c in order], {name: ("last", F.col(value))})
 
 
 def trailing(samples: DataFrame, by: str, elapsed: str, seconds: int) -> DataFrame:
