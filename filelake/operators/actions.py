@@ -20,7 +20,7 @@ from filelake.functions.fixed import MIME_GROUPS
 from filelake.operators.cleanup import dangerous_root
 from filelake.operators.control import Gate
 from filelake.operators.live import Tally
-from filelake.session import file_tasks, ship
+from filelake.session import file_tasks, materialize, ship
 
 RESULT = "path string, destination string, status string, bytes long, error string"
 NAMES = ["path", "destination", "status", "bytes", "error"]
@@ -212,8 +212,8 @@ def running_totals(results: DataFrame) -> DataFrame:
 def prune(spark: SparkSession, root: str, dirs: DataFrame) -> DataFrame:
     """Remove empty directories (``path`` rows of ``empty_directories``), deepest first; the root stays. RESULT rows, PRUNED or FAILED.
 
-    Directories below one top folder go together, so that a task meets children before parents;
-    a chain that ends in a folder shared by several is closed by the last pass over what is left.
+    The set is whole before anything is removed. Then one level after the other goes, each over many tasks, so
+    a folder that several chains share is met when all of them are gone: one job for each depth.
     """
     if why := dangerous_root(root):
         raise ValueError(why)
@@ -223,8 +223,6 @@ def prune(spark: SparkSession, root: str, dirs: DataFrame) -> DataFrame:
         for f in frames:
             rows = []
             for d in f["path"]:
-                if os.path.normpath(d) == home:
-                    continue
                 try:
                     os.rmdir(d)
                     rows.append((d, None, "PRUNED", 0, None))
@@ -235,10 +233,14 @@ def prune(spark: SparkSession, root: str, dirs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=NAMES)
 
     ship(spark)
-    depth = F.size(F.split("path", "/"))
-    top = F.element_at(F.split(F.substring(F.col("path"), len(home) + 2, 1 << 20), "/"), 1)
-    dealt = dirs.select("path").withColumns({"_depth": depth, "_top": top}).repartition("_top").sortWithinPartitions("_top", F.desc("_depth"), "path")
-    return dealt.select("path").mapInPandas(run, RESULT)
+    parts = F.filter(F.split("path", "/+"), lambda x: ~x.isin("", "."))
+    below = F.size(parts) > len([x for x in home.split("/") if x])
+    whole = materialize(dirs.select("path").where(below).withColumn("_depth", F.size(parts)), "dirs")
+    found = spark.createDataFrame([], RESULT)
+    for depth in sorted((r[0] for r in whole.select("_depth").distinct().collect()), reverse=True):  # one number a level
+        level = whole.where(F.col("_depth") == depth).select("path").repartition(file_tasks(spark), "path")
+        found = found.unionByName(materialize(level.mapInPandas(run, RESULT), f"level{depth}"))
+    return found
 
 
 def deleted_per_group(results: DataFrame) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import os
+import shutil
 from datetime import datetime, timezone
-from typing import TextIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from filelake.functions.fixed import REPORT_FOLDERS, STATUSES
 from filelake.operators.ranking import first_rows
 from filelake.operators.verify import status_counts, verdict
+from filelake.sources.jsonreport import write_document
 
 CAP = 100_000
 
@@ -34,26 +34,6 @@ def preview(rows: DataFrame, column: str, n: int = 20) -> str:
     return "".join(f"{x}\n" for x in shown) + (f"... and {total - len(shown)} more" if total > len(shown) else "")
 
 
-def _entries(f: TextIO, rows: DataFrame) -> None:
-    """A JSON array, one row after the other; nulls are left out."""
-    f.write("[")
-    for k, row in enumerate(rows.toLocalIterator()):
-        f.write(("," if k else "") + "\n" + json.dumps({c: v for c, v in row.asDict().items() if v is not None}, ensure_ascii=False, default=str))
-    f.write("\n]")
-
-
-def _write(path: str, head: dict, lists: dict[str, DataFrame]) -> None:
-    """One JSON object: ``head``, then each list streamed; it takes its name only when whole."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        f.write(json.dumps(head, ensure_ascii=False, default=str)[:-1])
-        for name, rows in lists.items():
-            f.write(f', "{name}": ')
-            _entries(f, rows)
-        f.write("}\n")
-    os.replace(f"{path}.tmp", path)
-
-
 # The names of a report entry and their columns.
 ENTRY = {
     "filePath": "file_path", "fileName": "file_name", "fileSize": "file_size", "reason": "reason", "sha256Hash": "sha256", "matchedPath": "matched_path",
@@ -62,7 +42,7 @@ ENTRY = {
 
 
 def write_outcome_report(events: DataFrame, outcome: str, job: str, path: str, cap: int = CAP, source: str | None = None, target: str | None = None) -> int:
-    """Stream one JSON report to ``path``; returns the true total. Nothing is written for an outcome without rows.
+    """Write one JSON report to ``path``; returns the true total. Nothing is written for an outcome without rows.
 
     The cap is the feature: a report lists its oldest rows and says how many it leaves out."""
     own = events.where((F.col("job_id") == job) & (F.col("outcome") == outcome))
@@ -74,8 +54,8 @@ def write_outcome_report(events: DataFrame, outcome: str, job: str, path: str, c
     if total > cap:
         head |= {"entriesOmitted": total - cap, "truncationNotice": f"Report lists the first {cap} of {total} entries; the event table holds them all."}
     names = {k: c for k, c in ENTRY.items() if c in own.columns and (outcome == "DUPLICATE" or k not in ("sha256Hash", "matchedPath"))}
-    entries = own.orderBy("event_seq").limit(cap).select(*[F.col(c).alias(k) for k, c in names.items()])
-    _write(path, head, {"entries": entries})
+    oldest = own if total <= cap else first_rows(own, ["job_id"], [F.col("event_seq")], cap, "_n")
+    write_document(path, head, {"entries": oldest.orderBy("event_seq").select(*[F.col(c).alias(k) for k, c in names.items()])})
     return total
 
 
@@ -91,9 +71,7 @@ def write_all_outcomes(events: DataFrame, job: str, folder: str, cap: int = CAP,
         path = os.path.join(folder, sub, f"{outcome.lower()}-{job}.json")
         if write_outcome_report(events, outcome, job, path, cap, source, target):
             latest = os.path.join(folder, sub, f"{outcome.lower()}.json")
-            with open(path, encoding="utf-8") as a, open(f"{latest}.tmp", "w", encoding="utf-8") as b:
-                for line in a:
-                    b.write(line)
+            shutil.copyfile(path, f"{latest}.tmp")
             os.replace(f"{latest}.tmp", latest)
             written[outcome] = path
     return written
@@ -116,7 +94,7 @@ def write_integrity_report(findings: DataFrame, run: dict, path: str, deep: bool
     head = run | {"mode": "DEEP" if deep else "QUICK", "completed": completed, "clean": clean, "bytesRead": read, "caveat": caveat, "counts": {s: counts[s] for s in STATUSES}, "filesVerified": verified, "problems": problems}
     names = {"path": "path", "status": "status", "destination_size": "expectedSize", "size": "observedSize", "sha256": "expectedSha256", "observed_sha256": "observedSha256"}
     bad = findings.where("status <> 'INTACT'")
-    _write(path, head, {"findings": bad.select(*[F.col(a).alias(b) for a, b in names.items() if a in bad.columns]).orderBy("path")})
+    write_document(path, head, {"findings": bad.select(*[F.col(a).alias(b) for a, b in names.items() if a in bad.columns]).orderBy("path")})
     return head
 
 
@@ -130,5 +108,5 @@ def write_cleanup_report(results: DataFrame, removed: list[str], run: dict, path
     n = lambda s: by.get(s, (0, 0))
     head = run | {"permanentDeletion": True, "filesDeleted": n("DELETED")[0], "bytesDeleted": n("DELETED")[1], "filesSkipped": n("SKIPPED_REVERIFY")[0], "filesFailed": n("FAILED")[0]}
     head |= {"directoriesRemoved": len(removed), "directoriesRemovedPaths": removed} | ({"directoriesFailed": not_removed} if not_removed else {})
-    _write(path, head, {name: results.where(F.col("status") == s).orderBy("path") for name, s in (("deleted", "DELETED"), ("skipped", "SKIPPED_REVERIFY"), ("failed", "FAILED"))})
+    write_document(path, head, {name: results.where(F.col("status") == s).orderBy("path") for name, s in (("deleted", "DELETED"), ("skipped", "SKIPPED_REVERIFY"), ("failed", "FAILED"))})
     return head
