@@ -179,6 +179,11 @@ def parse_instant(text: Column) -> Column:
     return F.coalesce(zoned, F.when(text.rlike(iso + "$"), short.try_cast("timestamp_ntz")))
 
 
+def creation_time(probed: Column) -> Column:
+    """The container's creation time in the JSON of a media probe: that of the format, else of its first stream; null if neither is a time."""
+    return F.coalesce(*[parse_instant(F.get_json_object(probed, f"$.{place}.tags.creation_time")) for place in ("format", "streams[0]")])
+
+
 def first_line(text: Column) -> Column:
     return F.element_at(F.split(text, r"\r\n|\r|\n"), 1)
 

@@ -174,26 +174,30 @@ def delete(plan: DataFrame) -> DataFrame:
     return plan.select("path", "group").repartition(file_tasks(plan.sparkSession), "path").mapInPandas(run, RESULT)
 
 
-def delete_while_scanning(files: DataFrame, root: str, groups: list[str], extensions: list[str], cancel: str | None = None) -> DataFrame:
+def delete_while_scanning(files: DataFrame, root: str, groups: list[str], extensions: list[str], cancel: str | None = None, gate: Gate | None = None, counts: str | None = None) -> DataFrame:
     """One pass over the listed ``files`` below ``root``: each is classified and, if its group or extension is selected, deleted at once.
 
     RESULT rows; a file that was not selected is KEPT (``error``: its group). Once the file named ``cancel``
-    exists the rest is NOT_REACHED. Materialise the rows before reading them twice; ``running_totals`` sums them up.
+    exists, or ``gate`` says no, the rest is NOT_REACHED. ``counts``: the folder in which tasks tally outcomes and bytes while
+    they run (``live.totals(counts, "delete")`` adds them up). Materialise the rows before reading them twice; ``running_totals`` sums them up.
     """
     if why := dangerous_root(root):
         raise ValueError(why)
     if bad := [g for g in groups if g not in {g for g, _, ok, _, _ in MIME_GROUPS if ok}]:
         raise ValueError(f"never deleted: {bad}")
     wanted = {e for x in extensions if (e := x.strip().lower().removeprefix("*").removeprefix(".").strip())}
-    one = _deleter(lambda path, now: now in groups or os.path.splitext(path)[1][1:].lower() in wanted)
+    one, gate = _deleter(lambda path, now: now in groups or os.path.splitext(path)[1][1:].lower() in wanted), gate or Gate(None)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tally = Tally.of_task(counts, "delete")
         for f in frames:
             rows = []
             for path in f["path"]:
-                stopped = cancel is not None and os.path.exists(cancel)
+                stopped = cancel is not None and os.path.exists(cancel) or not gate.go_on()
                 rows.append((path, None, "NOT_REACHED", 0, None) if stopped else one(path, None))
+                tally.add(rows[-1][2], rows[-1][3])
             yield pd.DataFrame(rows, columns=NAMES)
+        tally.write()
 
     ship(files.sparkSession)
     return files.select("path").repartition(file_tasks(files.sparkSession), "path").mapInPandas(run, RESULT)

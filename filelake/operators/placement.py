@@ -20,6 +20,11 @@ def destination(target: str, date: Column, pattern: str, name: Column) -> Column
     return F.concat_ws("/", F.lit(target.rstrip("/")), folder(date, pattern), name)
 
 
+def folders_created(rows: DataFrame, by: list[str], date: str, pattern: str) -> DataFrame:
+    """How many folders of the pattern each group's dates fall into."""
+    return rows.groupBy(*by).agg(F.count_distinct(folder(F.col(date), pattern)).alias("folders"))
+
+
 def place(incoming: DataFrame, existing: DataFrame, form: str = "({})", always: bool = False) -> DataFrame:
     """Adds final_name to (dir, name, path): the first free number of each name, in path order.
 

@@ -28,6 +28,16 @@ def capped(events: DataFrame, cap: int, by: list[str], order: list[str]) -> Data
     return kept.join(totals, by).withColumn("truncated", F.col("total") > cap)
 
 
+def savings(claimed: DataFrame, by: list[str]) -> DataFrame:
+    """Duplicates of each group and the bytes that not copying them saves. ``claimed``: rows of ``claims.claim``."""
+    return claimed.where("disposition = 'DUPLICATE'").groupBy(*by).agg(F.count("*").alias("duplicates"), F.sum("size").alias("bytes_saved"))
+
+
+def recent(rows: DataFrame, order: list[str], n: int = 8) -> DataFrame:
+    """The last ``n`` rows, newest first: the number is the feature."""
+    return rows.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
 def preview(rows: DataFrame, column: str, n: int = 20) -> str:
     """The first ``n`` values in order, a line each, and how many more there are."""
     total, shown = rows.count(), [r[0] for r in rows.select(column).orderBy(column).limit(n).collect()]  # ``n`` rows

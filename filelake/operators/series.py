@@ -26,12 +26,12 @@ def running_peak(rows: DataFrame, by: str, order: list[str], value: str, name: s
     return prefix(rows, [by], [F.col(c) for c in order], {name: ("max", F.col(value))})
 
 
-def bucket_average(samples: DataFrame, by: str, elapsed: str, values: list[str], target: int) -> DataFrame:
-    """Averages in buckets of elapsed seconds; the bucket width follows from the target count and the last sample."""
+def bucket_average(samples: DataFrame, by: str, elapsed: str, values: list[str], target: int, firsts: tuple[str, ...] = ()) -> DataFrame:
+    """Averages in buckets of elapsed seconds; the bucket width follows from the target count and the last sample. ``firsts``: columns of which each bucket keeps the smallest, such as the time of its first sample."""
     last = samples.groupBy(by).agg(F.coalesce(F.max(elapsed), F.lit(0)).alias("_last"))
     width = F.greatest(F.lit(1), F.expr(f"_last div {max(1, target)}") + 1)
     rows = samples.join(last, by).withColumn("_w", width).withColumn("bucket", F.expr(f"{elapsed} div _w"))
-    return rows.groupBy(by, "bucket").agg(F.min(elapsed).alias("elapsed"), *[F.avg(v).alias(v) for v in values])
+    return rows.groupBy(by, "bucket").agg(F.min(elapsed).alias("elapsed"), *[F.min(c).alias(c) for c in firsts], *[F.avg(v).alias(v) for v in values])
 
 
 def envelope(samples: DataFrame, by: str, order: list[str], value: str, target: int) -> DataFrame:

@@ -25,6 +25,12 @@ def reconcile(catalogue: DataFrame, listing: DataFrame, deep: bool = False) -> D
     return rows.withColumn("path", F.coalesce("path", "destination_path")).drop("_tracked", "_there")
 
 
+def untracked(catalogue: DataFrame, listing: DataFrame) -> DataFrame:
+    """Files of the listing that no recorded destination names, without reports."""
+    left = listing.join(catalogue.select(F.col("destination_path").alias("path")), "path", "left_anti")
+    return left.where(~is_report_artifact(F.col("relative")))
+
+
 def status_counts(findings: DataFrame) -> DataFrame:
     """One row for each of the seven statuses, zero filled."""
     every = findings.sparkSession.createDataFrame([(s, i, s in PROBLEM_STATUSES) for i, s in enumerate(STATUSES)], "status string, rank int, problem boolean")

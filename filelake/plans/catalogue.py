@@ -70,7 +70,7 @@ def duplicate_claim(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_FILES} SELECT source, count(*) AS duplicates, sum(size)::BIGINT AS bytes_saved FROM (SELECT *, min(doc_id) OVER (PARTITION BY sha256) AS m FROM f) WHERE doc_id <> m GROUP BY source")
 def duplicate_savings(spark: SparkSession, d: str) -> DataFrame:
-    return claims.claim(_files(spark, d)).where("disposition = 'DUPLICATE'").groupBy("source").agg(F.count("*").alias("duplicates"), F.sum("size").alias("bytes_saved"))
+    return reports.savings(claims.claim(_files(spark, d)), ["source"])
 
 
 @query(f"{_FILES} SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256) AS canonical_id FROM f QUALIFY doc_id <> min(doc_id) OVER (PARTITION BY sha256)")
@@ -127,7 +127,7 @@ def folder_path(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderstatus, count(DISTINCT strftime(o_orderdate, '%Y/%m')) AS folders FROM orders GROUP BY o_orderstatus")
 def folders_created(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.countDistinct(placement.folder(F.col("o_orderdate"), "YYYY_MM")).alias("folders"))
+    return placement.folders_created(table(spark, d, "orders"), ["o_orderstatus"], "o_orderdate", "YYYY_MM")
 
 
 @query("""WITH l AS (SELECT l_orderkey, min(l_shipdate) AS s FROM lineitem GROUP BY l_orderkey)
@@ -263,7 +263,7 @@ def trailing_window(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 8")
 def recent_n(spark: SparkSession, d: str) -> DataFrame:
     """The number is the feature: the list of the last files shows eight."""
-    return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(8).select("event_id", "event_type")
+    return reports.recent(table(spark, d, "events"), ["ts", "event_id"]).select("event_id", "event_type")
 
 
 @query("SELECT user_id, min(ts) AS start_time, max(ts) AS end_time, count(*) AS n, epoch(max(ts))::BIGINT - epoch(min(ts))::BIGINT >= 0 AS ended FROM events GROUP BY user_id")
@@ -322,8 +322,7 @@ def verify_verdict(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_QUICK} SELECT path FROM k WHERE status = 'UNTRACKED'")
 def untracked(spark: SparkSession, d: str) -> DataFrame:
     cat, seen = _archive(spark, d)
-    left = seen.join(cat.select(F.col("destination_path").alias("path")), "path", "left_anti")
-    return left.where(~C.is_report_artifact(F.col("relative"))).select("path")
+    return verify.untracked(cat, seen).select("path")
 
 
 _GROUPED = _FILES + ", g AS (SELECT path, size, lower(lang) AS ext, CASE lang WHEN 'en' THEN 'PROTECTED_MEDIA' WHEN 'fr' THEN 'DOCUMENT' WHEN 'de' THEN 'ARCHIVE' ELSE 'OTHER' END AS grp FROM f)"
@@ -622,3 +621,34 @@ def owner_backfill(spark: SparkSession, d: str) -> DataFrame:
     old = old.withColumns({"destination_path": F.lit(None).cast("string"), "destination_size": F.lit(None).cast("long")})
     out = claims.insert_or_ignore(old, claims.backfill(cache))
     return out.join(old.select("sha256", F.col("canonical").alias("given")), "sha256", "left").select("sha256", "given", "canonical")
+
+
+@query("""SELECT mime, grp, count(*) AS n FROM (SELECT CASE page_id % 9 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'audio/mpeg' WHEN 3 THEN 'application/rtf' WHEN 4 THEN 'application/x-msdownload'
+  WHEN 5 THEN 'application/gzip' WHEN 6 THEN 'video/x-matroska' WHEN 7 THEN 'application/octet-stream' WHEN 8 THEN 'application/zip' END AS mime,
+  CASE page_id % 9 WHEN 0 THEN 'DOCUMENT' WHEN 1 THEN 'PROTECTED_MEDIA' WHEN 2 THEN 'AUDIO' WHEN 3 THEN 'DOCUMENT' WHEN 4 THEN 'EXECUTABLE' WHEN 5 THEN 'ARCHIVE' WHEN 6 THEN 'PROTECTED_MEDIA' WHEN 7 THEN 'OTHER' WHEN 8 THEN 'ARCHIVE' END AS grp FROM pages) GROUP BY 1, 2""")
+def mime_sniff_types(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of nine kinds, by what each page's own content is put behind."""
+    starts = [b"%PDF-", b"GIF89a", b"ID3", b"{\\rtf", b"MZ", b"\x1f\x8b", b"\x1aE\xdf\xa3", b"\x00\x01\xfe", b"PK\x03\x04"]
+    lead = F.element_at(F.array(*[F.unhex(F.lit(x.hex())) for x in starts]), (F.col("page_id") % 9 + 1).cast("int"))
+    p = table(spark, d, "pages").select(sniffed(F.concat(lead, F.substring(F.encode("html", "utf-8"), 1, 4000))).alias("mime"))
+    return p.groupBy("mime", C.mime_group(F.col("mime")).alias("grp")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 3 THEN date_trunc('second', o_orderdate) END AS creation_time FROM orders")
+def probe_creation_time(spark: SparkSession, d: str) -> DataFrame:
+    """The creation time in a probe's JSON: of the format, of a stream only, as an instant; absent or no time: null."""
+    stamp, kind = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.col("o_orderkey") % 5
+    tags = lambda when: F.concat(F.lit('"tags": {"creation_time": "'), when, F.lit('"}'))
+    probed = (
+        F.when(kind == 0, F.concat(F.lit('{"format": {'), tags(stamp), F.lit("}}"))).when(kind == 1, F.concat(F.lit('{"streams": [{'), tags(stamp), F.lit('}], "format": {}}')))
+        .when(kind == 2, F.concat(F.lit('{"format": {'), tags(F.concat(stamp, F.lit(".000000Z"))), F.lit("}}"))).when(kind == 3, F.lit('{"format": {"tags": {"creation_time": "soon"}}}')).otherwise(F.lit("no JSON"))
+    )
+    return table(spark, d, "orders").select("o_orderkey", C.creation_time(probed).alias("creation_time"))
+
+
+@query(f"""{_SAMPLES}, w AS (SELECT *, greatest(1, max(elapsed) OVER (PARTITION BY outcome) // 600 + 1) AS width FROM s)
+SELECT outcome, elapsed // width AS bucket, min(elapsed) AS elapsed, min(event_id) AS event_id, round(avg(value), 6) AS value FROM w GROUP BY 1, 2""")
+def bucket_first(spark: SparkSession, d: str) -> DataFrame:
+    """Averages with the first sample of each bucket."""
+    out = series.bucket_average(_samples(spark, d), "outcome", "elapsed", ["value"], 600, ("event_id",))
+    return out.select("outcome", "bucket", "elapsed", "event_id", F.round("value", 6).alias("value"))

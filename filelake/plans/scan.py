@@ -67,6 +67,11 @@ def contents(ready: DataFrame, cache: DataFrame, deep: bool, live: Live) -> Data
     return hits.unionByName(misses.withColumn("fresh", F.lit(True)))
 
 
+def _image_failure(problem: Column) -> Column:
+    """Damage by its markers, anything else as an image that does not decode."""
+    return F.concat(F.when(C.corrupted(problem), "Corrupt image data: ").otherwise("Image decode failed: "), problem)
+
+
 def _nothing(*names: str) -> list[Column]:
     return [F.lit(None).cast("string").alias(n) for n in names]
 
@@ -86,7 +91,7 @@ def _plan(
     if live.stopped:  # a part of a listing decides nothing
         return Plan(skipped.unionByName(rest), none, False, False)
     live.begin("read", {"skippedFiles": cheap.where("reason is not null").count()} if live.snapshot else None)
-    failed = F.when(~F.col("mime").rlike("^(image|video)/"), F.concat(F.lit("Unreadable media: detected type="), F.col("mime"))).otherwise(F.col("problem"))
+    failed = F.when(~F.col("mime").rlike("^(image|video)/"), F.concat(F.lit("Unreadable media: detected type="), F.col("mime"))).when(F.col("mime").like("image/%"), _image_failure(F.col("problem"))).otherwise(F.col("problem"))
     content = contents(cheap.where("reason is null").drop("reason", "walk_skip"), cache, deep, live)
     content = materialize(content.withColumn("failure", F.coalesce("error", failed)), "checked")  # each file is read once
     fresh = content.where("fresh and failure is null").select("path", "size", "mtime", *FOUND, F.col("embedded_date").alias("media_date"))

@@ -31,8 +31,7 @@ def slow(rows, behind):
     return out
 
 
-@pytest.mark.parametrize("whole", [0, 1000])
-@pytest.mark.parametrize("behind", [1, 30, 400])
+@pytest.mark.parametrize(("whole", "behind"), [(0, 1), (0, 400), (1000, 30)])
 def test_both_ways_equal_a_slow_loop(spark, rows, monkeypatch, whole, behind):
     monkeypatch.setattr(ranking, "WHOLE", whole)
     monkeypatch.setattr(ranking, "shuffle_partitions", lambda s: 9)
