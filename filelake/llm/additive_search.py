@@ -39,8 +39,8 @@ BEAM = 4
 BLOCK, QUERIES = 8192, 128
 RERANK, LEAST = 384, 64
 STEPS, SWEEPS = 8, 2
-#: So many lengths of vectors at most are broadcast with their sampling rates.
-LENGTHS, SALTS = 10_000, 1024
+#: So many lengths of vectors at most are broadcast with their sampling rates, and so many sets of codebooks (of about a megabyte each).
+LENGTHS, SALTS, SETS = 10_000, 1024, 16
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -227,7 +227,12 @@ def build_index(rows: DataFrame) -> tuple[DataFrame, int]:
                 yield pa.RecordBatch.from_pylist([{f: made[f] for f in kind.names}], kind)
 
     kind = pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("scale", pa.float64()), *[(c, pa.binary()) for c in ("ids", "rows", "books", "codes", "norms")]])
-    return materialize(packs.join(fitted, "dim").mapInArrow(run, INDEX), "index"), n
+    if fitted.count() <= SETS:  # else blocks of one length are dealt over many tasks
+        both = packs.join(F.broadcast(fitted), "dim")
+    else:
+        salts = min(n, shuffle_partitions(rows.sparkSession))
+        both = packs.withColumn("salt", F.pmod("part", F.lit(salts))).join(fitted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["dim", "salt"]).drop("salt")
+    return materialize(both.mapInArrow(run, INDEX), "index"), n
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -63,6 +63,7 @@ def test_query_has_exact_scores_and_recall(spark, rows, tmp_path):
 @pytest.mark.parametrize("lengths", [0, 100])
 def test_blocks_do_not_change_the_result_much(spark, rows, monkeypatch, lengths):
     monkeypatch.setattr(A, "LENGTHS", lengths)
+    monkeypatch.setattr(A, "SETS", lengths)
     monkeypatch.setattr(A, "SAMPLE", 1000)
     monkeypatch.setattr(A, "BLOCK", 500)
     monkeypatch.setattr(A, "RERANK", 100)
