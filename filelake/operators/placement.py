@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from filelake.functions import columns as C
 from filelake.functions.fixed import FOLDER_PATTERNS
 from filelake.operators.ranking import running
+from filelake.session import materialize
 
 
 def folder(date: Column, pattern: str) -> Column:
@@ -40,7 +41,7 @@ def place(incoming: DataFrame, existing: DataFrame, form: str = "({})", always:
     held = existing.select("dir", "name").distinct()
     ranked = running(incoming, ["dir", "name"], [F.col("path")], F.lit(1), "_rank").join(held.withColumn("_held", F.lit(True)), ["dir", "name"], "left")
     bare = F.lit(0) if always else F.when(F.col("_held").isNull(), 1).otherwise(0)
-    ranked = ranked.withColumn("_need", F.col("_rank") - bare).drop("_rank", "_held")
+    ranked = materialize(ranked.withColumn("_need", F.col("_rank") - bare).drop("_rank", "_held"), "ranked")  # met four times
     first = ranked.where("_need = 0").drop("_need").withColumn("final_name", F.col("name"))
     asked = ranked.where("_need > 0").withColumns({"_stem": C.stem(F.col("name")), "_ext": C.suffix_of(F.col("name"))})
     if not always:
@@ -48,7 +49,7 @@ def place(incoming: DataFrame, existing: DataFrame, form: str = "({})", always:
     taken = held.withColumns({"_whole": C.stem(F.col("name")), "_ext": C.suffix_of(F.col("name"))})
     pattern = f"(?s)^(.+){re.escape(before)}([1-9][0-9]{{0,8}}){re.escape(after)}$"
     taken = taken.where(F.col("_whole").rlike(pattern)).withColumns({"_stem": F.regexp_extract("_whole", pattern, 1), "_n": F.regexp_extract("_whole", pattern, 2).cast("int")})
-    taken = taken.join(asked.select("dir", "_stem", "_ext").distinct(), ["dir", "_stem", "_ext"], "left_semi")
+    taken = materialize(taken.join(asked.select("dir", "_stem", "_ext").distinct(), ["dir", "_stem", "_ext"], "left_semi"), "taken")
     taken = running(taken, ["dir", "_stem", "_ext"], [F.col("_n")], F.lit(1), "_place")
     taken = taken.select("dir", "_stem", "_ext", (F.col("_n") - F.col("_place")).cast("long").alias("_need"), F.lit(1).alias("_kind"), F.col("_n").alias("_tie"))
     both = asked.withColumns({"_kind": F.lit(0), "_tie": F.lit(0)}).unionByName(taken, allowMissingColumns=True)
