@@ -1,12 +1,12 @@
 """Exact top-k inner-product search over an impact-ordered index, score at a time.
 
-Vectors are cut into blocks; of each block the index keeps one posting segment per component
-(dense vectors have a posting in every one) with its largest magnitude. A segment's impact on
-a query is the query's component times that magnitude. A query processes segments by
-descending quantised impact, adding to one accumulator per row. It stops only on proof: the
-components not yet seen add at most the product of the two remaining norms (Cauchy-Schwarz),
-so a row whose upper bound lies below the k-th best lower bound is no member. The possible
-members are rescored exactly.
+Vectors are cut into blocks; the index of a block cuts the postings of each component into
+segments of equal quantised magnitude. A segment's impact on a pack of queries is its largest
+magnitude times the pack's largest component. The pack processes segments by descending
+quantised impact, those of equal impact in one product, adding to one accumulator per query and row.
+A query stops only on proof: the postings it has not met add at most the product of the row's norm in them
+and the query's norm in their components (Cauchy-Schwarz), so a row whose upper bound lies
+below the k-th best lower bound is no member. The possible members are rescored exactly.
 
 A stated query set meets all rows in tiles (query block x vector block); each tile returns
 its k best per query, a window picks the k best of all. Vectors that are null or hold null or
@@ -30,54 +30,95 @@ from filelake.session import materialize, ship, shuffle_partitions
 
 BLOCK = 8192
 QUERIES = 256
-LEVELS = 16
-#: Rescoring this share of a block costs less than the segments that are left.
-FEW = 1 / 8
+#: Magnitudes of a component, and impacts of a pack of queries, are quantised to so many levels.
+SEGMENTS = 16
+LEVELS = 12
+#: Queries that walk the segments of a block together.
+TOGETHER = 64
+#: Bounds are tried once this share of the squared norms is left, and hold where no more than this share of rows may be members.
+PROBE, FEW = 1 / 8, 1 / 8
 LIMIT = (1 << 63) - 1
 
 
 class BlockIndex:
+    """Postings of one block in segments: one component, one quantised magnitude. Zeros have no posting."""
+
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         self.ids, self.rows = ids, rows
-        self.segments = np.ascontiguousarray(rows.T, np.float64)
-        self.most = np.abs(self.segments).max(axis=1, initial=0)
-        self.squares = self.segments**2
-        self.norms = self.squares.sum(axis=0)
-
-    def top(self, qid: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the k best rows but the query's own."""
-        alive = self.ids != qid
-        who = np.flatnonzero(alive)
-        if not len(who):
-            return []
-        reach = max(int(self.most.max(initial=0)), int(np.abs(q.astype(np.float64)).max(initial=0)))
-        if reach * reach * max(1, len(q)) >= 1 << 53:  # not exact in doubles: plain integers
-            return self._exact(who, self.rows[who].astype(object) @ q.astype(object), k)
-        x = q.astype(np.float64)
-        impact = np.abs(x) * self.most
+        self.dense = np.ascontiguousarray(rows, np.float64)
+        self.norms = (self.dense**2).sum(axis=1)
+        size = np.abs(self.dense)
+        most = size.max(axis=0, initial=0)
+        self.reach = int(most.max(initial=0))
+        level = np.ceil(size * (SEGMENTS / np.maximum(most, 1))).astype(np.int64)
+        key = np.where(level > 0, np.arange(rows.shape[1]) * SEGMENTS + SEGMENTS - level, rows.shape[1] * SEGMENTS).ravel()
+        order = np.argsort(key, kind="stable")[: np.count_nonzero(level)]
+        cut = np.flatnonzero(np.diff(key[order], prepend=-1))
+        #: Positions (row-major) of all postings, segment after segment, and their values.
+        self.at, self.value = order, self.dense.ravel()[order]
+        self.part, self.begin, self.end = key[order][cut] // SEGMENTS, cut, np.append(cut[1:], len(order))
+        self.most = np.maximum.reduceat(np.abs(self.value), cut) if len(cut) else np.zeros(0)
+        #: Postings and rows that queries had to look at.
+        self.met = self.rescored = 0
+
+    def tiers(self, weight: np.ndarray) -> list[np.ndarray]:
+        """Segments by descending quantised impact on queries of no more than ``weight`` in each component."""
+        impact = weight[self.part] * self.most
         level = np.ceil(impact * (LEVELS / max(1.0, impact.max(initial=0)))).astype(int)
-        order = np.argsort(-level, kind="stable").tolist()
-        score, left, rest = np.zeros(len(self.ids)), self.norms.copy(), float(x @ x)
-        half = rest / 2
-        for at, j in enumerate(order):
-            if x[j]:
-                score += self.segments[j] * x[j]
-                left -= self.squares[j]
-                rest -= x[j] * x[j]
-            last = at + 1 == len(order)
-            if len(who) > k and (last or rest <= half and level[order[at + 1]] < level[j]):
-                slack = np.sqrt(rest * left) * (1 + 1e-9)
-                low = (score - slack)[who]
-                need = np.partition(low, len(low) - k)[len(low) - k]
-                possible = who[(score + slack)[who] >= need]
-                if last or len(possible) <= max(k, FEW * len(who)):
-                    who = possible
-                    break
-        return self._exact(who, (self.segments[:, who].T @ x).astype(np.int64), k)
-
-    def _exact(self, who: np.ndarray, score: np.ndarray, k: int) -> list[tuple[int, int]]:
+        order = np.argsort(-level, kind="stable")[: np.count_nonzero(level)]
+        return np.split(order, np.flatnonzero(np.diff(level[order])) + 1) if len(order) else []
+
+    def top(self, qids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        """(query, score, id) of the k best rows of each query but its own."""
+        out, reach = [], np.maximum(np.abs(queries.astype(np.float64)).max(axis=1, initial=0), self.reach)
+        exact = reach * reach * max(1, queries.shape[1]) < 1 << 53
+        for n in np.flatnonzero(~exact):  # plain integers
+            who = np.flatnonzero(self.ids != qids[n])
+            out += self._best(qids[n], who, self.rows[who].astype(object) @ queries[n].astype(object), k)
+        for begin in range(0, len(qids), TOGETHER):
+            own = np.flatnonzero(exact[begin : begin + TOGETHER]) + begin
+            if len(own):
+                out += self._tiered(qids[own], queries[own].astype(np.float64), k)
+        return out
+
+    def _tiered(self, qids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        n, out = len(self.ids), []
+        score, left = np.zeros((len(x), n)), self.norms.copy()
+        rest = np.repeat((x * x).sum(axis=1)[:, None], n, axis=1)
+        score[self.ids == qids[:, None]] = -np.inf
+        tiers = self.tiers(np.abs(x).max(axis=0, initial=0))
+        for tier in tiers:
+            spans = [slice(b, e) for b, e in zip(self.begin[tier].tolist(), self.end[tier].tolist(), strict=True)]
+            at, plane, seen = np.concatenate([self.at[s] for s in spans]), np.zeros(self.dense.shape), np.zeros(self.dense.shape)
+            plane.ravel()[at] = np.concatenate([self.value[s] for s in spans])
+            seen.ravel()[at] = 1
+            score += x @ plane.T
+            rest -= (x * x) @ seen.T
+            left -= (plane * plane).sum(axis=1)
+            self.met += len(at) * len(x)
+            if n <= k + 1 or left.sum() > PROBE * self.norms.sum() or tier is tiers[-1]:
+                continue
+            slack = np.sqrt(rest * left) * (1 + 1e-9)
+            need = np.partition(score - slack, n - k, axis=1)[:, n - k]
+            slack += score
+            possible = slack >= need[:, None]
+            done = np.count_nonzero(possible, axis=1) <= max(k, FEW * n)
+            for i in np.flatnonzero(done):
+                who = np.flatnonzero(possible[i] & (score[i] > -np.inf))
+                self.rescored += len(who)
+                out += self._best(qids[i], who, (self.dense[who] @ x[i]).astype(np.int64), k)
+            qids, x, score, rest = qids[~done], x[~done], score[~done], rest[~done]
+            if not len(x):
+                return out
+        for i in range(len(x)):  # every posting was met: the scores are whole
+            need = np.partition(score[i], n - k)[n - k] if n > k else -np.inf
+            who = np.flatnonzero((score[i] >= need) & (score[i] > -np.inf))
+            out += self._best(qids[i], who, score[i][who].astype(np.int64), k)
+        return out
+
+    def _best(self, qid: int, who: np.ndarray, score: np.ndarray, k: int) -> list[tuple[int, int, int]]:
         order = sorted(range(len(who)), key=lambda i: (-score[i], self.ids[who[i]]))[:k] if score.dtype == object else np.lexsort((self.ids[who], -score))[:k]
-        return [(max(-LIMIT, min(LIMIT, int(score[i]))), int(self.ids[who[i]])) for i in order]
+        return [(int(qid), max(-LIMIT, min(LIMIT, int(score[i]))), int(self.ids[who[i]])) for i in order]
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
@@ -150,8 +191,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
                 if kind == 0:
                     at, index = (dim, block, lane), BlockIndex(*_unpacked(ids, rows, dim))
                 elif at == (dim, block, lane):  # else no vector of that length is in the block
-                    asked = zip(*_unpacked(ids, rows, dim), strict=True)
-                    out = [(int(qid), s, i) for qid, q in asked for s, i in index.top(int(qid), q, k)]
+                    out = index.top(*_unpacked(ids, rows, dim), k)
                     yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], ["query_id", "score", "vec_id"])
 
     found = met.mapInArrow(search, "query_id long, score long, vec_id long")
