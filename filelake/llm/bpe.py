@@ -210,23 +210,27 @@ NONE = np.int32(1 << 30)  # rank of a pair that no rule merges
 
 
 class PairIndex:
-    """Encodes many pre-tokens at once over an index of all pair positions.
-
-    The index holds the rank of the pair at every position of every pre-token. Ranks are applied
-    in ascending order: pre-tokens do not touch each other, so one round takes the lowest active
-    rank of each of them, merges all its positions at once (equal halves, as in "aaaa", left to
-    right) and looks up again only the pairs beside them. Pre-tokens without an active pair
-    leave the index. Those over ``LONG`` bytes would keep it small and slow; ``merge_piece``
-    takes them one by one, in the same order, with a heap.
+    """Encodes many pre-tokens at once over an index from pairs to all their positions.
+
+    The pre-tokens lie behind one another in one array, each symbol linked to its neighbours. The index
+    lists the positions of every active pair, in windows of ascending rank (one pair each for
+    the first ranks, then ``GROWTH`` more at a time, as pairs get rarer). The lowest window that has
+    positions is taken: in each pre-token its lowest rank is merged wherever it is listed (equal halves, as in
+    "aaaa", left to right), and only the pairs beside a merge are looked up again and listed anew. New pairs
+    have a higher rank than the merge that made them, so they fall in this window, which is then
+    taken again, or in a later one. Pre-tokens over ``LONG`` bytes would take a window very often;
+    ``merge_piece`` takes them one by one, in the same order, with a heap.
     Needs a vocabulary whose merges come after their parts (``ordered``).
     """
 
     LONG = 200
+    GROWTH = 1.05
 
     def __init__(self, vocab: Vocabulary) -> None:
         if not vocab.ordered:
             raise ValueError("merge order does not allow corpus-wide application")
-        self.vocab, self.wide = vocab, len(vocab.tokens)
+        self.vocab, self.wall = vocab, len(vocab.tokens)  # the wall stands between two pre-tokens and merges with nothing
+        self.wide = self.wall + 1
         rules = sorted((r, a, b, m) for (a, b), (r, m) in vocab.ranks.items())
         self.made = np.array([m for *_, m in rules], np.int32)
         keys = np.array([a * self.wide + b for _, a, b, _ in rules], np.int64)
@@ -235,12 +239,32 @@ class PairIndex:
         self.bytes_, self.last_ = np.array(vocab.byte_ids, np.int32), np.array(vocab.last_ids, np.int32)
         every = np.arange(256, dtype=np.int32)
         self.starting = np.stack([self._ranks(np.repeat(self.bytes_, 256), end[np.tile(every, 256)]) for end in (self.bytes_, self.last_)])
+        ends, end = [], 0
+        while end < len(rules):
+            end = max(end + 1, int(end * self.GROWTH))
+            ends.append(end)
+        #: The window of each rank, and one past the last for pairs without a rule.
+        self.window = np.append(np.searchsorted(ends, np.arange(len(rules)), side="right"), len(ends)).astype(np.int32)
+        #: Merges done and positions looked at or looked up again, for tests.
+        self.merged = self.touched = 0
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * self.wide + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.order[at], NONE)
 
+    def _list(self, lists: list[list[np.ndarray]], at: np.ndarray, rank: np.ndarray) -> None:
+        """Enter positions into the lists of their windows; pairs without a rule into none."""
+        window = self.window[np.minimum(rank, len(self.made))]
+        order = np.argsort(window, kind="stable")
+        order = order[: np.count_nonzero(window < len(lists))]
+        if len(order):
+            window, at = window[order], at[order]
+            cut = np.flatnonzero(np.diff(window)) + 1
+            begin = [0, *cut.tolist()]
+            for w, x, y in zip(window[begin].tolist(), begin, [*begin[1:], len(at)], strict=True):
+                lists[w].append(at[x:y])
+
     def encode(self, pieces: list[str]) -> list[list[int]]:
         raws, out = [p.encode("utf-8") for p in pieces], [[] for _ in pieces]
         own = [k for k, r in enumerate(raws) if 0 < len(r) <= self.LONG]
@@ -249,40 +273,60 @@ class PairIndex:
                 out[k] = self.vocab.merge_piece(pieces[k])
         if not own:
             return out
-        raws = [raws[k] for k in own]
-        who, size = np.array(own), np.fromiter(map(len, raws), np.int64, len(raws))
-        raw = np.frombuffer(b"".join(raws), np.uint8)
-        last = np.zeros(len(raw), bool)
-        last[np.cumsum(size) - 1] = True
-        sym = np.where(last, self.last_[raw], self.bytes_[raw])
+        raw = np.frombuffer(b"\0".join([b"", *[raws[k] for k in own], b""]), np.uint8)
+        size = np.fromiter((len(raws[k]) for k in own), np.int64, len(own))
+        walls = np.append(0, np.cumsum(size + 1))
+        piece = np.repeat(np.arange(len(own), dtype=np.int32), size + 1)
+        piece = np.append(piece, len(own) - 1)  # a wall counts to the pre-token after it
+        sym = self.bytes_[raw]
+        sym[walls[1:] - 1] = self.last_[raw[walls[1:] - 1]]
+        sym[walls] = self.wall
         rank = np.full(len(raw), NONE, np.int32)
-        inner = np.flatnonzero(~last)
-        rank[inner] = self.starting[last[inner + 1].astype(np.int8), raw[inner].astype(np.int32) << 8 | raw[inner + 1]]
-        while len(who):
-            first = np.flatnonzero(np.append(True, last[:-1]))
-            low = np.minimum.reduceat(rank, first)
-            size = np.diff(np.append(first, len(sym)))
-            over = low == NONE
-            if over.sum() * 8 > len(who):
-                mine = np.repeat(over, size)
-                ids, bound = sym[mine].tolist(), np.append(0, np.cumsum(size[over])).tolist()
-                for k, x, y in zip(who[over].tolist(), bound, bound[1:], strict=False):
-                    out[k] = ids[x:y]
-                sym, rank, last, who, size, low = sym[~mine], rank[~mine], last[~mine], who[~over], size[~over], low[~over]
-            at = np.flatnonzero((rank == np.repeat(low, size)) & (rank != NONE))
-            if len(at) > 1 and (near := np.diff(at) == 1).any():  # runs of one symbol: every second pair
-                place = np.arange(len(at))
-                begin = np.maximum.accumulate(np.where(np.append(True, ~near), place, 0))
-                at = at[(place - begin) % 2 == 0]
-            sym[at] = self.made[rank[at]]
-            last[at] |= last[at + 1]
-            keep = np.ones(len(sym), bool)
-            keep[at + 1] = False
-            sym, rank, last = sym[keep], rank[keep], last[keep]
-            at -= np.arange(len(at))
-            rank[at] = NONE
-            left = at[at > 0] - 1
-            beside = np.concatenate([at, left])
-            beside = beside[~last[beside]]
-            rank[beside] = self._ranks(sym[beside], sym[beside + 1])
+        inner = np.ones(len(raw), bool)
+        inner[walls] = inner[walls[1:] - 1] = False
+        inner = np.flatnonzero(inner)
+        ends = np.zeros(len(raw), np.int8)
+        ends[walls[1:] - 1] = 1
+        rank[inner] = self.starting[ends[inner + 1], raw[inner].astype(np.int32) << 8 | raw[inner + 1]]
+        after, before = np.arange(1, len(raw) + 1, dtype=np.int32), np.arange(-1, len(raw) - 1, dtype=np.int32)
+        lists: list[list[np.ndarray]] = [[] for _ in range(int(self.window[-1]))]
+        self._list(lists, inner.astype(np.int32), rank[inner])
+        fresh = np.zeros(len(raw), bool)
+        for w in range(len(lists)):
+            while lists[w]:
+                at = np.unique(np.concatenate(lists[w]))
+                lists[w] = []
+                mine = rank[at]
+                at = at[self.window[np.minimum(mine, len(self.made))] == w]  # others changed since they were listed
+                if not len(at):
+                    break
+                self.touched += len(at)
+                mine, where = rank[at], piece[at]
+                first = np.flatnonzero(np.diff(where, prepend=-1))
+                low = np.repeat(np.minimum.reduceat(mine, first), np.diff(np.append(first, len(at))))
+                if (low < mine).any():
+                    lists[w].append(at[low < mine])
+                at = at[low == mine]
+                if len(at) > 1 and (near := after[at[:-1]] == at[1:]).any():  # runs of one symbol: every second pair
+                    place = np.arange(len(at))
+                    begin = np.maximum.accumulate(np.where(np.append(True, ~near), place, 0))
+                    at = at[(place - begin) % 2 == 0]
+                gone = after[at]
+                follow = after[gone]
+                sym[at] = self.made[rank[at]]
+                sym[gone], rank[gone] = -1, NONE
+                after[at], before[follow] = follow, at
+                fresh[at] = True
+                left = before[at]
+                beside = np.concatenate([at, left[~fresh[left]]])
+                fresh[at] = False
+                rank[beside] = self._ranks(sym[beside], sym[after[beside]])
+                self.merged += len(at)
+                self.touched += len(beside)
+                self._list(lists, beside, rank[beside])
+        alive = (sym >= 0) & (sym != self.wall)
+        bound = np.append(0, np.cumsum(alive))[walls].tolist()
+        ids = sym[alive].tolist()
+        for k, x, y in zip(own, bound, bound[1:], strict=False):
+            out[k] = ids[x:y]
         return out
