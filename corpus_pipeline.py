@@ -1,6 +1,11 @@
 """The corpus pipeline: ``documents`` through five operators, each stage judged on its own input.
 
 Every stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of documents.
+
+A null text counts as empty: it is scored and compared as such, and if kept packs to the one closing id. A null doc_id
+sorts last: its row stays only where no row with an id holds the same text. Of repeated rows one stays. Ties between copies
+go to the smallest doc_id. Texts of any length count whole. With no usable label every document scores 0.5 and passes the first stage. Empty
+tables give no rows. Further columns of any name travel along unchanged up to packing, which reads id and text only.
 """
 
 from __future__ import annotations
