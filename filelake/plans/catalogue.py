@@ -119,6 +119,24 @@ def mime_sniff_group(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("mime", C.mime_group(F.col("mime")).alias("grp")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
+#: Leading bytes in hex, by page_id modulo their number.
+_HEADS = [
+    "FFD8FFE0", "89504E470D0A1A0A", "474946383961", "52494646000000005745425056503820", "524946460000000041564920", "000000186674797069736F6D", "00000014667479707174202000",
+    "1A45DFA3", "255044462D", "504B0304", "1F8B08", "7F454C46", "494433", "00000018667479706865696300", "C3A9C3A9C3A9C3A9C3A9", "C3A90041",
+]
+
+
+@query("""SELECT mime, grp, count(*) AS n, sum(size)::BIGINT AS bytes FROM (SELECT octet_length(encode(html)) AS size, page_id % 16 AS k FROM pages) JOIN (VALUES
+  (0, 'image/jpeg', 'PROTECTED_MEDIA'), (1, 'image/png', 'PROTECTED_MEDIA'), (2, 'image/gif', 'PROTECTED_MEDIA'), (3, 'image/webp', 'PROTECTED_MEDIA'), (4, 'video/x-msvideo', 'PROTECTED_MEDIA'), (5, 'video/mp4', 'PROTECTED_MEDIA'), (6, 'video/quicktime', 'PROTECTED_MEDIA'),
+  (7, 'video/x-matroska', 'PROTECTED_MEDIA'), (8, 'application/pdf', 'DOCUMENT'), (9, 'application/zip', 'ARCHIVE'), (10, 'application/gzip', 'ARCHIVE'), (11, 'application/x-elf', 'EXECUTABLE'), (12, 'audio/mpeg', 'AUDIO'),
+  (13, 'image/heic', 'PROTECTED_MEDIA'), (14, 'text/plain', 'DOCUMENT'), (15, 'application/octet-stream', 'OTHER')) AS t(k, mime, grp) USING (k) GROUP BY mime, grp""")
+def mime_sniff_types(spark: SparkSession, d: str) -> DataFrame:
+    """Types by leading bytes: pages behind signatures, and behind text with and without a null byte."""
+    head = F.unhex(F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("page_id") % len(_HEADS) + 1).cast("int")))
+    p = table(spark, d, "pages").select(sniffed(F.concat(head, F.substring(F.encode("html", "utf-8"), 1, 4000))).alias("mime"), F.octet_length("html").cast("long").alias("size"))
+    return p.groupBy("mime", C.mime_group(F.col("mime")).alias("grp")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y/%m') AS ym, strftime(o_orderdate, '%Y/%b') AS ymmm, strftime(o_orderdate, '%Y/%b/%d') AS ymmmd, strftime(o_orderdate, '%Y/%m/%d') AS ymd FROM orders")
 def folder_path(spark: SparkSession, d: str) -> DataFrame:
     names = {"ym": "YYYY_MM", "ymmm": "YYYY_MMM", "ymmmd": "YYYY_MMM_DD", "ymd": "YYYY_MM_DD"}

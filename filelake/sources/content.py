@@ -8,6 +8,7 @@ tables and clusters of videos to their data; damage that forms valid codes of th
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import io
 import re
@@ -58,7 +59,7 @@ def sniff(head: bytes) -> str:
     if re.match(rb"(?is)\s*(<!doctype html|<html)", head):
         return "text/html"
     try:
-        text = head[: len(head) - 3].decode("utf-8") if len(head) > 8 else head.decode("utf-8")
+        text = codecs.getincrementaldecoder("utf-8")().decode(head)  # the head may end within a character
     except UnicodeDecodeError:
         return "application/octet-stream"
     return "text/plain" if all(c >= " " or c in "\t\r\n\f" for c in text) else "application/octet-stream"

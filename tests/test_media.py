@@ -142,3 +142,11 @@ def heic(date: bytes, version: int = 0) -> bytes:
     head = box(b"ftyp", b"heic" + bytes(4))
     meta = full(b"meta", iinf + place(0))
     return head + full(b"meta", iinf + place(len(head) + len(meta) + 8)) + box(b"mdat", struct.pack(">I", 6) + b"Exif\0\0" + date)
+
+
+def test_text_heads_that_end_within_a_character():
+    from filelake.sources.content import sniff
+
+    text = ("é日😀" * 9).encode()
+    assert {sniff(text[:n]) for n in range(1, len(text) + 1)} == {"text/plain"}
+    assert sniff(b"\xff" + text) == sniff(text + b"\xff\xff") == sniff(text + b"\0") == "application/octet-stream"
