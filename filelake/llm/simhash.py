@@ -171,11 +171,17 @@ def _linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(np.concatenate(hold))
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """For joins of sides that grow with the table. Spark's guess of their size does not know of exploded keys and compressed
+    files; by it millions of keys were broadcast, through the driver's memory."""
+    return df.hint("merge")
+
+
 def links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
     """Distinct spanning links (a, b) between nodes (fp, node) with different fingerprints within the radius."""
     keyed = nodes.select("fp", "node", F.explode(F.array(*_block_keys("fp"))).alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    met = keyed.join(shared, "key")
+    met = keyed.join(_merged(shared), "key")
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     dealt = met.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))))
     low, high = F.least("own", "other"), F.greatest("own", "other")
@@ -194,10 +200,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(_merged(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = oriented(large.union(least.select("u", F.col("m").alias("v"))))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        small = large.join(_merged(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = materialize(oriented(small), "edges")
         size = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(size) == state:
@@ -210,16 +216,17 @@ def near_groups(prints: DataFrame) -> DataFrame:
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("own"), F.min("uid").alias("uid")), "nodes")
     roots = components(links(nodes.select("fp", F.col("fp").alias("node"))))
     roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-    linked = materialize(nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "own", "uid"), "linked")
+    linked = materialize(nodes.join(_merged(roots), F.col("fp") == F.col("node")).select("fp", "root", "own", "uid"), "linked")
     best = linked.groupBy("root").agg(F.min("own").alias("least"), F.min("uid").alias("first"))
-    found = nodes.join(linked.select("fp", "root").join(best, "root").drop("root"), "fp", "left")
-    return found.select("fp", F.coalesce("least", "own").alias("component"), F.coalesce("first", "uid").alias("first"))
+    found = nodes.join(_merged(linked.select("fp", "root").join(_merged(best), "root").drop("root")), "fp", "left")
+    # written, so that a join with it deals both sides and Spark can split the rows of one hot fingerprint
+    return materialize(found.select("fp", F.coalesce("least", "own").alias("component"), F.coalesce("first", "uid").alias("first")), "groups")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = materialize(with_fingerprint(docs, "fp").select("doc_id", "fp"), "prints")
-    found = prints.join(near_groups(prints.withColumn("uid", F.lit(0).cast("long"))), "fp")
+    found = prints.join(_merged(near_groups(prints.withColumn("uid", F.lit(0).cast("long")))), "fp")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
