@@ -235,6 +235,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fp, uid, component, first = unused(docs.columns, "_fp", "_uid", "_component", "_first")
     rows = materialize(with_fingerprint(docs, fp, text_col).withColumn(uid, F.monotonically_increasing_id()), "rows")
     groups = near_groups(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(uid).alias("uid")))
-    found = rows.join(groups.select(F.col("fp").alias(fp), F.col("component").alias(component), F.col("first").alias(first)), fp)
+    found = rows.join(_merged(groups.select(F.col("fp").alias(fp), F.col("component").alias(component), F.col("first").alias(first))), fp)
     stays = F.when(F.col(component).isNull(), F.col(uid) == F.col(first)).otherwise(F.col(id_col) == F.col(component))
     return found.where(stays).select(*docs.columns)

@@ -15,3 +15,9 @@ def test_simhash_broadcasts_no_keys_and_no_groups(spark, tmp_path):
     assert "Broadcast" not in plan(simhash.near_groups(nodes.select(F.lit(1).cast("long").alias("doc_id"), "fp", F.lit(0).cast("long").alias("uid"))))
     spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert "Broadcast" not in plan(simhash.op5_simhash(spark, str(tmp_path)))
+
+
+def test_near_copies_go_without_a_broadcast(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (None, "else")], "doc_id long, text string")
+    kept = simhash.drop_near_duplicates(docs)
+    assert "Broadcast" not in plan(kept) and sorted(r.text for r in kept.collect()) == ["a b c d e", "else"]
