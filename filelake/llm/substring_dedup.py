@@ -285,17 +285,18 @@ def _judge(parts: int, width: int):
             hit = np.flatnonzero(hit)
             run = run[hit]
             found.extend(_ranges((start - ahead)[run] + hit, doc[run], mark[run], width))
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             passed = []
-            for bucket, part, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for bucket, part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if part is not None:
-                    passed.append((part, blob))
+                    passed.append((part, blob.as_py()))
                     continue
                 if bucket != at and blobs:
                     solve()
                 at = bucket
-                blobs.append(blob)
+                blobs.append(blob.as_buffer())  # no copy
             if len(found) > 500_000:
                 passed += _range_blobs(found, parts)
                 found.clear()
@@ -360,7 +361,8 @@ def apply_ranges(docs: DataFrame, handle, schema, window: int = WINDOW, mer: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ranges = None, defaultdict(list)
         for batch in batches:
-            for part, is_docs, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for part, is_docs, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                blob = blob.as_buffer()  # no copy
                 if part != at:
                     at = part
                     ranges.clear()
